@@ -382,13 +382,9 @@ def walk_books(
             walked.join(started, [*keys, "_block"], "full_outer"),
             keys,
             ["_block"],
-            F.floor(F.col("_block") / 4096),
+            F.floor(F.col("_block") / 4096).alias("_blocks"),
             peaks={"_now": F.col("_epoch")},
-        )
-        before = Window.partitionBy(*keys).orderBy("_block")
-        starts = starts.select(
-            *keys, "_block", F.coalesce(F.lag("_now").over(before), F.lit(0)).alias("epoch")
-        )
+        ).select(*keys, "_block", F.coalesce("_now", F.lit(0)).alias("epoch"))
         carry = carry.join(starts, [*keys, "_block", "epoch"], "left_semi")
 
     def shaped(df: DataFrame, kind: int, position, side, price, amount, probe):

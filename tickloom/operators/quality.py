@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import book
 from tickloom.operators.scan import DEFAULT_BLOCK_ROWS, block_of, block_scan
+from tickloom.session import stage
 
 
 @dataclass(frozen=True)
@@ -175,6 +176,8 @@ def diagnostics(events: DataFrame, options: ReplayOptions = ReplayOptions()) ->
     found before it wins.
     """
     annotated = annotate(events, options)
+    if options.book:
+        annotated = stage(annotated, "annotated")
     errors = first_errors(annotated)
     if options.book:
         clean = _before(annotated, errors, inclusive=False)

@@ -33,7 +33,7 @@ def block_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | str,
     *,
     previous: dict[str, Column] | None = None,
     totals: dict[str, Column] | None = None,
@@ -45,24 +45,28 @@ def block_scan(
     previous: value on the row before (null on the first row of the key)
     totals:   running sum including the row
     latest:   last non-null value up to and including the row
-    peaks:    running maximum including the row
+    peaks:    maximum over the rows before (null on the first row of the key)
 
     ``block`` must not decrease along ``order``. One shuffle of the rows on (keys, block);
     the block summaries are combined map-side and the join back reuses that partitioning.
+    Give ``block`` as the name of a column to keep that column: a second scan over the same
+    keys and column then needs no further shuffle of the rows.
     """
     previous, totals = previous or {}, totals or {}
     latest, peaks = latest or {}, peaks or {}
     keys, order = list(keys), list(order)
     point = F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
-    base = df.withColumn("_block", block)
+    kept_block = isinstance(block, str)
+    place = block if kept_block else "_block"
+    base = df if kept_block else df.withColumn(place, block)
     inputs = {}
     for group in (previous, totals, latest, peaks):
         for name, col in group.items():
             inputs[f"_in_{name}"] = col
     base = base.withColumns(inputs)
 
-    local_window = Window.partitionBy(*keys, "_block").orderBy(*order)
+    local_window = Window.partitionBy(*keys, place).orderBy(*order)
     upto = local_window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {}
     if previous:
@@ -74,7 +78,9 @@ def block_scan(
     for name in latest:
         local[f"_loc_{name}"] = F.last(f"_in_{name}", ignorenulls=True).over(upto)
     for name in peaks:
-        local[f"_loc_{name}"] = F.max(f"_in_{name}").over(upto)
+        local[f"_loc_{name}"] = F.max(f"_in_{name}").over(
+            local_window.rowsBetween(Window.unboundedPreceding, -1)
+        )
     rows = base.withColumns(local)
 
     aggregates = [F.count(F.lit(1)).alias("_n")]
@@ -87,9 +93,9 @@ def block_scan(
         aggregates.append(F.max_by(f"_in_{name}", present).alias(f"_out_{name}"))
     for name in peaks:
         aggregates.append(F.max(f"_in_{name}").alias(f"_out_{name}"))
-    summary = base.groupBy(*keys, "_block").agg(*aggregates)
+    summary = base.groupBy(*keys, place).agg(*aggregates)
 
-    key_window = Window.partitionBy(*keys).orderBy("_block")
+    key_window = Window.partitionBy(*keys).orderBy(place)
     before = key_window.rowsBetween(Window.unboundedPreceding, -1)
     carried = []
     for name in previous:
@@ -102,9 +108,9 @@ def block_scan(
         )
     for name in peaks:
         carried.append(F.max(f"_out_{name}").over(before).alias(f"_carry_{name}"))
-    carry = summary.select(*keys, "_block", *carried)
+    carry = summary.select(*keys, place, *carried)
 
-    joined = rows.join(carry, [*keys, "_block"], "left")
+    joined = rows.join(carry, [*keys, place], "left")
     out = {}
     for name in previous:
         out[name] = F.when(F.col("_inner"), F.col(f"_loc_{name}")).otherwise(

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import book, quality
+from tickloom.operators import book, depth, quality
 from tickloom.plans import views as V
 from tickloom.session import staged_once
 
@@ -320,3 +320,46 @@ _PERIOD_NS = 91 * V.DAY_NS
 )
 def period_end_ladder(spark, sf_dir):
     return book.period_ladders(V.order_flow(spark, sf_dir), _PERIOD_NS)
+
+
+# --- public depth captures --------------------------------------------------------------
+
+
+@query("depth_to_l3", f"WITH {V.DEPTH_SQL} SELECT * FROM l3")
+def depth_to_l3(spark, sf_dir):
+    return depth.normalise(V.depth_lines(spark, sf_dir)).events.drop("event_index")
+
+
+@query("depth_diagnostics", f"WITH {V.DEPTH_SQL} SELECT * FROM problems")
+def depth_diagnostics(spark, sf_dir):
+    return depth.normalise(V.depth_lines(spark, sf_dir)).diagnostics
+
+
+@query("symbol_dictionary", f"WITH {V.DEPTH_SQL} SELECT * FROM sym")
+def symbol_dictionary(spark, sf_dir):
+    return depth.symbol_dictionary(depth.parse_lines(V.depth_lines(spark, sf_dir)))
+
+
+@query(
+    "depth_report",
+    f"""WITH {V.DEPTH_SQL}
+    SELECT (SELECT count(*) FROM msg WHERE kind <> 'banner') AS raw_line_count,
+      (SELECT count(*) FROM msg WHERE kind NOT IN ('banner', 'malformed')) AS raw_message_count,
+      (SELECT count(*) FROM msg WHERE kind = 'banner') AS metadata_line_count,
+      (SELECT min(u2) FROM msg WHERE kind IN ('diff', 'snapshot', 'missing')) AS min_update_id,
+      (SELECT max(u2) FROM msg WHERE kind IN ('diff', 'snapshot', 'missing')) AS max_update_id,
+      CAST(3 AS INTEGER) AS min_levels, CAST(3 AS INTEGER) AS max_levels,
+      count(*) AS normalised_event_count,
+      count(*) FILTER (event_type = 'Add') AS add_count,
+      count(*) FILTER (event_type = 'Cancel') AS cancel_count,
+      count(*) FILTER (event_type = 'Replace') AS replace_count,
+      count(*) FILTER (event_type = 'Snapshot') AS snapshot_count,
+      arg_min(timestamp_ns, sequence_number) AS first_timestamp_ns,
+      arg_max(timestamp_ns, sequence_number) AS last_timestamp_ns,
+      min(sequence_number) AS first_sequence, max(sequence_number) AS last_sequence,
+      (SELECT count(*) FROM problems) AS diagnostics_count,
+      (SELECT count(*) FROM sym) AS symbol_count
+    FROM l3""",
+)
+def depth_report(spark, sf_dir):
+    return depth.report(depth.normalise(V.depth_lines(spark, sf_dir)))

@@ -233,6 +233,47 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def depth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw depth capture: one JSON line per lineitem row, with every kind of bad input."""
+    n = F.col("order_id")
+    name = F.concat(F.lit("SYM"), (F.col("l_suppkey") % 4).cast("string"))
+    pair = lambda price, size: F.concat(F.lit('["'), price, F.lit('","'), size, F.lit('"]'))
+    text = lambda c: c.cast("string")
+    size = F.when(F.col("l_returnflag") == "R", "0").otherwise(
+        F.concat(text(F.col("l_quantity").cast("bigint")), F.lit(".25"))
+    )
+    bid1 = F.when(n % 613 == 0, "abc").otherwise(
+        F.concat(text(1000 - F.col("l_partkey") % 50), F.lit(".5"))
+    )
+    bid2 = F.concat(text(900 - F.col("l_partkey") % 7), F.lit(".125"))
+    ask = F.concat(
+        text(F.when(n % 499 == 0, 980).otherwise(1001) + (F.col("l_partkey") + 7) % 50), F.lit(".5")
+    )
+    ask_size = F.when(n % 617 == 0, "-1").otherwise(size)
+    stamp = text(1_600_000_000_000 + n * 10 - F.when(n % 97 == 0, 5000).otherwise(0))
+    diff = F.concat(
+        F.lit('{"e":"depthUpdate","E":'), stamp, F.lit(',"s":"'),
+        F.when(n % 983 == 2, "").otherwise(name), F.lit('","U":'),
+        text(n - F.col("l_partkey") % 12), F.lit(',"u":'),
+        text(n - F.when(F.col("l_partkey") % 31 == 0, 50).otherwise(0)), F.lit(',"b":['),
+        pair(bid2, size), F.lit(","), pair(bid1, size), F.lit('],"a":['),
+        pair(ask, ask_size), F.lit("]}"),
+    )
+    snapshot = F.concat(
+        F.lit('{"_captured_at_ns":'), text((F.lit(1_600_000_000_000) + n * 10) * 1_000_000),
+        F.lit(',"symbol":"'), name, F.lit('","data":{"lastUpdateId":'), text(n),
+        F.lit(',"bids":[["990.5","2.0"],["991.5","1.0"]],"asks":[["1040.5","3.0"]]}}'),
+    )
+    line = (
+        F.when(n == 1, '{"_meta":"capture"}')
+        .when(n % 997 == 5, "{bad")
+        .when(n % 991 == 3, '{"e":"trade"}')
+        .when(n % 500 == 1, snapshot)
+        .otherwise(diff)
+    )
+    return lines(spark, sf_dir).select(n.alias("raw_index"), line.alias("line"))
+
+
 # --- DuckDB twins -----------------------------------------------------------------------
 
 LINES_SQL = """
@@ -354,3 +395,97 @@ live AS (
   SELECT symbol_id, rest_side AS side, rest_price AS price_ticks, order_id,
     CAST(rest_quantity AS BIGINT) AS quantity, set_ts, set_seq, head_index
   FROM final_states WHERE rest_quantity > 0)"""
+
+
+DEPTH_SQL = (
+    LINES_SQL
+    + """,
+msg AS (
+  SELECT order_id AS i, 'SYM' || (l_suppkey % 4) AS symbol,
+    CASE WHEN order_id = 1 THEN 'banner' WHEN order_id % 997 = 5 THEN 'malformed'
+      WHEN order_id % 991 = 3 THEN 'unsupported' WHEN order_id % 500 = 1 THEN 'snapshot'
+      WHEN order_id % 983 = 2 THEN 'missing' ELSE 'diff' END AS kind,
+    (1600000000000 + order_id * 10
+      - CASE WHEN order_id % 97 = 0 AND order_id % 500 <> 1 THEN 5000 ELSE 0 END) * 1000000 AS ts,
+    order_id - l_partkey % 12 AS u1,
+    CASE WHEN order_id % 500 = 1 THEN order_id
+      ELSE order_id - CASE WHEN l_partkey % 31 = 0 THEN 50 ELSE 0 END END AS u2,
+    l_partkey AS pk, CASE WHEN l_returnflag = 'R' THEN 0
+      ELSE CAST(l_quantity AS BIGINT) * 100000000 + 25000000 END AS sz
+  FROM lineitem_numbered),
+good AS (SELECT * FROM msg WHERE kind IN ('diff', 'snapshot')),
+sym AS (SELECT symbol, min(i) AS first_index, row_number() OVER (ORDER BY min(i)) AS symbol_id
+  FROM good GROUP BY symbol),
+st AS (
+  SELECT g.*, symbol_id, lag(ts) OVER w AS prev_ts,
+    sum(CASE WHEN kind = 'snapshot' THEN 1 ELSE 0 END) OVER w AS epoch,
+    sum(CASE WHEN kind = 'diff' THEN 1 ELSE 0 END) OVER w AS diffs
+  FROM good g JOIN sym USING (symbol) WINDOW w AS (PARTITION BY symbol ORDER BY i)),
+ids AS (
+  SELECT *, max(u2) OVER (PARTITION BY symbol, diffs ORDER BY i) AS known FROM st),
+lastid AS (SELECT *, lag(known) OVER (PARTITION BY symbol ORDER BY i) AS last_id FROM ids),
+leg AS (
+  SELECT i, symbol_id, kind, epoch, ts, 1 AS leg, 'Buy' AS side,
+    CASE WHEN i % 613 = 0 THEN (900 - pk % 7) * 100000000 + 12500000
+      ELSE (1000 - pk % 50) * 100000000 + 50000000 END AS px,
+    sz FROM st WHERE kind = 'diff'
+  UNION ALL
+  SELECT i, symbol_id, kind, epoch, ts, 2, 'Buy',
+    CASE WHEN i % 613 = 0 THEN NULL ELSE (900 - pk % 7) * 100000000 + 12500000 END, sz
+  FROM st WHERE kind = 'diff'
+  UNION ALL
+  SELECT i, symbol_id, kind, epoch, ts, 3, 'Sell',
+    (CASE WHEN i % 499 = 0 THEN 980 ELSE 1001 END + (pk + 7) % 50) * 100000000 + 50000000,
+    CASE WHEN i % 617 = 0 THEN -1 ELSE sz END FROM st WHERE kind = 'diff'
+  UNION ALL
+  SELECT i, symbol_id, kind, epoch, ts, v.leg, v.side, v.px, v.sz
+  FROM st, (VALUES (1, 'Buy', 99150000000, 100000000), (2, 'Buy', 99050000000, 200000000),
+    (3, 'Sell', 104050000000, 300000000)) v(leg, side, px, sz) WHERE kind = 'snapshot'),
+ok_leg AS (
+  SELECT *, lag(sz, 1, 0) OVER (PARTITION BY symbol_id, epoch, side, px ORDER BY i, leg) AS held
+  FROM leg WHERE px IS NOT NULL AND sz >= 0),
+typed AS (
+  SELECT *, CASE WHEN kind = 'snapshot' THEN 'Snapshot' WHEN sz = 0 AND held > 0 THEN 'Cancel'
+    WHEN sz = 0 THEN NULL WHEN held > 0 THEN 'Replace' ELSE 'Add' END AS event_type FROM ok_leg),
+marks AS (
+  SELECT i, symbol_id, kind, epoch, ts, m.leg, 'None' AS side, 0 AS px, 0 AS sz, 0 AS held,
+    'Snapshot' AS event_type FROM st, (VALUES (0), (99)) m(leg) WHERE kind = 'snapshot'),
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY i, leg) AS sequence_number,
+    sum(CASE WHEN side <> 'None' AND event_type IN ('Add', 'Snapshot') THEN 1 ELSE 0 END)
+      OVER (ORDER BY i, leg) AS ids
+  FROM (SELECT * FROM typed WHERE event_type IS NOT NULL UNION ALL SELECT * FROM marks)),
+l3 AS (
+  SELECT ts AS timestamp_ns, sequence_number, symbol_id, event_type, side,
+    CAST(px AS BIGINT) AS price_ticks, CAST(sz AS BIGINT) AS quantity,
+    CAST(CASE WHEN side = 'None' THEN 0 ELSE last_value(CASE WHEN event_type IN ('Add', 'Snapshot')
+      THEN ids END IGNORE NULLS) OVER (PARTITION BY symbol_id, epoch, side, px
+      ORDER BY i, leg) END AS BIGINT) AS order_id,
+    CAST(0 AS BIGINT) AS trade_id,
+    CAST(CASE WHEN side <> 'None' THEN 0 WHEN leg = 0 THEN 1 ELSE 2 END AS BIGINT) AS flags
+  FROM numbered),
+lvl AS (
+  SELECT symbol_id, epoch, side, px, i, arg_max(sz, leg) AS held FROM typed GROUP BY ALL),
+cell AS (
+  SELECT s.i, s.symbol_id, s.epoch, p.side, p.px FROM st s
+  JOIN (SELECT DISTINCT symbol_id, epoch, side, px FROM typed) p
+    ON p.symbol_id = s.symbol_id AND p.epoch = s.epoch),
+top AS (
+  SELECT c.i, max(c.px) FILTER (c.side = 'Buy') AS bid, min(c.px) FILTER (c.side = 'Sell') AS ask
+  FROM cell c ASOF JOIN lvl l ON l.symbol_id = c.symbol_id AND l.epoch = c.epoch
+    AND l.side = c.side AND l.px = c.px AND c.i >= l.i
+  WHERE l.held > 0 GROUP BY c.i),
+problems AS (
+  SELECT i AS raw_index, 'error' AS severity, 'malformed_message' AS reason FROM msg WHERE kind = 'malformed'
+  UNION ALL SELECT i, 'error', 'missing_fields' FROM msg WHERE kind = 'missing'
+  UNION ALL SELECT i, 'warning', 'unsupported_message_type' FROM msg WHERE kind = 'unsupported'
+  UNION ALL SELECT i, 'warning', 'non_monotonic_event_time' FROM st WHERE kind = 'diff' AND ts < prev_ts
+  UNION ALL SELECT i, 'warning', 'stale_update' FROM lastid
+    WHERE (kind = 'diff' AND u2 <= last_id) OR (kind = 'snapshot' AND u2 < last_id)
+  UNION ALL SELECT i, 'warning', 'update_gap' FROM lastid
+    WHERE kind = 'diff' AND u2 > last_id AND u1 > last_id + 1
+  UNION ALL SELECT i, 'error', 'invalid_price' FROM leg WHERE px IS NULL
+  UNION ALL SELECT i, 'error', 'invalid_quantity' FROM leg WHERE px IS NOT NULL AND sz < 0
+  UNION ALL SELECT i, 'info', 'level_remove_absent' FROM typed WHERE event_type IS NULL
+  UNION ALL SELECT i, 'warning', 'crossed_book' FROM top WHERE bid >= ask)"""
+).replace("lineitem_numbered", "lines")
