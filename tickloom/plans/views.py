@@ -274,6 +274,41 @@ def depth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select(n.alias("raw_index"), line.alias("line"))
 
 
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed start position per symbol."""
+    return (
+        lines(spark, sf_dir)
+        .groupBy((1 + F.col("l_suppkey") % 8).alias("symbol_id"))
+        .agg((F.sum("l_partkey") % 401 - 200).alias("quantity"))
+        .withColumn("average_cost_ticks", F.lit(1000).cast("bigint"))
+    )
+
+
+def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A yearly ten-day disconnect and a kill thirty days before the last order."""
+    orders = order_requests(spark, sf_dir)
+    year = F.year(F.timestamp_micros(F.expr("timestamp_ns div 1000")))
+    starts = orders.groupBy(year.alias("year")).agg(F.min("timestamp_ns").alias("start"))
+    links = starts.select(
+        F.explode(
+            F.array(
+                F.struct(
+                    (F.col("start") + 10 * DAY_NS).alias("timestamp_ns"),
+                    F.lit("disconnect").alias("control"),
+                ),
+                F.struct(
+                    (F.col("start") + 20 * DAY_NS).alias("timestamp_ns"),
+                    F.lit("reconnect").alias("control"),
+                ),
+            )
+        ).alias("c")
+    ).select("c.*")
+    kill = orders.agg((F.max("timestamp_ns") - 30 * DAY_NS).alias("timestamp_ns")).withColumn(
+        "control", F.lit("kill")
+    )
+    return links.unionByName(kill).withColumn("scope", F.lit(1).cast("bigint"))
+
+
 # --- DuckDB twins -----------------------------------------------------------------------
 
 LINES_SQL = """
@@ -489,3 +524,30 @@ problems AS (
   UNION ALL SELECT i, 'info', 'level_remove_absent' FROM typed WHERE event_type IS NULL
   UNION ALL SELECT i, 'warning', 'crossed_book' FROM top WHERE bid >= ask)"""
 ).replace("lineitem_numbered", "lines")
+
+
+ORDERS_SQL = """
+order_requests AS (
+  SELECT o_orderkey + 1 AS client_order_id, 1 + o_custkey % 50 AS client_id,
+    1 + o_orderkey % 8 AS symbol_id,
+    CASE WHEN (o_orderkey // 8) % 2 = 0 THEN 'Buy' ELSE 'Sell' END AS side,
+    950 + (o_orderkey * 37) % 101 AS price_ticks, 1 + o_custkey % 200 AS quantity,
+    epoch_us(o_orderdate) * 1000 AS timestamp_ns,
+    row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS arrival FROM orders)"""
+
+MARKET_SQL = """
+market_ref AS (
+  SELECT 1 + l_suppkey % 8 AS symbol_id, epoch_us(l_shipdate) * 1000 AS timestamp_ns,
+    CAST(980 + sum(l_partkey) % 41 AS BIGINT) AS reference_price_ticks
+  FROM lineitem GROUP BY ALL),
+positions AS (
+  SELECT 1 + l_suppkey % 8 AS symbol_id, CAST(sum(l_partkey) % 401 - 200 AS BIGINT) AS quantity
+  FROM lineitem GROUP BY ALL)"""
+
+CONTROLS_SQL = f"""
+year_start AS (SELECT min(timestamp_ns) AS start FROM order_requests
+  GROUP BY year(make_timestamp(timestamp_ns // 1000))),
+controls AS (
+  SELECT start + 10 * {DAY_NS} AS timestamp_ns, 'disconnect' AS control FROM year_start
+  UNION ALL SELECT start + 20 * {DAY_NS}, 'reconnect' FROM year_start
+  UNION ALL SELECT max(timestamp_ns) - 30 * {DAY_NS}, 'kill' FROM order_requests)"""
