@@ -223,9 +223,9 @@ def market_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fills per symbol in order of ``fill_index``; one symbol per supplier modulo 16."""
+    """Fills per symbol in order of ``fill_index``; symbols are suppliers modulo 64."""
     return lines(spark, sf_dir).select(
-        (1 + F.col("l_suppkey") % 16).alias("symbol_id"),
+        (1 + F.col("l_suppkey") % 64).alias("symbol_id"),
         F.when(F.col("l_partkey") % 2 == 0, "Buy").otherwise("Sell").alias("side"),
         F.col("l_quantity").cast("bigint").alias("quantity"),
         (F.lit(900) + F.col("l_partkey") % 200).cast("bigint").alias("price_ticks"),
