@@ -614,15 +614,19 @@ _POLICY = features.SignalPolicy(
 )
 
 
-def _signals(spark, sf_dir):
+def _signal_columns():
     age = F.get_json_object("props", "$.k").cast("bigint") * 1_000_000_000
-    return V.table(spark, sf_dir, "events").select(
-        "user_id",
-        "event_id",
+    return [
+        F.col("user_id"),
+        F.col("event_id"),
         F.floor(F.col("value") * 100).cast("bigint").alias("latency_ns"),
         V.nanos("ts").alias("now_ns"),
         (V.nanos("ts") - age).alias("signal_timestamp_ns"),
-    )
+    ]
+
+
+def _signals(spark, sf_dir):
+    return V.table(spark, sf_dir, "events").select(*_signal_columns())
 
 
 @query(

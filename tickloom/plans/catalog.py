@@ -1,6 +1,12 @@
 """All registered queries: importing this module fills the registry."""
 
-from tickloom.plans import analytics_queries, event_queries, limit_queries  # noqa: F401
+from tickloom.plans import (  # noqa: F401
+    analytics_queries,
+    audit_queries,
+    event_queries,
+    limit_queries,
+    stream_queries,
+)
 from tickloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_stream(staged: DataFrame) -> DataFrame:
+    """The same staged table as a file stream."""
+    folder = staged.inputFiles()[0].rsplit("/", 1)[0]
+    return staged.sparkSession.readStream.schema(staged.schema).parquet(folder)
+
+
 def nanos(column: str):
     return F.unix_micros(F.col(column).cast("timestamp")) * 1000
 
@@ -112,10 +118,13 @@ def _picked(kind: int):
 
 
 def dirty_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """supplier_flow with one of ten kinds of damage on some orders."""
-    flow = supplier_flow(spark, sf_dir)
+    return damaged(supplier_flow(spark, sf_dir))
+
+
+def damaged(flow: DataFrame) -> DataFrame:
+    """A flow (batch or stream) with one of ten kinds of damage on some orders."""
     add, cut, cancel = F.col("step") == 0, F.col("step") == 1, F.col("event_type") == "Cancel"
-    damaged = flow.filter(~(_picked(0) & add)).withColumns(
+    broken = flow.filter(~(_picked(0) & add)).withColumns(
         {
             "quantity": F.when(_picked(1) & add, 0)
             .when(_picked(7) & cut, F.col("quantity") * 10)
@@ -136,7 +145,7 @@ def dirty_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).otherwise(F.col("timestamp_ns")),
         }
     )
-    return damaged.withColumns(
+    return broken.withColumns(
         {
             "order_id": F.col("_id"),
             "event_type": F.col("_type"),

@@ -16,6 +16,13 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators rely on."""
     for key, value in DEFAULTS.items():
         spark.conf.set(key, value)
+    # Where nobody chose a shuffle width, follow the cores there are; AQE coalesces from there.
+    width = "spark.sql.shuffle.partitions"
+    chosen = spark.sparkContext.getConf().contains(width) or spark.conf.get(width) != "200"
+    if not chosen:
+        cores = spark.sparkContext.defaultParallelism
+        local = spark.sparkContext.master.startswith("local")
+        spark.conf.set(width, str(cores if local else 3 * cores))
     return spark
 
 
