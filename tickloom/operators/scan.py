@@ -58,7 +58,7 @@ def block_scan(
     point = F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
     kept_block = isinstance(block, str)
-    place = block if kept_block else "_block"
+    place = block if kept_block else "_scan_block"
     base = df if kept_block else df.withColumn(place, block)
     inputs = {}
     for group in (previous, totals, latest, peaks):
