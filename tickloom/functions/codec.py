@@ -107,20 +107,20 @@ def payload(*parts: Column) -> Column:
     return F.unhex(F.concat(*parts))
 
 
-def event_payload() -> Column:
-    """The 58 checksum bytes of an event row."""
-    return payload(
-        le_hex(F.col("timestamp_ns"), 8),
-        le_hex(F.col("sequence_number"), 8),
-        le_hex(F.col("symbol_id"), 4),
-        le_hex(code_of(F.col("event_type"), schema.EVENT_TYPES), 1),
-        le_hex(code_of(F.col("side"), schema.SIDES), 1),
-        le_hex(F.col("price_ticks"), 8),
-        le_hex(F.col("quantity"), 8),
-        le_hex(F.col("order_id"), 8),
-        le_hex(F.col("trade_id"), 8),
-        le_hex(F.col("flags"), 4),
-    )
+def event_layout() -> dict[str, tuple[Column, str]]:
+    """The 58 checksum bytes of an event row as fixed-width little-endian fields."""
+    return {
+        "timestamp_ns": (F.col("timestamp_ns"), "<i8"),
+        "sequence_number": (F.col("sequence_number"), "<i8"),
+        "symbol_id": (F.col("symbol_id"), "<u4"),
+        "event_type": (code_of(F.col("event_type"), schema.EVENT_TYPES), "u1"),
+        "side": (code_of(F.col("side"), schema.SIDES), "u1"),
+        "price_ticks": (F.col("price_ticks"), "<i8"),
+        "quantity": (F.col("quantity"), "<i8"),
+        "order_id": (F.col("order_id"), "<i8"),
+        "trade_id": (F.col("trade_id"), "<i8"),
+        "flags": (F.col("flags"), "<u4"),
+    }
 
 
 def audit_payload() -> Column:

@@ -9,6 +9,7 @@ row, and executions and partial cancels reduce it.
 import heapq
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from tickloom import schema
 from tickloom.operators.scan import DEFAULT_BLOCK_ROWS, block_of, block_scan
+from tickloom.session import stage
 
 BOOK_EVENTS = ("Add", "Cancel", "Replace", "Execute", "Snapshot")
 
@@ -56,35 +58,35 @@ def order_states(events: DataFrame) -> DataFrame:
     touching = events.filter(F.col("event_type").isin(*BOOK_EVENTS) & (F.col("order_id") != 0))
     order = Window.partitionBy("symbol_id", "epoch", "order_id").orderBy("event_index")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sets = F.col("event_type").isin("Add", "Replace", "Snapshot")
-    opens = F.col("event_type").isin("Add", "Snapshot")
-    cut = F.when(F.col("event_type") == "Execute", F.col("quantity")).when(
-        (F.col("event_type") == "Cancel") & (F.col("quantity") > 0), F.col("quantity")
-    )
-    kill = (F.col("event_type") == "Cancel") & (F.col("quantity") <= 0)
-    lives = touching.withColumns(
+    kind, quantity = F.col("event_type"), F.col("quantity")
+    sets = kind.isin("Add", "Replace", "Snapshot")
+    opens = kind.isin("Add", "Snapshot")
+    cut = F.when((kind == "Execute") | ((kind == "Cancel") & (quantity > 0)), quantity).otherwise(0)
+    kill = (kind == "Cancel") & (quantity <= 0)
+    latest = lambda condition, value: F.last(
+        F.when(condition, value), ignorenulls=True
+    ).over(upto)
+    # One sort serves everything: reductions since the head of the life are a difference of
+    # running sums, and a full cancel counts when it came after the head.
+    cuts = touching.withColumn("_cut", F.sum(cut).over(upto))
+    heads = cuts.withColumns(
         {
-            "_life": F.sum(F.when(sets, 1).otherwise(0)).over(upto),
-            "rest_side": F.last(F.when(opens, F.col("side")), ignorenulls=True).over(upto),
+            "rest_side": latest(opens, F.col("side")),
+            "rest_price": latest(sets, F.col("price_ticks")),
+            "priority_index": latest(sets, F.col("event_index")),
+            "set_timestamp_ns": latest(sets, F.col("timestamp_ns")),
+            "set_sequence": latest(sets, F.col("sequence_number")),
+            "_head": latest(sets, quantity + F.col("_cut")),
+            "_killed": latest(kill, F.col("event_index")),
         }
     )
-    life = Window.partitionBy("symbol_id", "epoch", "order_id", "_life").orderBy("event_index")
-    so_far = life.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    left = (
-        F.first("quantity").over(so_far)
-        - F.coalesce(F.sum(F.coalesce(cut, F.lit(0))).over(so_far), F.lit(0))
+    gone = F.col("_head").isNull() | F.coalesce(
+        F.col("_killed") > F.col("priority_index"), F.lit(False)
     )
-    dead = F.max(F.when(kill, 1).otherwise(0)).over(so_far)
-    states = lives.withColumns(
-        {
-            "rest_quantity": F.when(
-                (F.col("_life") == 0) | (dead == 1), F.lit(0)
-            ).otherwise(F.greatest(left, F.lit(0))).cast("bigint"),
-            "rest_price": F.when(F.col("_life") > 0, F.first("price_ticks").over(so_far)),
-            "priority_index": F.first("event_index").over(so_far),
-            "set_timestamp_ns": F.first("timestamp_ns").over(so_far),
-            "set_sequence": F.first("sequence_number").over(so_far),
-        }
+    states = heads.withColumn(
+        "rest_quantity",
+        F.when(gone, 0).otherwise(F.greatest(F.col("_head") - F.col("_cut"), F.lit(0)))
+        .cast("bigint"),
     )
     return states.withColumns(
         {
@@ -92,7 +94,7 @@ def order_states(events: DataFrame) -> DataFrame:
             "prev_price": F.lag("rest_price").over(order),
             "prev_side": F.lag("rest_side").over(order),
         }
-    ).drop("_life")
+    ).drop("_cut", "_head", "_killed")
 
 
 def live_orders(events: DataFrame, snapshots: bool = True) -> DataFrame:
@@ -250,8 +252,10 @@ def level_deltas(states: DataFrame) -> DataFrame:
 
 # --- block-parallel book walk -----------------------------------------------------------
 
-# Row kinds inside a block, in the order they apply at equal positions.
-_CARRY, _CLEAR, _DELTA, _PROBE = 0, 1, 2, 3
+# Row kinds inside a block, in the order they apply at equal positions. Buy rows are even.
+_CLEAR, _BUY, _SELL, _PROBE_BUY, _PROBE_SELL = 0, 2, 3, 4, 5
+
+DEFAULT_WALK_ROWS = 50_000
 
 
 class _Side:
@@ -261,6 +265,9 @@ class _Side:
 
     def __init__(self, sign: int):
         self.sign = sign
+        self.clear()
+
+    def clear(self) -> None:
         self.quantity: dict[int, int] = {}
         self.heap: list[int] = []
 
@@ -308,6 +315,18 @@ def _sweep(side: _Side, limit: int | None, wanted: int) -> tuple[int, int]:
     return filled, cost
 
 
+def _group_starts(place: list[pa.Array], last: list | None) -> set[int]:
+    """Row numbers at which another (key, block) group begins in a sorted batch."""
+    size = len(place[0])
+    changed = np.zeros(size, dtype=bool)
+    for column in place:
+        values = column.to_numpy(zero_copy_only=False)
+        changed[1:] |= values[1:] != values[:-1]
+    if size and last != [c[0].as_py() for c in place]:
+        changed[0] = True
+    return set(np.flatnonzero(changed).tolist())
+
+
 PROBE_RESULT = (
     "probe_id BIGINT, event_index BIGINT, bid_price BIGINT, bid_quantity BIGINT, "
     "ask_price BIGINT, ask_quantity BIGINT"
@@ -322,7 +341,7 @@ def walk_books(
     clears: DataFrame | None = None,
     depth: int = 0,
     sweep: bool = False,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
+    block_rows: int = DEFAULT_WALK_ROWS,
 ) -> DataFrame:
     """Read the book at every probe position, in parallel blocks of each key's log.
 
@@ -333,15 +352,13 @@ def walk_books(
 
     The quantity of each level at the start of each block comes from per-block sums (combined
     before the shuffle), so every block is independent and one busy key is as parallel as
-    many. Output: keys, probe_id, event_index and the best quotes; ``depth`` adds ladders,
+    many. Carried rows are live levels x blocks: keep blocks longer than the book. Output: keys, probe_id, event_index and the best quotes; ``depth`` adds ladders,
     ``sweep`` adds fill_quantity and fill_cost of a limit (or, with a null price, market)
     order against the opposite side.
     """
     keys = list(keys)
     schema_of = {f.name: f.dataType for f in deltas.schema.fields}
     block = block_of("event_index", block_rows)
-    nothing = F.lit(None).cast("bigint")
-
     by_block = deltas.groupBy(*keys, "epoch", "side", "price_ticks", block.alias("_block")).agg(
         F.sum("delta").alias("_sum"), F.max("event_index").alias("_seen")
     )
@@ -387,42 +404,42 @@ def walk_books(
         ).select(*keys, "_block", F.coalesce("_now", F.lit(0)).alias("epoch"))
         carry = carry.join(starts, [*keys, "_block", "epoch"], "left_semi")
 
-    def shaped(df: DataFrame, kind: int, position, side, price, amount, probe):
+    def shaped(df: DataFrame, kind, position, price, amount, probe):
         return df.select(
             *keys,
             (F.col("_block") if "_block" in df.columns else block).alias("_block"),
             position.alias("event_index"),
-            F.lit(kind).alias("_kind"),
-            side.alias("side"),
+            kind.cast("tinyint").alias("_kind"),
             price.alias("price_ticks"),
             amount.alias("_amount"),
             probe.alias("probe_id"),
         )
 
-    no_text = F.lit(None).cast("string")
+    zero = F.lit(0).cast("bigint")
+    change = F.when(F.col("side") == "Buy", _BUY).otherwise(_SELL)
+    asked = (
+        F.when(F.col("side") == "Sell", _PROBE_SELL).otherwise(_PROBE_BUY)
+        if sweep
+        else F.lit(_PROBE_BUY)
+    )
     parts = [
         shaped(
-            carry, _CARRY, F.lit(-1).cast("bigint"), F.col("side"), F.col("price_ticks"),
-            F.col("_held"), nothing,
+            carry, change, F.lit(-1).cast("bigint"), F.col("price_ticks"), F.col("_held"), zero
         ),
         shaped(
-            deltas, _DELTA, F.col("event_index"), F.col("side"), F.col("price_ticks"),
-            F.col("delta"), nothing,
+            deltas, change, F.col("event_index"), F.col("price_ticks"), F.col("delta"), zero
         ),
         shaped(
             probes,
-            _PROBE,
+            asked,
             F.col("event_index"),
-            F.col("side") if sweep else no_text,
-            F.col("price_ticks") if sweep else nothing,
-            F.col("quantity") if sweep else nothing,
+            F.col("price_ticks") if sweep else zero,
+            F.col("quantity") if sweep else zero,
             F.col("probe_id"),
         ),
     ]
     if clears is not None:
-        parts.append(
-            shaped(clears, _CLEAR, F.col("event_index"), no_text, nothing, nothing, nothing)
-        )
+        parts.append(shaped(clears, F.lit(_CLEAR), F.col("event_index"), zero, zero, zero))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
@@ -443,43 +460,64 @@ def walk_books(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out_schema = to_arrow_schema(result)
-        current = None
         bids, asks = _Side(-1), _Side(1)
+        last = None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in [*keys, "_block"]]
-            position = batch.column("event_index").to_pylist()
-            kind = batch.column("_kind").to_pylist()
-            side = batch.column("side").to_pylist()
-            price = batch.column("price_ticks").to_pylist()
-            amount = batch.column("_amount").to_pylist()
-            probe = batch.column("probe_id").to_pylist()
-            out: list[tuple] = []
-            for i, place in enumerate(zip(*columns, strict=True)):
-                if place != current:
-                    current = place
-                    bids, asks = _Side(-1), _Side(1)
-                what = kind[i]
-                if what == _DELTA or what == _CARRY:
-                    (bids if side[i] == "Buy" else asks).change(price[i], amount[i])
+            place = [batch.column(c) for c in [*keys, "_block"]]
+            kind = batch.column("_kind").to_numpy()
+            prices = batch.column("price_ticks")
+            no_limit = prices.is_null().to_pylist() if sweep and prices.null_count else None
+            rows_of = zip(
+                kind.tolist(),
+                prices.fill_null(0).to_numpy().tolist(),
+                batch.column("_amount").to_numpy().tolist(),
+                strict=True,
+            )
+            fresh = _group_starts(place, last)
+            last = [c[-1].as_py() for c in place]
+            best: tuple[list, list, list, list] = ([], [], [], [])
+            extra: list[list] = [[] for _ in range(2 * bool(depth) + 2 * sweep)]
+            for i, (what, price, amount) in enumerate(rows_of):
+                if i in fresh:
+                    bids.clear()
+                    asks.clear()
+                if what == _BUY:
+                    bids.change(price, amount)
+                elif what == _SELL:
+                    asks.change(price, amount)
                 elif what == _CLEAR:
-                    bids, asks = _Side(-1), _Side(1)
+                    bids.clear()
+                    asks.clear()
                 else:
-                    row = (*place[:-1], probe[i], position[i], *bids.best(), *asks.best())
+                    bid, ask = bids.best(), asks.best()
+                    best[0].append(bid[0])
+                    best[1].append(bid[1])
+                    best[2].append(ask[0])
+                    best[3].append(ask[1])
                     if depth:
-                        row += (
-                            [{"price_ticks": p, "quantity": q} for p, q in bids.ladder(depth)],
-                            [{"price_ticks": p, "quantity": q} for p, q in asks.ladder(depth)],
-                        )
+                        for column, side in zip(extra, (bids, asks), strict=False):
+                            column.append(
+                                [
+                                    {"price_ticks": p, "quantity": q}
+                                    for p, q in side.ladder(depth)
+                                ]
+                            )
                     if sweep:
-                        opposite = asks if side[i] == "Buy" else bids
-                        row += _sweep(opposite, price[i], amount[i])
-                    out.append(row)
-            if out:
-                arrays = [
-                    pa.array(values, type=field.type)
-                    for values, field in zip(zip(*out, strict=True), out_schema, strict=True)
+                        opposite = asks if what == _PROBE_BUY else bids
+                        limit = None if no_limit and no_limit[i] else price
+                        filled, cost = _sweep(opposite, limit, amount)
+                        extra[-2].append(filled)
+                        extra[-1].append(cost)
+            asked_rows = pa.array(np.flatnonzero(kind >= _PROBE_BUY))
+            if len(asked_rows):
+                kept = [
+                    batch.column(c).take(asked_rows) for c in [*keys, "probe_id", "event_index"]
+                ]
+                made = [
+                    pa.array(values, type=out_schema.field(len(kept) + n).type)
+                    for n, values in enumerate([*best, *extra])
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, schema=out_schema)
+                yield pa.RecordBatch.from_arrays([*kept, *made], schema=out_schema)
 
     return rows.mapInArrow(walk, schema=result)
 
@@ -489,11 +527,12 @@ def quote_timeline(
     *,
     snapshots: bool = True,
     depth: int = 0,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
+    block_rows: int = DEFAULT_WALK_ROWS,
 ) -> DataFrame:
     """Best bid and ask right after every event of the log."""
-    log = with_epoch(events, snapshots, block_rows)
-    deltas = level_deltas(order_states(log))
+    log = with_epoch(events, snapshots)
+    # Read twice (level sums and block rows), so computed once.
+    deltas = stage(level_deltas(order_states(log)), "deltas")
     probes = events.select(
         "symbol_id", "event_index", F.col("event_index").alias("probe_id")
     )

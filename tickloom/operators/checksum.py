@@ -33,9 +33,17 @@ def same_rows(left: DataFrame, right: DataFrame) -> bool:
     return fingerprint(left).first() == fingerprint(right.select(*columns)).first()
 
 
-def _stream(rows: pa.Table, order: Sequence[str]) -> np.ndarray:
+Layout = dict[str, tuple[Column, str]]
+
+
+def _stream(rows: pa.Table, order: Sequence[str], widths: dict[str, str]) -> np.ndarray:
     """Payloads of a block in order, as one byte array."""
     ordered = rows.sort_by([(c, "ascending") for c in order])
+    if widths:
+        records = np.empty(ordered.num_rows, dtype=list(widths.items()))
+        for name in widths:
+            records[name] = ordered.column(name).to_numpy()
+        return records.view(np.uint8)
     parts = [p for p in ordered.column("_payload").to_pylist() if p]
     return np.frombuffer(b"".join(parts), dtype=np.uint8)
 
@@ -45,9 +53,13 @@ class _Chain:
 
     def __init__(self, rows, keys, order, payload, block, kept=()):
         self.keys, self.order = list(keys), list(order)
+        fields = payload if isinstance(payload, dict) else {}
+        self.widths = {f"_f_{name}": width for name, (_, width) in fields.items()}
+        data = [col.cast("bigint").alias(f"_f_{name}") for name, (col, _) in fields.items()]
         self.rows = stage(
             rows.select(
-                *self.keys, *self.order, *kept, payload.alias("_payload"), block.alias("_block")
+                *self.keys, *self.order, *kept,
+                *(data or [payload.alias("_payload")]), block.alias("_block"),
             ),
             "chain",
         )
@@ -62,10 +74,10 @@ class _Chain:
 
     def block_parts(self) -> DataFrame:
         """Bytes and affine part of every block."""
-        group, order = self.group, self.order
+        group, order, widths = self.group, self.order, self.widths
 
         def low_map(table: pa.Table) -> pa.Table:
-            data = _stream(table, order)
+            data = _stream(table, order, widths)
             mapped = pa.array([fnv.low_byte_map(data).tobytes()], pa.binary())
             return table.slice(0, 1).select(group).append_column("_map", mapped)
 
@@ -79,7 +91,7 @@ class _Chain:
             return ordered.select(group).append_column("_low", pa.array(lows, pa.int64()))
 
         def affine(left: pa.Table, right: pa.Table) -> pa.Table:
-            data = _stream(left, order)
+            data = _stream(left, order, widths)
             part = fnv.affine_part(data, right.column("_low")[0].as_py())
             return (
                 left.slice(0, 1)
@@ -123,12 +135,14 @@ def chained_checksum(
     rows: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    payload: Column,
+    payload: Column | Layout,
     block: Column,
     name: str = "checksum",
 ) -> DataFrame:
     """Exact FNV-1a over the payloads of each key in ``order``, as DECIMAL(20,0).
 
+    A payload is a binary column, or a layout of fixed-width fields packed in the task.
+
     The chain is split into blocks: pass one maps start low byte to end low byte, the maps of
     a key (256 bytes per block) are chained, pass two adds each block's affine part for its
     now known start. No task sees more than one block of rows.
@@ -196,7 +210,7 @@ def event_checksums(events: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) ->
         events,
         ["symbol_id"],
         ["event_index"],
-        codec.event_payload(),
+        codec.event_layout(),
         block_of("event_index", block_rows),
         "event_log_checksum",
     )
@@ -209,7 +223,7 @@ def activity_checksums(events: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS)
         active,
         ["symbol_id"],
         ["event_index"],
-        codec.event_payload(),
+        codec.event_layout(),
         block_of("event_index", block_rows),
         "activity_checksum",
     )

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tickloom import schema
 from tickloom.operators.asof import HOUR_NS, age_exceeds, as_of, running_sum_as_of
-from tickloom.operators.book import walk_books
+from tickloom.operators.book import DEFAULT_WALK_ROWS, walk_books
 from tickloom.operators.scan import block_fold, block_of, block_scan
 
 
@@ -296,7 +296,7 @@ def screen_orders(enriched: DataFrame, limits: RiskLimits) -> DataFrame:
     )
 
 
-def self_trades(working: DataFrame, block_rows: int = 1_000_000) -> DataFrame:
+def self_trades(working: DataFrame, block_rows: int = DEFAULT_WALK_ROWS) -> DataFrame:
     """Orders that would trade against the same client's resting orders.
 
     working: client_id, symbol_id, client_order_id, side, order_type, price_ticks, quantity,
@@ -352,7 +352,7 @@ def self_trades(working: DataFrame, block_rows: int = 1_000_000) -> DataFrame:
 
 
 def sweep_orders(
-    orders: DataFrame, deltas: DataFrame, block_rows: int = 1_000_000
+    orders: DataFrame, deltas: DataFrame, block_rows: int = DEFAULT_WALK_ROWS
 ) -> DataFrame:
     """Would the order cross the ladder, can it fill completely, at what cost.
 

@@ -184,7 +184,7 @@ def diagnostics(events: DataFrame, options: ReplayOptions = ReplayOptions()) ->
         quotes = book.quote_timeline(
             clean.select(*events.columns),
             snapshots=options.snapshots,
-            block_rows=options.block_rows,
+            block_rows=min(options.block_rows, book.DEFAULT_WALK_ROWS),
         )
         crossed = crossed_rows(quotes).join(
             annotated.select("symbol_id", "event_index", "event_ordinal", "sequence_number"),

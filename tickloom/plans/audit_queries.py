@@ -84,19 +84,19 @@ def table_fingerprint(spark, sf_dir):
 
 @query("event_log_checksums")
 def event_log_checksums(spark, sf_dir):
-    return checksum.event_checksums(V.order_flow(spark, sf_dir), block_rows=200_000)
+    return checksum.event_checksums(V.order_flow(spark, sf_dir), block_rows=50_000)
 
 
 @query("activity_checksums")
 def activity_checksums(spark, sf_dir):
-    return checksum.activity_checksums(V.order_flow(spark, sf_dir), block_rows=200_000)
+    return checksum.activity_checksums(V.order_flow(spark, sf_dir), block_rows=50_000)
 
 
 @query("book_checksums")
 def book_checksums(spark, sf_dir):
     events = V.order_flow(spark, sf_dir)
     orders = book.live_orders(events, snapshots=False)
-    return checksum.book_checksums(orders, events.select("symbol_id").distinct(), 200_000)
+    return checksum.book_checksums(orders, events.select("symbol_id").distinct(), 50_000)
 
 
 @query("combined_book_checksum")
