@@ -209,9 +209,11 @@ def best_orders(queue: DataFrame) -> DataFrame:
     )
 
 
-def order_as_of(events: DataFrame, index: int, snapshots: bool = True) -> DataFrame:
-    """Orders resting right after log position ``index`` of each symbol."""
-    return live_orders(events.filter(F.col("event_index") <= index), snapshots)
+def order_as_of(
+    events: DataFrame, at: int, column: str = "event_index", snapshots: bool = True
+) -> DataFrame:
+    """Orders resting right after position (or, by ``column``, time) ``at`` of each symbol."""
+    return live_orders(events.filter(F.col(column) <= at), snapshots)
 
 
 def level_deltas(states: DataFrame) -> DataFrame:

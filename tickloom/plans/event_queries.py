@@ -259,17 +259,22 @@ def activity_rows(spark, sf_dir):
     )
 
 
+# 2000-01-01.
+_AS_OF_NS = 946_684_800 * 1_000_000_000
+
+
 @query(
     "order_state_asof",
     f"""WITH {V.ORDER_FLOW_SQL},
-    clean AS (SELECT *, 0 AS epoch FROM order_flow WHERE event_index <= 5000),
+    clean AS (SELECT *, 0 AS epoch FROM order_flow WHERE timestamp_ns <= {_AS_OF_NS}),
     {V.states_sql("clean")}
     SELECT symbol_id, side, price_ticks, order_id, quantity FROM live""",
 )
 def order_state_asof(spark, sf_dir):
-    return book.order_as_of(V.order_flow(spark, sf_dir), 5000, snapshots=False).select(
-        "symbol_id", "side", "price_ticks", "order_id", "quantity"
+    orders = book.order_as_of(
+        V.order_flow(spark, sf_dir), _AS_OF_NS, "timestamp_ns", snapshots=False
     )
+    return orders.select("symbol_id", "side", "price_ticks", "order_id", "quantity")
 
 
 @query(
