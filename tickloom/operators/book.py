@@ -104,19 +104,9 @@ def live_orders(events: DataFrame, snapshots: bool = True) -> DataFrame:
     """
     log = with_epoch(events, snapshots)
     states = order_states(log)
-    last = states.groupBy("symbol_id", "epoch", "order_id").agg(
-        *[
-            F.max_by(c, "event_index").alias(c)
-            for c in (
-                "rest_side",
-                "rest_price",
-                "rest_quantity",
-                "priority_index",
-                "set_timestamp_ns",
-                "set_sequence",
-            )
-        ]
-    )
+    # The last row of an order comes from the sort the states already have.
+    order = Window.partitionBy("symbol_id", "epoch", "order_id").orderBy("event_index")
+    last = states.withColumn("_next", F.lead("event_index").over(order)).filter("_next IS NULL")
     if snapshots:
         current = log.groupBy("symbol_id").agg(F.max("epoch").alias("epoch"))
         last = last.join(current, ["symbol_id", "epoch"], "left_semi")
