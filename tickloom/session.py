@@ -1,5 +1,6 @@
 """Session settings and the shared staging folder."""
 
+import re
 import tempfile
 import uuid
 
@@ -13,34 +14,41 @@ DEFAULTS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators rely on."""
+    """Apply the runtime settings the operators rely on; the shuffle width stays the user's."""
     for key, value in DEFAULTS.items():
         spark.conf.set(key, value)
-    # Where nobody chose a shuffle width, follow the cores there are; AQE coalesces from there.
-    width = "spark.sql.shuffle.partitions"
-    chosen = spark.sparkContext.getConf().contains(width) or spark.conf.get(width) != "200"
-    if not chosen:
-        cores = spark.sparkContext.defaultParallelism
-        local = spark.sparkContext.master.startswith("local")
-        spark.conf.set(width, str(cores if local else 3 * cores))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only where neither that setting nor a checkpoint directory exists (tests, a laptop) a
-    temporary folder is made and registered.
+    Only under a ``local`` master, where driver and executors are one process, a temporary
+    folder may stand in. Anywhere else the missing setting is an error, since each executor
+    would write to a disk of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def clean_staged(spark: SparkSession) -> bool:
+    """Delete what ``stage`` has written in this application; tables read from it end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    _views.clear()
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tickloom/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -48,7 +56,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     files are read again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tickloom/{label}-{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
