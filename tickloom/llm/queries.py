@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, exact, license, mix, near, pack, rules, shards, toxic
+from tickloom.llm import chat, exact, license, mix, near, pack, repeats, rules, shards, toxic
 from tickloom.llm.common import table, text_of, words_of
 from tickloom.session import stage
 
@@ -275,3 +275,9 @@ def op6_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     grammar = toxic.train(docs, table(spark, sf_dir, "labels"))
     return toxic.score(docs, grammar)
+
+
+@query()
+def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 50-byte strings that a smaller document has as well."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
