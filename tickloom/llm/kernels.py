@@ -145,11 +145,12 @@ def estimate(ones: np.ndarray, many: np.ndarray, n_ones: np.ndarray,
 
 
 def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
-    """A key per band of ``rows`` registers; 0 for a band without a value."""
-    parts = registers[: len(registers) // rows * rows].reshape(-1, rows).astype(U)
-    key = np.arange(1, len(parts) + 1, dtype=U)
+    """Per sketch (a row) a key per band of ``rows`` registers; 0 for a band without a value."""
+    n, width = registers.shape
+    parts = registers[:, : width // rows * rows].reshape(n, -1, rows).astype(U)
+    key = np.tile(np.arange(1, parts.shape[1] + 1, dtype=U), (n, 1))
     with np.errstate(over="ignore"):
         for j in range(rows):
-            key = mix64(key * U(_BASE) + parts[:, j])
+            key = mix64(key * U(_BASE) + parts[:, :, j])
     key[key == 0] = 1
-    return np.where(parts.any(axis=1), key, U(0))
+    return np.where(parts.any(axis=2), key, U(0))

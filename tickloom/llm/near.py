@@ -63,17 +63,15 @@ def _classes(words: int):
 def _bands(rows: int):
     def run(batches):
         for batch in batches:
-            keys, owner = [], []
-            for i, s in enumerate(batch.column("sketch").to_pylist()):
-                own = K.band_keys(np.frombuffer(s, np.uint16), rows)
-                own = own[own != 0]
-                keys.append(own)
-                owner.append(np.full(len(own), i))
-            if keys:
-                at = pa.array(np.concatenate(owner).astype(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)),
-                     batch.column("cls").take(at)], ["bucket", "cls"])
+            if batch.num_rows == 0:
+                continue
+            keys = K.band_keys(np.frombuffer(
+                b"".join(batch.column("sketch").to_pylist()), np.uint16
+            ).reshape(batch.num_rows, -1), rows)
+            owner, band = np.nonzero(keys)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[owner, band].view(np.int64)),
+                 batch.column("cls").take(pa.array(owner))], ["bucket", "cls"])
     return run
 
 
@@ -101,32 +99,58 @@ def _estimated(near: Near):
     return run
 
 
+def _meet(near: Near, best: int | None, n, comp, sketches, low, high) -> np.ndarray:
+    """Plausible pairs between components, of rows ``low`` with rows ``high``."""
+    out = []
+    step = max(1, 4096 // max(1, len(high)))  # bounds the compared registers
+    for a in range(0, len(low), step):
+        x = low[a: a + step]
+        est, used = K.estimate(sketches[x][:, None, :], sketches[high][None, :, :],
+                               n[x][:, None], n[high][None, :])
+        ok = _plausible(near, est, used, n[x][:, None], n[high][None, :]) & (
+            comp[x][:, None] != comp[high][None, :])
+        if best is not None and len(high) > best:
+            rank = np.argsort(np.argsort(np.where(ok, -est, 9.0), axis=1, kind="stable"), axis=1)
+            ok &= rank < best
+        i, j = np.nonzero(ok)
+        out.append(np.c_[x[i], high[j]])
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+
 def _across(near: Near, best: int | None):
-    """Plausible pairs between components within a block pair of a bucket."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        side = rows["blk"].to_numpy()
-        low = side.min()
-        x = np.flatnonzero(side == low)
-        y = np.flatnonzero(side == side.max())
+    """Pairs across components, from rows that come ordered by block pair of a bucket."""
+    columns = ["bucket", "i", "j"]
+
+    def pairs(rows: pd.DataFrame):
+        key = rows[columns].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1), True])
         sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), -1)
-        n, comp = rows["n"].to_numpy(), pd.factorize(rows["comp"])[0]
-        # A pair of two blocks whose rows all went to one of them has nothing to compare.
-        if rows["i"].iloc[0] != rows["j"].iloc[0] and low == side.max():
-            x = x[:0]
-        out_a, out_b = [], []
-        for k in x:
-            est, used = K.estimate(sketches[k], sketches[y], n[k: k + 1], n[y])
-            ok = _plausible(near, est, used, n[k: k + 1], n[y]) & (comp[y] != comp[k])
-            hit = np.flatnonzero(ok)
-            if best is not None and len(hit) > best:
-                hit = hit[np.argsort(-est[hit], kind="stable")[:best]]
-            out_a += [k] * len(hit)
-            out_b += y[hit].tolist()
-        cls = rows["cls"].to_numpy(dtype=object)
-        a, b = cls[out_a], cls[out_b]
-        return pd.DataFrame({"a": [min(p, q) for p, q in zip(a, b)],
-                             "b": [max(p, q) for p, q in zip(a, b)]},
-                            dtype=object).drop_duplicates()
+        n, blk = rows["n"].to_numpy(), rows["blk"].to_numpy()
+        comp, cls = pd.factorize(rows["comp"])[0], rows["cls"].to_numpy(dtype=object)
+        found = [np.empty((0, 2), np.int64)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b - a > 1 and (comp[a:b] != comp[a]).any():
+                own = np.arange(a, b)
+                found.append(_meet(near, best, n, comp, sketches, own[blk[a:b] == key[a, 1]],
+                                   own[blk[a:b] == key[a, 2]]))
+        one, other = cls[np.concatenate(found)].T if len(cls) else ([], [])
+        both = {(min(p, q), max(p, q)) for p, q in zip(one, other)}
+        return pa.RecordBatch.from_arrays(
+            [pa.array([p[k] for p in both], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            rows = batch.to_pandas()
+            rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
+            if len(rows) == 0:
+                continue
+            last = (rows[columns] == rows[columns].iloc[-1]).all(axis=1).to_numpy()
+            first = len(rows) - int(np.argmin(last[::-1])) if not last.all() else 0
+            yield pairs(rows.iloc[:first])
+            rest = rows.iloc[first:].reset_index(drop=True)
+        if rest is not None:
+            yield pairs(rest)
     return run
 
 
@@ -164,7 +188,8 @@ def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def _open_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, near: Near,
                 best: int | None) -> DataFrame:
     """Plausible pairs across components, from the buckets that hold more than one."""
-    rows = members.select("bucket", "cls").join(labels, "cls")
+    # Every class has met its bucket's smallest class already.
+    rows = members.filter("cls <> lead").select("bucket", "cls").join(labels, "cls")
     mixed = rows.groupBy("bucket").agg(
         F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("k")
     ).filter("c1 <> c2").select("bucket", F.ceil(F.col("k") / near.block).cast("int")
@@ -172,9 +197,9 @@ def _open_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, near: Ne
     rows = rows.join(mixed, "bucket").join(reps.select("cls", "n", "sketch"), "cls")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", "cls", "comp", "n", "sketch", "blk",
-                       F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
-    return rows.groupBy("bucket", "i", "j").applyInPandas(
+    rows = rows.select("bucket", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"),
+                       "cls", "comp", "n", "sketch", "blk")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(
         _across(near, best), "a binary, b binary").distinct()
 
 

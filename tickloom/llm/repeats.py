@@ -298,7 +298,7 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
 def _to_blocks(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("id", kind="stable")
     texts = [t.encode() for t in rows["t"]]
-    data = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+    data = zstandard.ZstdCompressor(level=5).compress(b"".join(texts))
     return pd.DataFrame({
         "blk": [rows["blk"].iloc[0]], "ids": [rows["id"].to_numpy(np.int64).tobytes()],
         "sizes": [np.array([len(t) for t in texts], np.int64).tobytes()], "data": [data],
