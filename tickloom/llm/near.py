@@ -40,7 +40,8 @@ class Near:
     words: int = 5
     band_rows: int = 6
     sigmas: float = 4.0
-    best: int = 3
+    slack: float = 0.01
+    best: int = 1
     block: int = 1024
 
 
@@ -77,10 +78,12 @@ def _bands(rows: int):
 
 def _plausible(near: Near, est: np.ndarray, used: np.ndarray, n: np.ndarray,
                m: np.ndarray) -> np.ndarray:
+    # Used registers are a draw without replacement from the union at the threshold.
     goal = near.percent / 100
-    error = np.sqrt(goal * (1 - goal) / np.maximum(used, 1))
+    union = np.maximum(np.maximum(used, (n + m) / (1 + goal)), 2)
+    error = np.sqrt(goal * (1 - goal) / np.maximum(used, 1) * (union - used) / (union - 1))
     fits = 100 * np.minimum(n, m) >= near.percent * np.maximum(n, m)
-    return fits & (est >= goal - near.sigmas * error)
+    return fits & (est >= goal - near.sigmas * error - near.slack)
 
 
 def _estimated(near: Near):
