@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.scan import block_scan
+from tickloom.operators.scan import block_scan, whole_div
 
 HOUR_NS = 3_600 * 1_000_000_000
 
@@ -41,7 +41,7 @@ def as_of(
         known.unionByName(asked),
         keys,
         [time, "_asked"],
-        F.floor(F.col(time) / F.lit(slice_ns)).cast("bigint"),
+        whole_div(time, slice_ns),
         latest={
             "_hit": F.when(is_known, F.struct(F.col(time).alias("_t"), *[F.col(c) for c in values]))
         },
@@ -66,7 +66,7 @@ def running_sum_as_of(
         both,
         [],
         [time],
-        F.floor(F.col(time) / F.lit(slice_ns)).cast("bigint"),
+        whole_div(time, slice_ns),
         totals={name: F.col("_step")},
     )
     return left.join(total.select(time, name), time, "left")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tickloom.functions import codec, fnv
 from tickloom.operators.checksum import chained_checksum
-from tickloom.operators.scan import block_scan
+from tickloom.operators.scan import block_scan, whole_div
 from tickloom.sources.audit_log import read_audit
 from tickloom.sources.files import open_path, ordered_lines
 
@@ -50,7 +50,7 @@ def verify_rows(
     alone: all rows verify in parallel, and up to the first bad row this equals a recomputed
     chain.
     """
-    block = block if block is not None else F.floor(F.col(order[-1]) / F.lit(_SLICE)).cast("bigint")
+    block = block if block is not None else whole_div(order[-1], _SLICE)
     linked = block_scan(
         entries, keys, order, block, previous={"_logged": F.col("checksum")}
     )
@@ -79,15 +79,13 @@ def verify_chain(spark: SparkSession, paths: Sequence[str], fmt: str = "auto") -
     """One row: valid, files_checked, entries_checked, final_checksum and the first error."""
     entries = read_audit(spark, paths, fmt)
     order = ["file_no", "offset"]
-    slices = F.col("file_no").cast("bigint") * 1_000_000_000 + F.floor(
-        F.col("offset") / F.lit(_SLICE)
-    ).cast("bigint")
+    slices = F.col("file_no").cast("bigint") * 1_000_000_000 + whole_div("offset", _SLICE)
     judged = verify_rows(entries, order, block=slices)
     lined = block_scan(
         judged,
         ["file_no"],
         ["offset"],
-        F.floor(F.col("offset") / F.lit(_SLICE)).cast("bigint"),
+        whole_div("offset", _SLICE),
         totals={"line": F.lit(1).cast("bigint")},
     )
     place = F.struct(*order)
@@ -159,7 +157,7 @@ def file_statistics(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         ["file_no"],
         ["offset"],
         F.concat("raw", newline),
-        F.floor(F.col("offset") / F.lit(_SLICE)).cast("bigint"),
+        whole_div("offset", _SLICE),
         "content_checksum",
     )
     return counts.join(content, "file_no")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom import schema
-from tickloom.operators.scan import DEFAULT_BLOCK_ROWS, block_of, block_scan
+from tickloom.operators.scan import DEFAULT_BLOCK_ROWS, block_of, block_scan, whole_div
 from tickloom.session import stage
 
 BOOK_EVENTS = ("Add", "Cancel", "Replace", "Execute", "Snapshot")
@@ -542,7 +542,7 @@ def period_ladders(events: DataFrame, period_ns: int) -> DataFrame:
     Built-ins only: per-period net change of each level, summed up and carried forward to the
     periods of the symbol. Input must hold no snapshots. Rows are levels x periods.
     """
-    period = F.floor(F.col("timestamp_ns") / F.lit(period_ns)).cast("bigint")
+    period = whole_div("timestamp_ns", period_ns)
     log = events.withColumn("period", period)
     states = order_states(log.withColumn("epoch", F.lit(0).cast("bigint")))
     deltas = level_deltas(states).join(

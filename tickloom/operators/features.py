@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom import schema
-from tickloom.operators.scan import block_scan
+from tickloom.operators.scan import block_scan, whole_div
 
 
 def l2_features(quotes: DataFrame) -> DataFrame:
@@ -333,7 +333,7 @@ def neighbourhood(
     and a window over them. ``position`` must be dense. Only rows near block ends are copied,
     so fixed-length frames over a busy key need no per-key task. Keep rows with ``_own``.
     """
-    block = F.floor(F.col(position) / F.lit(block_rows)).cast("bigint")
+    block = whole_div(position, block_rows)
     place = F.col(position) - block * block_rows
     copy = lambda shift, own: F.struct(
         (block + shift).alias("_block"), F.lit(own).alias("_own")

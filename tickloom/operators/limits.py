@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tickloom import schema
 from tickloom.operators.asof import HOUR_NS, age_exceeds, as_of, running_sum_as_of
 from tickloom.operators.book import DEFAULT_WALK_ROWS, walk_books
-from tickloom.operators.scan import block_fold, block_of, block_scan
+from tickloom.operators.scan import block_fold, block_of, block_scan, whole_div
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ def sliding_rate(messages: DataFrame, window_ns: int) -> DataFrame:
     Every message is put into its window-sized time bucket and, as context, into the next one,
     so a busy client is split by time.
     """
-    bucket = F.floor(F.col("timestamp_ns") / F.lit(window_ns)).cast("bigint")
+    bucket = whole_div("timestamp_ns", window_ns)
     copies = messages.withColumn(
         "_in",
         F.explode(
@@ -148,7 +148,7 @@ def exposure_base(
         per_time,
         ["symbol_id"],
         ["timestamp_ns"],
-        F.floor(F.col("timestamp_ns") / F.lit(slice_ns)).cast("bigint"),
+        whole_div("timestamp_ns", slice_ns),
         previous={"_before": F.col("_price")},
     ).select(
         "timestamp_ns",

@@ -23,10 +23,17 @@ from tickloom.session import stage
 DEFAULT_BLOCK_ROWS = 1_000_000
 
 
+def whole_div(value: Column | str, unit: int) -> Column:
+    """Floor of a whole number over a positive unit, in whole numbers."""
+    col = (F.col(value) if isinstance(value, str) else value).cast("bigint")
+    unit = F.lit(unit).cast("bigint")
+    return F.call_function("div", col - F.pmod(col, unit), unit)
+
+
 def block_of(position: Column | str, rows: int) -> Column:
     """Block number of a unique integer position: at most ``rows`` rows per key and block."""
     col = F.col(position) if isinstance(position, str) else position
-    return F.floor(col / F.lit(rows)).cast("bigint")
+    return whole_div(col, rows)
 
 
 def block_scan(

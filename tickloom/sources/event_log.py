@@ -1,10 +1,12 @@
 """Event logs as CSV and binary files, read and written in parallel."""
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, WriterCommitMessage
@@ -12,7 +14,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from tickloom import schema
 from tickloom.functions import codec
 from tickloom.operators.scan import block_scan
-from tickloom.sources.files import SPLIT_BYTES, FileRange, list_files, open_path, ordered_lines, read_head
+from tickloom.sources.files import (
+    SPLIT_BYTES,
+    FileRange,
+    list_files,
+    numbered_files,
+    open_path,
+    ordered_lines,
+    read_head,
+)
 
 # Fixed values of log format version 1.
 MAGIC = b"ASTITCH1"
@@ -108,11 +118,12 @@ class BinaryEventLog(DataSource):
 class BinaryEventReader(DataSourceReader):
     def __init__(self, options):
         self.paths = options["paths"].split("\n")
+        self.numbers = options.get("numbers", "")
         self.split = max(int(options.get("split", SPLIT_BYTES)) // RECORD_SIZE, 1) * RECORD_SIZE
 
     def partitions(self) -> list[FileRange]:
         ranges = []
-        for number, (path, size) in enumerate(list_files(self.paths)):
+        for number, path, size in numbered_files(self.paths, self.numbers):
             check_header(read_head(path, HEADER_SIZE))
             if (size - HEADER_SIZE) % RECORD_SIZE:
                 raise EventLogError(
@@ -206,8 +217,14 @@ class BinaryEventWriter(DataSourceWriter):
     def commit(self, messages) -> None:
         system, plain = open_path(self.path)
         kept = [m for m in messages if m is not None and m.records]
-        for number, message in enumerate(kept):
-            system.move(message.path, f"{plain}/part-{number:05d}.bin")
+        # An append goes on after the parts that are there and never takes the name of one.
+        names = [i.base_name for i in system.get_file_info(fs.FileSelector(plain))]
+        held = [int(m[1]) for n in names if (m := re.fullmatch(r"part-(\d+)\.bin", n))]
+        for number, message in enumerate(kept, max(held, default=-1) + 1):
+            target = f"{plain}/part-{number:05d}.bin"
+            if system.get_file_info(target).type != fs.FileType.NotFound:
+                raise FileExistsError(target)
+            system.move(message.path, target)
         for message in messages:
             if message is not None and not message.records:
                 system.delete_file(message.path)
@@ -219,11 +236,15 @@ class BinaryEventWriter(DataSourceWriter):
                 system.delete_file(message.path)
 
 
-def read_binary(spark: SparkSession, paths: Sequence[str], split: int = SPLIT_BYTES) -> DataFrame:
+def read_binary(
+    spark: SparkSession, paths: Sequence[str], split: int = SPLIT_BYTES,
+    numbers: Sequence[int] | None = None,
+) -> DataFrame:
     spark.dataSource.register(BinaryEventLog)
     return (
         spark.read.format("binary_event_log")
         .option("paths", "\n".join(paths))
+        .option("numbers", ",".join(map(str, numbers or [])))
         .option("split", str(split))
         .load()
     )
@@ -236,13 +257,16 @@ def write_binary(events: DataFrame, path: str) -> None:
     ordered.select(*schema.EVENT_COLUMNS).write.format("binary_event_log").mode("append").save(path)
 
 
-def parse_csv(spark: SparkSession, paths: Sequence[str], split: int = SPLIT_BYTES) -> DataFrame:
+def parse_csv(
+    spark: SparkSession, paths: Sequence[str], split: int = SPLIT_BYTES,
+    numbers: Sequence[int] | None = None,
+) -> DataFrame:
     """Typed rows with ``error`` (null when fine), ``line_number`` and ``event_index``.
 
     Blank lines, comments and exact headers are skipped; a line with two or more column names
     that is not the exact header is a drift error.
     """
-    lines = ordered_lines(spark, paths, split).withColumn(
+    lines = ordered_lines(spark, paths, split, numbers).withColumn(
         "text", F.trim(F.decode("raw", "UTF-8"), F.lit(codec.WHITESPACE))
     )
     numbered = block_scan(
@@ -312,11 +336,12 @@ def parse_csv(spark: SparkSession, paths: Sequence[str], split: int = SPLIT_BYTE
 
 
 def read_csv(
-    spark: SparkSession, paths: Sequence[str], strict: bool = True, split: int = SPLIT_BYTES
+    spark: SparkSession, paths: Sequence[str], strict: bool = True, split: int = SPLIT_BYTES,
+    numbers: Sequence[int] | None = None,
 ) -> DataFrame:
     """CSV events. ``strict`` rejects everything on the first bad line; otherwise bad lines
     are left out (``quarantine`` lists them)."""
-    parsed = parse_csv(spark, paths, split)
+    parsed = parse_csv(spark, paths, split, numbers)
     if strict:
         bad = parsed.filter("error IS NOT NULL").orderBy("event_index").limit(1).collect()
         if bad:
@@ -346,14 +371,15 @@ def read_events(
         return read_binary(spark, paths)
     if fmt == "csv":
         return read_csv(spark, paths, strict)
-    kinds: dict[str, list[str]] = {"csv": [], "binary": []}
-    for path, _ in list_files(paths):
-        kinds[detect_format(path)].append(path)
+    # One number per file over both kinds, so that positions never repeat.
+    kinds: dict[str, dict[str, int]] = {"csv": {}, "binary": {}}
+    for number, (path, _) in enumerate(list_files(paths)):
+        kinds[detect_format(path)][path] = number
     parts = []
-    if kinds["csv"]:
-        parts.append(read_csv(spark, kinds["csv"], strict))
-    if kinds["binary"]:
-        parts.append(read_binary(spark, kinds["binary"]))
+    if csv := kinds["csv"]:
+        parts.append(read_csv(spark, list(csv), strict, numbers=list(csv.values())))
+    if binary := kinds["binary"]:
+        parts.append(read_binary(spark, list(binary), numbers=list(binary.values())))
     if not parts:
         raise FileNotFoundError(f"no event logs in {paths}")
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

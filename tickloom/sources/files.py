@@ -33,10 +33,12 @@ def list_files(paths: Sequence[str]) -> list[tuple[str, int]]:
             found.append((path, info.size))
         elif info.type == fs.FileType.Directory:
             inside = system.get_file_info(fs.FileSelector(plain, recursive=True))
+            # Entries come without the scheme of the folder they were found in.
+            scheme = path.rstrip("/").removesuffix(plain.rstrip("/")) if path != plain else ""
             for item in sorted(inside, key=lambda x: x.path):
                 hidden = any(p[:1] in "._" for p in item.path[len(plain):].split("/") if p)
                 if item.type == fs.FileType.File and not hidden:
-                    found.append((item.path, item.size))
+                    found.append((scheme + item.path, item.size))
         else:
             raise FileNotFoundError(path)
     return found
@@ -48,6 +50,13 @@ def read_head(path: str, size: int) -> bytes:
         return stream.read(size)
 
 
+def numbered_files(paths: Sequence[str], numbers: str) -> list[tuple[int, str, int]]:
+    """(number, path, size) of the listed files: numbered as told, one each, or from 0."""
+    files = list_files(paths)
+    given = [int(n) for n in numbers.split(",")] if numbers else range(len(files))
+    return [(n, path, size) for n, (path, size) in zip(given, files, strict=True)]
+
+
 @dataclass
 class FileRange(InputPartition):
     path: str
@@ -74,11 +83,12 @@ class OrderedLines(DataSource):
 class OrderedLinesReader(DataSourceReader):
     def __init__(self, options):
         self.paths = options["paths"].split("\n")
+        self.numbers = options.get("numbers", "")
         self.split = int(options.get("split", SPLIT_BYTES))
 
     def partitions(self) -> list[FileRange]:
         ranges = []
-        for number, (path, size) in enumerate(list_files(self.paths)):
+        for number, path, size in numbered_files(self.paths, self.numbers):
             for begin in range(0, size, self.split):
                 ranges.append(FileRange(path, number, begin, min(begin + self.split, size), size))
         return ranges or [FileRange("", 0, 0, 0, 0)]
@@ -150,7 +160,8 @@ def _after_newline(file, position: int, end: int, size: int) -> int:
 
 
 def ordered_lines(
-    spark: SparkSession, paths: Sequence[str], split: int = SPLIT_BYTES
+    spark: SparkSession, paths: Sequence[str], split: int = SPLIT_BYTES,
+    numbers: Sequence[int] | None = None,
 ) -> DataFrame:
     """All lines of the files with file number and byte offset."""
     spark.dataSource.register(OrderedLines)
@@ -158,5 +169,6 @@ def ordered_lines(
         spark.read.format("ordered_lines")
         .option("paths", "\n".join(paths))
         .option("split", str(split))
+        .option("numbers", ",".join(map(str, numbers or [])))
         .load()
     )
