@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -283,7 +283,7 @@ def test_mix_redistributes(spark):
 
 
 def test_pipeline_brute_force(spark, docs, texts):
-    d, kept = docs, None
+    d = docs
     for name, stage in corpus_pipeline.STAGES[:4]:
         before = {r.doc_id: r for r in d.collect()}
         d = stage(spark, d, SF)
@@ -299,7 +299,11 @@ def test_pipeline_brute_force(spark, docs, texts):
             groups = near_groups({i: r.text for i, r in before.items()})
             assert {r.doc_id for r in after} == {i for i, (_, c) in groups.items() if i == c}
         else:
-            want = sum(len(r.text.split()) for r in before.values()) * 9 // 10
-            assert 0.8 * want <= sum(len(r.text.split()) for r in after) <= want
+            con = duckdb.connect()
+            frame = spark.createDataFrame(list(before.values()), docs.schema).toPandas()
+            con.register("documents", frame)
+            want = con.sql(queries.ORACLES["op9_target_mix"]).df()
+            copies = {int(i): int(c) for i, c in zip(want.doc_id, want.copies) if c}
+            assert Counter(r.doc_id for r in after) == copies
     rows = corpus_pipeline.packing(spark, d, SF).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in d.collect()}
