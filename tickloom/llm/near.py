@@ -130,12 +130,20 @@ def _across(near: Near, best: int | None):
         sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), -1)
         n, blk = rows["n"].to_numpy(), rows["blk"].to_numpy()
         comp, cls = pd.factorize(rows["comp"])[0], rows["cls"].to_numpy(dtype=object)
+        bands = K.band_keys(sketches, near.band_rows) if best is None and len(rows) else None
         found = [np.empty((0, 2), np.int64)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b - a > 1 and (comp[a:b] != comp[a]).any():
                 own = np.arange(a, b)
-                found.append(_meet(near, best, n, comp, sketches, own[blk[a:b] == key[a, 1]],
-                                   own[blk[a:b] == key[a, 2]]))
+                low, high = own[blk[a:b] == key[a, 1]], own[blk[a:b] == key[a, 2]]
+                if best is not None:  # the largest component need not look for partners
+                    low = low[comp[low] != np.bincount(comp[a:b]).argmax()]
+                met = _meet(near, best, n, comp, sketches, low, high)
+                if best is None:  # a pair counts in the first band that it shares
+                    x, y = bands[met[:, 0]], bands[met[:, 1]]
+                    first = np.argmax((x == y) & (x != 0), axis=1)
+                    met = met[x[np.arange(len(x)), first].view(np.int64) == key[a, 0]]
+                found.append(met)
         one, other = cls[np.concatenate(found)].T if len(cls) else ([], [])
         both = {(min(p, q), max(p, q)) for p, q in zip(one, other)}
         return pa.RecordBatch.from_arrays(
