@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom import session
+from tickloom.operators import audit, limits
 from tickloom.operators.depth import to_ticks
 from tickloom.operators.scan import whole_div
-from tickloom.sources import event_log
+from tickloom.sources import audit_log, event_log
 
 
 def _events(make_events, start, n=10):
@@ -67,3 +68,51 @@ def test_no_unshared_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+
+
+def test_audit_log_in_two_appends_is_one_chain(spark, tmp_path):
+    rows = spark.range(40).select(
+        F.col("id").alias("n"), F.col("id").alias("timestamp_ns"), F.lit(1).alias("symbol_id"),
+        F.col("id").alias("client_order_id"), F.lit("Buy").alias("side"),
+        F.lit(True).alias("accepted"), F.lit("None").alias("reject_reason"),
+        F.lit("accepted").alias("check_name"), F.lit(5).alias("limit_value"),
+        F.col("id").alias("observed_value"),
+    )
+    first = audit_log.with_chain(rows.filter("n < 15"), "n", block_rows=4)
+    seed = int(first.orderBy(F.desc("n")).first().checksum)
+    second = audit_log.with_chain(rows.filter("n >= 15"), "n", block_rows=4, seed=seed)
+    whole = audit_log.with_chain(rows, "n", block_rows=7)
+    assert first.unionByName(second).exceptAll(whole).isEmpty()
+    path = tmp_path / "log"
+    for part in (first, second):
+        audit_log.write_audit(part, str(path), "n", max_records_per_file=6)
+    files = sorted(str(p) for p in path.glob("part-*"))
+    assert len(files) > 6 and not list(path.glob("_append*"))
+    found = audit.verify_chain(spark, files, "jsonl").first()
+    assert found.valid and found.entries_checked == 40
+
+
+def _reports(spark, rows):
+    return spark.createDataFrame(rows, (
+        "timestamp_ns BIGINT, client_order_id BIGINT, exchange_order_id BIGINT, "
+        "exec_type STRING, order_status STRING, remaining_quantity BIGINT, "
+        "resting_price_ticks BIGINT"))
+
+
+def test_working_orders_follow_reports_in_order(spark):
+    accepted = spark.createDataFrame(
+        [(k, 1, 7, "Buy", 100, 10) for k in range(1, 8)],
+        "client_order_id BIGINT, client_id INT, symbol_id INT, side STRING, price_ticks BIGINT, "
+        "quantity BIGINT")
+    new, part, gone = ("New", "New"), ("Trade", "PartiallyFilled"), ("Canceled", "Canceled")
+    got = limits.working_orders(accepted, _reports(spark, [
+        (1, 1, 51, *new, 10, 105), (2, 1, 51, *part, 6, 0),  # the price stays
+        (1, 2, 52, *new, 10, 100), (2, 0, 52, *part, 3, 100),  # no client id: ignored
+        (1, 3, 53, *new, 10, 100), (2, 93, 53, *part, 4, 103),  # found by the exchange id
+        (1, 4, 54, *new, 10, 100), (2, 94, 54, *gone, 0, 0),  # another id never releases
+        (1, 5, 55, *new, 10, 100), (2, 5, 55, *gone, 0, 0), (3, 5, 55, *new, 9, 9),  # stays gone
+        (1, 6, 56, *new, 10, 100), (2, 6, 66, *new, 8, 100), (3, 96, 56, *part, 1, 1),
+        (4, 97, 66, *part, 2, 101),  # rebound: only the new exchange id counts
+    ]))
+    assert {r.client_order_id: (r.price_ticks, r.quantity) for r in got.collect()} == {
+        1: (105, 6), 2: (100, 10), 3: (103, 4), 4: (100, 10), 6: (101, 2), 7: (100, 10)}

@@ -51,8 +51,8 @@ def _stream(rows: pa.Table, order: Sequence[str], widths: dict[str, str]) -> np.
 class _Chain:
     """Block decomposition of one chained table; see ``chained_checksum``."""
 
-    def __init__(self, rows, keys, order, payload, block, kept=()):
-        self.keys, self.order = list(keys), list(order)
+    def __init__(self, rows, keys, order, payload, block, kept=(), seed=fnv.OFFSET):
+        self.keys, self.order, self.seed = list(keys), list(order), seed
         fields = payload if isinstance(payload, dict) else {}
         self.widths = {f"_f_{name}": width for name, (_, width) in fields.items()}
         data = [col.cast("bigint").alias(f"_f_{name}") for name, (col, _) in fields.items()]
@@ -74,7 +74,7 @@ class _Chain:
 
     def block_parts(self) -> DataFrame:
         """Bytes and affine part of every block."""
-        group, order, widths = self.group, self.order, self.widths
+        group, order, widths, seed = self.group, self.order, self.widths, self.seed
 
         def low_map(table: pa.Table) -> pa.Table:
             data = _stream(table, order, widths)
@@ -83,7 +83,7 @@ class _Chain:
 
         def chain_maps(table: pa.Table) -> pa.Table:
             ordered = table.sort_by("_block")
-            low = fnv.OFFSET & 0xFF
+            low = seed & 0xFF
             lows = []
             for mapped in ordered.column("_map").to_pylist():
                 lows.append(low)
@@ -118,10 +118,10 @@ class _Chain:
         )
 
 
-def _chained(table: pa.Table) -> tuple[pa.Table, list[int], int]:
+def _chained(table: pa.Table, seed: int = fnv.OFFSET) -> tuple[pa.Table, list[int], int]:
     """Blocks of one key in order, their start states and the final state."""
     ordered = table.sort_by("_block")
-    state, starts = fnv.OFFSET, []
+    state, starts = seed, []
     pairs = zip(
         ordered.column("_bytes").to_pylist(), ordered.column("_part").to_pylist(), strict=True
     )
@@ -167,16 +167,17 @@ def running_checksum(
     payload: Column,
     block: Column,
     name: str = "checksum",
+    seed: int = fnv.OFFSET,
 ) -> DataFrame:
-    """Every row with the exact chained checksum up to and including it."""
+    """Every row with the exact chained checksum up to and including it, starting at ``seed``."""
     kept = [c for c in rows.columns if c not in {*keys, *order}]
-    chain = _Chain(rows, keys, order, payload, block, kept)
+    chain = _Chain(rows, keys, order, payload, block, kept, seed)
     columns = rows.columns
     sort_keys = [(c, "ascending") for c in chain.order]
     group = chain.group
 
     def start_states(table: pa.Table) -> pa.Table:
-        ordered, starts, _ = _chained(table)
+        ordered, starts, _ = _chained(table, seed)
         states = pa.array([s.to_bytes(8, "little") for s in starts], pa.binary())
         return ordered.select(group).append_column("_start", states)
 

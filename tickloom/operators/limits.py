@@ -381,40 +381,83 @@ def sweep_orders(
     )
 
 
-def working_orders(accepted: DataFrame, reports: DataFrame) -> DataFrame:
-    """Accepted resting orders after their last execution report.
+def working_orders(
+    accepted: DataFrame, reports: DataFrame, order: str = "timestamp_ns"
+) -> DataFrame:
+    """Accepted resting orders after their execution reports, taken in ``order``.
 
-    A terminal or empty report releases the order; otherwise the remaining quantity and, when
-    given, the resting price of the last report count. Reports carrying only the exchange id
-    are matched through the first report that bound it.
+    A report without a client id is ignored. One whose id is a working order's changes that
+    order, or releases it when terminal or empty. Any other id is looked up by the exchange id
+    that a working order holds at that time; such a report changes the order but never releases
+    it. The last price above zero and the last remaining quantity count. Ties in ``order`` fall
+    back on the report's own values.
     """
-    binding = (
-        reports.filter((F.col("client_order_id") != 0) & (F.col("exchange_order_id") != 0))
-        .groupBy("exchange_order_id")
-        .agg(F.min_by("client_order_id", "timestamp_ns").alias("_bound"))
-    )
-    keyed = reports.join(binding, "exchange_order_id", "left").withColumn(
-        "client_order_id",
-        F.when(F.col("client_order_id") != 0, F.col("client_order_id")).otherwise(
-            F.coalesce("_bound", F.lit(0))
-        ),
-    )
+    at = F.struct(order, "client_order_id", "exchange_order_id", "remaining_quantity",
+                  "resting_price_ticks", "order_status", "exec_type")
     terminal = (
         (F.col("exec_type") == "Rejected")
         | F.col("order_status").isin("Rejected", "Canceled", "Filled")
         | (F.col("remaining_quantity") <= 0)
     )
-    last = keyed.groupBy("client_order_id").agg(
-        F.max_by(terminal, "timestamp_ns").alias("_gone"),
-        F.max_by("remaining_quantity", "timestamp_ns").alias("_left"),
-        F.max_by(
-            F.when(F.col("resting_price_ticks") > 0, F.col("resting_price_ticks")), "timestamp_ns"
-        ).alias("_price"),
-        F.bool_or(terminal).alias("_ever_gone"),
+    named = reports.filter("client_order_id <> 0").select(
+        "client_order_id",
+        F.coalesce("exchange_order_id", F.lit(0)).alias("_exchange"),
+        F.col("remaining_quantity").alias("_left"),
+        F.when(F.col("resting_price_ticks") > 0, F.col("resting_price_ticks")).alias("_price"),
+        F.coalesce(terminal, F.lit(False)).alias("_ends"),
+        at.alias("_at"),
+    )
+    known = accepted.select("client_order_id", F.lit(True).alias("_known"))
+    named = named.join(known, "client_order_id", "left")
+    by_order = Window.partitionBy("client_order_id").orderBy("_at")
+    so_far = by_order.rowsBetween(Window.unboundedPreceding, -1)
+    named = named.withColumn(
+        "_direct",
+        F.coalesce("_known", F.lit(False))
+        & ~F.coalesce(F.max("_ends").over(so_far), F.lit(False)),
+    ).withColumn(
+        "_held",
+        F.last(F.when(F.col("_direct") & (F.col("_exchange") != 0), F.col("_exchange")),
+               ignorenulls=True).over(so_far),
+    )
+    direct = named.filter("_direct")
+    # Binding events of an exchange id: taken by an order, or given up by it.
+    taken = direct.filter("NOT _ends AND _exchange <> 0").select(
+        "_exchange", "_at", F.struct(F.col("client_order_id").alias("id")).alias("_owner")
+    )
+    given_up = direct.filter(
+        "_held IS NOT NULL AND (_ends OR (_exchange <> 0 AND _exchange <> _held))"
+    ).select(
+        F.col("_held").alias("_exchange"),
+        "_at",
+        F.struct(F.lit(None).cast(accepted.schema["client_order_id"].dataType).alias("id")).alias(
+            "_owner"
+        ),
+    )
+    others = named.filter("NOT _direct AND NOT _ends AND _exchange <> 0").select(
+        "_exchange", "_at", "_left", "_price"
+    )
+    by_exchange = Window.partitionBy("_exchange").orderBy("_at").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    mapped = (
+        taken.unionByName(given_up)
+        .unionByName(others, allowMissingColumns=True)
+        .withColumn("_bound", F.last("_owner", ignorenulls=True).over(by_exchange))
+        .filter("_owner IS NULL AND _bound.id IS NOT NULL")
+        .select(F.col("_bound.id").alias("client_order_id"), "_at", "_left", "_price")
+    )
+    changes = direct.select("client_order_id", "_at", "_left", "_price", "_ends").unionByName(
+        mapped.withColumn("_ends", F.lit(False))
+    )
+    last = changes.groupBy("client_order_id").agg(
+        F.max_by("_left", "_at").alias("_left"),
+        F.max_by("_price", F.when(F.col("_price").isNotNull(), F.col("_at"))).alias("_price"),
+        F.bool_or("_ends").alias("_gone"),
     )
     return (
         accepted.join(last, "client_order_id", "left")
-        .filter(~F.coalesce("_ever_gone", F.lit(False)))
+        .filter(~F.coalesce("_gone", F.lit(False)))
         .select(
             "client_order_id",
             "client_id",

@@ -331,15 +331,20 @@ def working_quantity(spark, sf_dir):
 
 
 def _reports(orders):
-    """One report per order: a third filled, a third partly filled, the rest acknowledged."""
+    """One report per order: a third filled, a third partly filled, the rest acknowledged.
+
+    Partial fills come without a client id (ignored) or under an id that is not working.
+    """
     third = F.col("client_order_id") % 3
     left = F.when(third == 0, 0).when(third == 1, F.expr("quantity div 2")).otherwise(
         F.col("quantity")
     )
     return orders.select(
-        F.when(third == 1, 0).otherwise(F.col("client_order_id")).cast("bigint").alias(
-            "client_order_id"
-        ),
+        F.when(third != 1, F.col("client_order_id"))
+        .when(F.col("client_order_id") % 2 == 0, 0)
+        .otherwise(F.col("client_order_id") + 8_000_000_000)
+        .cast("bigint")
+        .alias("client_order_id"),
         (F.col("client_order_id") + 7_000_000_000).alias("exchange_order_id"),
         F.when(third == 0, "Filled").when(third == 1, "PartiallyFilled").otherwise("New").alias(
             "order_status"
@@ -356,10 +361,10 @@ def _reports(orders):
 @query(
     "exposure_snapshot",
     f"""WITH {_ORDERS}, {V.MARKET_SQL},
-    open AS (SELECT symbol_id, CAST(sum(CASE WHEN client_order_id % 3 = 1 THEN quantity // 2
-        ELSE quantity END) AS BIGINT) AS working_quantity, count(*) AS working_order_count
-      FROM order_requests WHERE client_order_id % 3 <> 0
-        AND NOT (client_order_id % 3 = 1 AND quantity // 2 = 0) GROUP BY ALL)
+    open AS (SELECT symbol_id, CAST(sum(CASE WHEN client_order_id % 6 = 1 AND quantity // 2 > 0
+        THEN quantity // 2 ELSE quantity END) AS BIGINT) AS working_quantity,
+        count(*) AS working_order_count
+      FROM order_requests WHERE client_order_id % 3 <> 0 GROUP BY ALL)
     SELECT symbol_id, coalesce(p.quantity, 0) AS position,
       coalesce(working_quantity, 0) AS working_quantity,
       coalesce(working_order_count, 0) AS working_order_count
@@ -367,7 +372,7 @@ def _reports(orders):
 )
 def exposure_snapshot(spark, sf_dir):
     orders = V.order_requests(spark, sf_dir)
-    # The acknowledgement binds the exchange id; partial fills then carry only that id.
+    # The acknowledgement binds the exchange id, by which partial fills find their order.
     acks = orders.select(
         "client_order_id",
         (F.col("client_order_id") + 7_000_000_000).alias("exchange_order_id"),

@@ -1,12 +1,14 @@
 """Risk audit logs: JSON lines or key=value text, with a chained checksum per row."""
 
+import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom import schema
-from tickloom.functions import codec
+from tickloom.functions import codec, fnv
 from tickloom.operators.checksum import running_checksum
 from tickloom.operators.scan import DEFAULT_BLOCK_ROWS, block_of
 from tickloom.sources.files import SPLIT_BYTES, ordered_lines
@@ -61,11 +63,18 @@ def read_audit(
 
 
 def with_chain(
-    rows: DataFrame, order: str, scope: Sequence[str] = (), block_rows: int = DEFAULT_BLOCK_ROWS
+    rows: DataFrame,
+    order: str,
+    scope: Sequence[str] = (),
+    block_rows: int = DEFAULT_BLOCK_ROWS,
+    seed: int = fnv.OFFSET,
 ) -> DataFrame:
-    """Add the cumulative ``checksum`` to audit rows in ``order``, per scope."""
+    """Add the cumulative ``checksum`` to audit rows in ``order``, per scope.
+
+    ``seed`` is the last checksum of the log that the rows continue.
+    """
     return running_checksum(
-        rows, scope, [order], codec.audit_payload(), block_of(order, block_rows)
+        rows, scope, [order], codec.audit_payload(), block_of(order, block_rows), seed=seed
     )
 
 
@@ -87,14 +96,39 @@ def write_audit(
 ) -> None:
     """Append audit lines in order; files rotate by record count.
 
-    Part files sort by name in chain order, which is the order to read them back in.
+    Files are numbered on from the highest number in the folder, so that their names sort in
+    chain order over any number of appends. Spark writes them into a hidden folder first; they
+    are renamed in order afterwards, and a name that another writer took meanwhile is an error.
     """
+    spark = rows.sparkSession
+    hidden = f"{path.rstrip('/')}/_append-{uuid.uuid4().hex}"
     writer = (
         rows.repartitionByRange(order)
         .sortWithinPartitions(order)
         .select(audit_lines(rows, fmt).alias("value"))
-        .write.mode("append")
+        .write
     )
     if max_records_per_file > 0:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
-    writer.text(path)
+    writer.text(hidden)
+    _number_files(spark, hidden, path)
+
+
+_PART = re.compile(r"part-(\d+)-.*?(?:-c(\d+))?(\.[a-z0-9.]+)$")
+_NUMBERED = re.compile(r"part-(\d{10})\.")
+
+
+def _number_files(spark: SparkSession, hidden: str, path: str) -> None:
+    """Move the part files of one write into ``path``, with the next free numbers."""
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    fs = new(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lambda folder: [f.getPath().getName() for f in fs.listStatus(new(folder))]
+    taken = [int(m[1]) for m in map(_NUMBERED.match, names(path)) if m]
+    number = max(taken, default=-1)
+    parts = [m for m in map(_PART.match, names(hidden)) if m]
+    for part in sorted(parts, key=lambda m: (int(m[1]), int(m[2] or 0))):
+        number += 1
+        target = new(f"{path.rstrip('/')}/part-{number:010d}{part[3]}")
+        if fs.exists(target) or not fs.rename(new(f"{hidden}/{part[0]}"), target):
+            raise FileExistsError(target.toString())
+    fs.delete(new(hidden), True)
