@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom import session
-from tickloom.operators import audit, limits
+from tickloom.operators import audit, book, limits
 from tickloom.operators.depth import to_ticks
 from tickloom.operators.scan import whole_div
 from tickloom.sources import audit_log, event_log
@@ -116,3 +116,16 @@ def test_working_orders_follow_reports_in_order(spark):
     ]))
     assert {r.client_order_id: (r.price_ticks, r.quantity) for r in got.collect()} == {
         1: (105, 6), 2: (100, 10), 3: (103, 4), 4: (100, 10), 6: (101, 2), 7: (100, 10)}
+
+
+def test_book_levels_cross_wide_gaps(spark):
+    far = 1 << 40  # the step between two files of a log
+    deltas = spark.createDataFrame(
+        [(1, 0, 0, "Buy", 100, 5), (1, 0, 3 * far, "Buy", 101, 2), (1, 0, 5 * far, "Buy", 101, -2)],
+        "symbol_id INT, epoch BIGINT, event_index BIGINT, side STRING, price_ticks BIGINT, "
+        "delta BIGINT")
+    probes = spark.createDataFrame(
+        [(1, k * far + 7, k) for k in (0, 2, 3, 4, 6)],
+        "symbol_id INT, event_index BIGINT, probe_id BIGINT")
+    rows = book.walk_books(deltas, probes, block_rows=1000).collect()
+    assert {r.probe_id: r.bid_price for r in rows} == {0: 100, 2: 100, 3: 101, 4: 101, 6: 100}

@@ -344,8 +344,9 @@ def walk_books(
 
     The quantity of each level at the start of each block comes from per-block sums (combined
     before the shuffle), so every block is independent and one busy key is as parallel as
-    many. Carried rows are live levels x blocks: keep blocks longer than the book. Output: keys, probe_id, event_index and the best quotes; ``depth`` adds ladders,
-    ``sweep`` adds fill_quantity and fill_cost of a limit (or, with a null price, market)
+    many. Carried rows are live levels x blocks with a probe, however far apart those are: keep
+    blocks longer than the book. Output: keys, probe_id, event_index and the best quotes;
+    ``depth`` adds ladders, ``sweep`` adds fill_quantity and fill_cost of a limit (or, with a null price, market)
     order against the opposite side.
     """
     keys = list(keys)
@@ -354,8 +355,19 @@ def walk_books(
     by_block = deltas.groupBy(*keys, "epoch", "side", "price_ticks", block.alias("_block")).agg(
         F.sum("delta").alias("_sum"), F.max("event_index").alias("_seen")
     )
+    walked = probes.select(*keys, block.alias("_block")).distinct()
+    # Probed blocks are numbered per key, so that gaps between positions cost nothing.
+    numbered = (
+        walked.withColumn("_probed", F.lit(1))
+        .unionByName(
+            deltas.select(*keys, block.alias("_block")).distinct().withColumn("_probed", F.lit(0))
+        )
+        .groupBy(*keys, "_block")
+        .agg(F.max("_probed").alias("_probed"))
+        .withColumn("_no", F.sum("_probed").over(Window.partitionBy(*keys).orderBy("_block")))
+    )
     level = Window.partitionBy(*keys, "epoch", "side", "price_ticks").orderBy("_block")
-    held = by_block.select(
+    held = by_block.join(numbered.drop("_probed"), [*keys, "_block"]).select(
         *keys,
         "epoch",
         "side",
@@ -363,12 +375,11 @@ def walk_books(
         F.sum("_sum")
         .over(level.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         .alias("_held"),
-        (F.col("_block") + 1).alias("_from"),
-        F.lead("_block").over(level).alias("_until"),
+        (F.col("_no") + 1).alias("_from"),
+        F.lead("_no").over(level).alias("_until"),
     ).filter(F.col("_held") != 0)
-    walked = probes.select(*keys, block.alias("_block")).distinct()
-    span = walked.groupBy(*keys).agg(F.max("_block").alias("_last"))
-    # A level is carried into every later block until its next change, within its epoch.
+    span = numbered.groupBy(*keys).agg(F.max("_no").alias("_last"))
+    # A level is carried into every later probed block until its next change, within its epoch.
     carry = held.join(span, keys).select(
         *keys,
         "epoch",
@@ -380,8 +391,8 @@ def walk_books(
                 F.coalesce("_until", "_last") >= F.col("_from"),
                 F.sequence(F.col("_from"), F.coalesce("_until", "_last")),
             )
-        ).alias("_block"),
-    )
+        ).alias("_no"),
+    ).join(numbered.filter("_probed = 1").drop("_probed"), [*keys, "_no"]).drop("_no")
     if clears is not None:
         started = (
             clears.groupBy(*keys, block.alias("_block"))
