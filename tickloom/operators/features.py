@@ -204,126 +204,51 @@ ARTEFACT_TYPES = (
 )
 
 
-def shape_text(shape: Column) -> Column:
-    """Shape as 1x16x40; n/a when empty."""
-    return F.when(F.size(shape) <= 0, "n/a").otherwise(
-        F.array_join(F.transform(shape, lambda x: x.cast("string")), "x")
-    )
-
-
-def shape_values(shape: Column) -> Column:
-    """Number of elements; 0 for an empty shape or any non-positive dimension."""
-    product = F.aggregate(shape, F.lit(1).cast("bigint"), lambda acc, x: acc * x)
-    fixed = (F.size(shape) > 0) & F.forall(shape, lambda x: x > 0)
-    return F.when(fixed, product).otherwise(F.lit(0).cast("bigint"))
-
-
-def contract_errors(
+def shape_values(shape: str) -> str:
+    """SQL for the number of elements of a shape column: null for a null or empty shape, a
+    dimension that is not positive, and a product beyond 2^63 - 1."""
+    return f"""CASE WHEN size({shape}) > 0 THEN aggregate({shape}, 1L, (n, x) ->
+        CASE WHEN x > 0 AND n <= 9223372036854775807 div x THEN n * x END) END"""
+
+
+def contract_rules() -> dict[str, str]:
+    """Code of each rule of a model contract, and the SQL condition that a sound model meets. A
+    condition that cannot be told counts as violated."""
+    recorded = "coalesce(artefact_type = 'trained_recorded_public_l2', false)"
+    kinds = ", ".join(f"'{kind}'" for kind in ("", *ARTEFACT_TYPES))
+    return {
+        "name": "model_name <> ''",
+        "feature_count": "feature_count > 0",
+        "window_length": "window_length > 0",
+        "feature_version": "feature_version > 0",
+        "input_shape": f"{shape_values('input_shape')} > 0",
+        "output_shape": f"{shape_values('output_shape')} > 0",
+        "frame_size": f"{shape_values('input_shape')} = try_multiply(feature_count, window_length)",
+        "sample_input": f"size(expected_test_input) = {shape_values('input_shape')}",
+        "sample_output": f"size(expected_test_output) = {shape_values('output_shape')}",
+        "recorded_input": f"NOT {recorded} OR input_shape = array(1L, window_length, feature_count)",
+        "recorded_output": f"NOT {recorded} OR (size(output_shape) = 2 AND get(output_shape, 0) = 1)",
+        "weights": "reference_weights IS NULL OR size(reference_weights) IN (0, feature_count)",
+        "kind": f"coalesce(artefact_type, '') IN ({kinds})",
+        "kind_untrained": "NOT startswith(coalesce(artefact_type, ''), 'trained_') OR trained_model",
+    }
+
+
+def contract_violations(
     models: DataFrame,
     feature_count: int = len(schema.FEATURE_NAMES),
     feature_version: int = schema.FEATURE_VERSION,
 ) -> DataFrame:
-    """First contract violation per model row (``error`` empty when none), then whether the
-    model fits the engine's features (``compatible``)."""
-    inputs, outputs = F.col("input_shape"), F.col("output_shape")
-    expected = F.col("feature_count") * F.col("window_length")
-    recorded = F.coalesce(F.col("artefact_type") == "trained_recorded_public_l2", F.lit(False))
-    positive = lambda c: F.coalesce(F.col(c), F.lit(0)) <= 0
-    weights = F.coalesce(F.size("reference_weights"), F.lit(0))
-    error = (
-        F.when(F.coalesce(F.col("model_name"), F.lit("")) == "", "model metadata missing model_name")
-        .when(F.coalesce(F.size(inputs), F.lit(0)) <= 0, "model metadata missing input_shape")
-        .when(F.coalesce(F.size(outputs), F.lit(0)) <= 0, "model metadata missing output_shape")
-        .when(positive("feature_count"), "model metadata feature_count must be positive")
-        .when(positive("window_length"), "model metadata window_length must be positive")
-        .when(positive("feature_version"), "model metadata feature_version must be positive")
-        .when(
-            shape_values(inputs) == 0,
-            F.concat(
-                F.lit("unsupported model shape: input_shape "), shape_text(inputs),
-                F.lit(" must have only fixed positive dimensions"),
-            ),
-        )
-        .when(
-            shape_values(inputs) != expected,
-            F.format_string(
-                "unsupported model shape: input_shape %s implies %d values but "
-                "feature_count=%d * window_length=%d = %d",
-                shape_text(inputs), shape_values(inputs), "feature_count", "window_length",
-                expected,
-            ),
-        )
-        .when(
-            recorded
-            & ~inputs.eqNullSafe(
-                F.array(F.lit(1).cast("bigint"), F.col("window_length"), F.col("feature_count"))
-            ),
-            F.format_string(
-                "unsupported recorded-public-L2 input_shape %s must be 1x%dx%d",
-                shape_text(inputs), "window_length", "feature_count",
-            ),
-        )
-        .when(
-            shape_values(outputs) == 0,
-            F.concat(
-                F.lit("unsupported model shape: output_shape "), shape_text(outputs),
-                F.lit(" must have only fixed positive dimensions"),
-            ),
-        )
-        .when(
-            F.coalesce(F.size("expected_test_input"), F.lit(0)) != expected,
-            "expected_test_input size does not match input_shape value count",
-        )
-        .when(
-            F.coalesce(F.size("expected_test_output"), F.lit(0)) <= 0,
-            "expected_test_output must not be empty",
-        )
-        .when(
-            F.size("expected_test_output") != shape_values(outputs),
-            "expected_test_output size does not match output_shape value count",
-        )
-        .when(
-            recorded & ((F.size(outputs) != 2) | (outputs[0] != 1)),
-            "recorded-public-L2 output_shape must use a fixed batch dimension of 1",
-        )
-        .when(
-            (weights > 0) & (weights != F.col("feature_count")),
-            "reference_weights size does not match feature_count",
-        )
-        .when(
-            (F.coalesce(F.col("artefact_type"), F.lit("")) != "")
-            & ~F.col("artefact_type").isin(*ARTEFACT_TYPES),
-            F.concat(F.lit("unsupported artefact_type: "), F.col("artefact_type")),
-        )
-        .when(
-            F.col("artefact_type").startswith("trained_") & ~F.col("trained_model"),
-            F.concat(
-                F.lit("artefact_type/trained_model mismatch: trained_model=false but artefact_type="),
-                F.col("artefact_type"),
-            ),
-        )
-        .otherwise("")
-    )
-    mismatch = (
-        F.when(
-            F.col("feature_count") != feature_count,
-            F.format_string(
-                f"feature count mismatch: engine feature_count={feature_count} "
-                "model feature_count=%d", "feature_count",
-            ),
-        )
-        .when(
-            F.col("feature_version") != feature_version,
-            F.format_string(
-                f"feature version mismatch: engine feature_version={feature_version} "
-                "model feature_version=%d", "feature_version",
-            ),
-        )
-        .otherwise("")
+    """Codes of all violated rules per model row (``violations``), and whether the model is sound
+    and fits the engine's features (``compatible``). Counts, versions and dimensions are bigint."""
+    broken = [
+        F.when(~F.coalesce(F.expr(f"({rule})"), F.lit(False)), code)
+        for code, rule in contract_rules().items()
+    ]
+    fits = (F.col("feature_count") == feature_count) & (F.col("feature_version") == feature_version)
+    return models.withColumn("violations", F.array_compact(F.array(*broken))).withColumn(
+        "compatible", (F.size("violations") == 0) & F.coalesce(fits, F.lit(False))
     )
-    return models.withColumns(
-        {"error": error, "compatibility_error": mismatch}
-    ).withColumn("compatible", (F.col("error") == "") & (F.col("compatibility_error") == ""))
 
 
 def neighbourhood(

@@ -662,6 +662,70 @@ def late_streak_latch(spark, sf_dir):
     return rows.select("user_id", "event_id", "late_streak", "model_disabled", "accepted")
 
 
+# --- model contracts --------------------------------------------------------------------
+
+# One model per part. Its own arithmetic breaks one rule or several in some of them.
+_MODELS = """SELECT p_partkey AS model_id,
+  CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 23 = 0 THEN NULL ELSE p_name END AS model_name,
+  CASE WHEN p_partkey % 13 = 0 THEN 0 ELSE 4 END AS feature_count,
+  p_size % 5 AS window_length, 1 + p_partkey % 2 AS feature_version,
+  CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN 4000000000 ELSE 1 END AS d0,
+  CASE WHEN p_partkey % 19 = 0 THEN 4000000000 ELSE p_size % 5 END AS d1,
+  CASE WHEN p_partkey % 13 = 0 THEN 0 WHEN p_partkey % 7 = 0 THEN 3 ELSE 4 END AS d2,
+  1 + p_partkey % 2 AS o0, p_partkey % 6 AS o1,
+  (p_size % 5) * 4 AS n_input, (p_partkey % 6) * (1 + p_partkey % 2) AS n_output,
+  CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey % 5 END AS n_weights,
+  CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'trained_recorded_public_l2'
+    ELSE p_brand END AS artefact_type,
+  CASE p_partkey % 10 WHEN 0 THEN NULL WHEN 2 THEN false ELSE true END AS trained_model
+FROM part"""
+
+
+@query(
+    "model_contracts",
+    f"""WITH models AS ({_MODELS}), sized AS (SELECT *,
+      CASE WHEN d0 > 0 AND d1 > 0 AND d2 > 0
+        AND d0::HUGEINT * d1 * d2 <= 9223372036854775807 THEN d0::HUGEINT * d1 * d2 END AS inputs,
+      CASE WHEN o0 > 0 AND o1 > 0 THEN o0 * o1 END AS outputs,
+      coalesce(artefact_type, '') = 'trained_recorded_public_l2' AS recorded FROM models),
+    judged AS (SELECT *, list_filter([
+      CASE WHEN coalesce(model_name, '') = '' THEN 'name' END,
+      CASE WHEN feature_count <= 0 THEN 'feature_count' END,
+      CASE WHEN window_length <= 0 THEN 'window_length' END,
+      CASE WHEN feature_version <= 0 THEN 'feature_version' END,
+      CASE WHEN inputs IS NULL THEN 'input_shape' END,
+      CASE WHEN outputs IS NULL THEN 'output_shape' END,
+      CASE WHEN inputs IS DISTINCT FROM feature_count * window_length THEN 'frame_size' END,
+      CASE WHEN inputs IS DISTINCT FROM n_input THEN 'sample_input' END,
+      CASE WHEN outputs IS DISTINCT FROM n_output THEN 'sample_output' END,
+      CASE WHEN recorded AND (d0 IS DISTINCT FROM 1 OR d1 <> window_length OR d2 <> feature_count)
+        THEN 'recorded_input' END,
+      CASE WHEN recorded AND o0 <> 1 THEN 'recorded_output' END,
+      CASE WHEN n_weights NOT IN (0, feature_count) THEN 'weights' END,
+      CASE WHEN coalesce(artefact_type, '') NOT IN ('', 'trained_recorded_public_l2') THEN 'kind' END,
+      CASE WHEN recorded AND NOT coalesce(trained_model, false) THEN 'kind_untrained' END
+      ], lambda x: x IS NOT NULL) AS broken FROM sized)
+    SELECT model_id, array_to_string(broken, ',') AS violations,
+      len(broken) = 0 AND feature_count = 4 AND feature_version = 1 AS compatible FROM judged""",
+)
+def model_contracts(spark, sf_dir):
+    rows = spark.sql(_MODELS.replace("FROM part", "FROM {part}"),
+                     part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    repeated = lambda n: F.expr(f"array_repeat(0D, cast({n} as int))")
+    models = rows.select(
+        "model_id", "model_name", "artefact_type", "trained_model",
+        *[F.col(c).cast("bigint") for c in ("feature_count", "window_length", "feature_version")],
+        F.expr("array(d0, d1, d2)").cast("array<bigint>").alias("input_shape"),
+        F.expr("array(o0, o1)").cast("array<bigint>").alias("output_shape"),
+        repeated("n_input").alias("expected_test_input"),
+        repeated("n_output").alias("expected_test_output"),
+        repeated("n_weights").alias("reference_weights"),
+    )
+    return features.contract_violations(models, feature_count=4, feature_version=1).select(
+        "model_id", F.array_join("violations", ",").alias("violations"), "compatible"
+    )
+
+
 # --- lifecycle --------------------------------------------------------------------------
 
 _LIFE = f"""{V.ORDER_FLOW_SQL},
