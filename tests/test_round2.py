@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom import session
-from tickloom.operators import audit, book, limits
+from tickloom.operators import audit, book, features, limits
 from tickloom.operators.depth import to_ticks
 from tickloom.operators.scan import whole_div
 from tickloom.sources import audit_log, event_log
@@ -129,3 +129,29 @@ def test_book_levels_cross_wide_gaps(spark):
         "symbol_id INT, event_index BIGINT, probe_id BIGINT")
     rows = book.walk_books(deltas, probes, block_rows=1000).collect()
     assert {r.probe_id: r.bid_price for r in rows} == {0: 100, 2: 100, 3: 101, 4: 101, 6: 100}
+
+
+def test_contract_violations(spark):
+    sound = dict(model_name="m", feature_count=4, window_length=3, feature_version=1,
+                 input_shape=[1, 3, 4], output_shape=[1, 2], expected_test_input=[0.0] * 12,
+                 expected_test_output=[0.0] * 2, reference_weights=[0.0] * 4,
+                 artefact_type="trained_recorded_public_l2", trained_model=True)
+    cases = [
+        ({}, []),
+        ({"reference_weights": None, "artefact_type": None, "trained_model": None}, []),
+        ({"model_name": ""}, ["name"]),
+        ({"input_shape": [4, 3, 1]}, ["recorded_input"]),
+        ({"input_shape": [1 << 32, 1 << 32, 4]},
+         ["input_shape", "frame_size", "sample_input", "recorded_input"]),
+        ({"output_shape": None}, ["output_shape", "sample_output", "recorded_output"]),
+        ({"trained_model": None, "reference_weights": [0.0]}, ["weights", "kind_untrained"]),
+        ({"feature_count": 1 << 62, "artefact_type": "other"}, ["frame_size", "weights", "kind"]),
+    ]
+    ddl = ("n long, model_name string, feature_count long, window_length long, feature_version long,"
+           "input_shape array<long>, output_shape array<long>, expected_test_input array<double>,"
+           "expected_test_output array<double>, reference_weights array<double>,"
+           "artefact_type string, trained_model boolean")
+    rows = [(n, *(sound | change).values()) for n, (change, _) in enumerate(cases)]
+    found = features.contract_violations(spark.createDataFrame(rows, ddl), 4, 1).orderBy("n").collect()
+    assert [row.violations for row in found] == [codes for _, codes in cases]
+    assert [row.compatible for row in found] == [not codes for _, codes in cases]
