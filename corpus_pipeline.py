@@ -6,6 +6,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickloom.llm import exact, mix, near, queries, rules
 from tickloom.session import configure, shared_dir
@@ -15,9 +16,17 @@ from tickloom.session import configure, shared_dir
 NEAR = near.Near(percent=80)
 
 
+def _groups(texts: DataFrame) -> DataFrame:
+    """Group of near copies of every text, as the near dedup stage links them."""
+    named = texts.select(F.col("content").alias("text_id"), "t")
+    return near.near_components(named, NEAR, "text_id", "t").select(
+        F.col("text_id").alias("content"), F.col("component_id").alias("grp"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; lines that are frequent in their host leave the others."""
-    return rules.cleaned(docs)
+    """Rejected documents go; lines that are frequent in their host leave the others. Near copies
+    count as one document of the host, so that one of them is left for the later stages."""
+    return rules.cleaned(docs, group=_groups)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,3 +16,20 @@ def test_pipeline_links_from_80_percent(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id for r in corpus_pipeline.near_copies(spark, df, "").collect()}
     assert got == {i for i, (_, c) in groups.items() if i == c} == set(range(0, 24, 2))
+
+
+def test_pipeline_keeps_one_of_many_near_copies(spark):
+    """Hundreds of near copies in one host leave one document, boilerplate still goes."""
+    word = lambda *k: "v" + "".join(chr(97 + int(c)) for c in "q".join(map(str, k)) if c != "q")
+    lines = [" ".join(word(1, i, j) for j in range(20)) for i in range(6)]
+    rows = [(k, "\n".join([*lines, f"note {word(2, k)}"]), "h") for k in range(300)]
+    footer = "this footer stands below every other page of the host"
+    rows += [(1000 + k, " ".join(word(3, k, j) for j in range(30)) + "\n" + footer, "h")
+             for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for _, run in corpus_pipeline.STAGES[:3]:
+        docs = run(spark, docs, "")
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert set(left) == {0} | {1000 + k for k in range(150)}
+    assert left[0] == rows[0][1]
+    assert not any(footer in t for t in left.values())

@@ -3,7 +3,8 @@ is rejected.
 
 Every line is normalised (lower case, no white space, digits or ASCII punctuation) and hashed
 together with its host. Lines are counted per host once for each different document text, so that
-copies of one document never make its own lines frequent. A line above
+copies of one document never make its own lines frequent. Given ``group``, a line that is frequent
+so counts again, once for each group of near copies, so that these do not either. A line above
 ``max(min_docs, share * different documents of the host)`` is removed from the documents of that
 host, and a document left with fewer than ``min_left`` words, or less than ``min_share`` of its
 words, is rejected.
@@ -15,6 +16,7 @@ are replaced. Window hashes have 64 bits and are compared within one text only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -80,22 +82,31 @@ def _facts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
         .alias("n_repeat_words"))
 
 
-def _frequent_lines(facts: DataFrame, rules: LineRules) -> DataFrame:
+def _frequent_lines(facts: DataFrame, rules: LineRules, texts: DataFrame,
+                    group: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """Keys of lines above the limit of their host."""
     lines = facts.select("host", "content", F.explode(F.array_distinct("line_keys")).alias("key"))
     lines = lines.filter("key is not null")
     # All documents first: a key and a count per task. Few lines stay, and only their different
     # documents are counted.
     often = lines.groupBy("key").count().filter(F.col("count") > rules.min_docs).select("key")
-    different = (
-        lines.join(often, "key").select("key", "host", "content").distinct()
-        .groupBy("key", "host").agg(F.count("*").alias("n"))
-    )
+    different = lines.join(often, "key").select("key", "host", "content").distinct()
     hosts = facts.select("host", "content").distinct().groupBy(F.col("host").alias("of")).agg(
         F.count("*").alias("host_docs"))
     limit = F.greatest(F.lit(rules.min_docs), F.floor(F.col("host_docs") * rules.share))
-    return different.join(hosts, F.col("host").eqNullSafe(F.col("of"))).filter(
-        F.col("n") > limit).select("key")
+
+    def above(places: DataFrame) -> DataFrame:
+        counted = places.groupBy("key", "host").agg(F.count("*").alias("n"))
+        return counted.join(hosts, F.col("host").eqNullSafe(F.col("of"))).filter(
+            F.col("n") > limit).select("key")
+
+    if group is None:
+        return above(different)
+    # Groups never count more than texts: only the texts of lines above the limit are grouped.
+    carried = stage(different.join(above(different), "key"), "line-carried")
+    groups = group(texts.join(carried.select("content").distinct(), "content").dropDuplicates(
+        ["content"]))
+    return above(carried.join(groups, "content").select("key", "host", "grp").distinct())
 
 
 def _removed(facts: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -112,9 +123,11 @@ def _removed(facts: DataFrame, frequent: DataFrame) -> DataFrame:
 
 
 def _judged(docs: DataFrame, rules: LineRules, id_col: str, text_col: str,
-            host_col: str) -> DataFrame:
+            host_col: str, group=None) -> DataFrame:
     facts = stage(_facts(docs, id_col, text_col, host_col), "line-facts")
-    removed = _removed(facts, _frequent_lines(facts, rules))
+    texts = docs.select(text_of(text_col).alias("t")).select(
+        F.xxhash64("t").alias("content"), "t")
+    removed = _removed(facts, _frequent_lines(facts, rules, texts, group))
     same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(("id", "host", "content"), "ihc")]
     left = F.col("n_words") - F.col("words_removed")
     return facts.join(removed, same, "left").select(
@@ -139,9 +152,13 @@ def judge(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id
 
 
 def cleaned(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id",
-            text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that stay, with the columns of ``docs``, without their frequent lines."""
-    found = _judged(docs, rules, id_col, text_col, host_col)
+            text_col: str = "text", host_col: str = "source",
+            group: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The documents that stay, with the columns of ``docs``, without their frequent lines.
+
+    ``group`` takes texts (content, t) and gives (content, grp), the group of near copies of each.
+    """
+    found = _judged(docs, rules, id_col, text_col, host_col, group)
     bad = stage(found.filter(~F.col("kept") | (F.col("words_removed") > 0)).select(
         F.col("id").alias("_id"), F.col("host").alias("_host"), F.col("content").alias("_content"),
         F.col("kept").alias("_kept"), F.col("gone").alias("_gone")).dropDuplicates(
