@@ -14,6 +14,8 @@ from tickloom.session import configure, shared_dir
 
 # Stages link near copies from 80 % on; the 85 % of op7_near_dedup is that query's own contract.
 NEAR = near.Near(percent=80)
+# The share decides in small hosts as well; the floor only keeps a handful of documents apart.
+LINES = rules.LineRules(min_docs=5)
 
 
 def _groups(texts: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def _groups(texts: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; lines that are frequent in their host leave the others. Near copies
     count as one document of the host, so that one of them is left for the later stages."""
-    return rules.cleaned(docs, group=_groups)
+    return rules.cleaned(docs, LINES, group=_groups)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

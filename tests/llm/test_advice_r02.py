@@ -33,3 +33,14 @@ def test_pipeline_keeps_one_of_many_near_copies(spark):
     assert set(left) == {0} | {1000 + k for k in range(150)}
     assert left[0] == rows[0][1]
     assert not any(footer in t for t in left.values())
+
+
+def test_pipeline_judges_host_sizes_alike(spark):
+    """A line in a fifth of a host's documents goes, in a host of 50 as in one of 600."""
+    line = "the same notice stands here in a fifth of all pages"
+    word = lambda *k: "".join(chr(97 + int(c)) for c in "".join(f"{x:03d}" for x in k))
+    rows = [(1000 * n + k, " ".join(word(n, k, j) for j in range(20)) + f"\n{line}" * (k % 5 == 0), f"h{n}")
+            for n in (50, 600) for k in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = corpus_pipeline.quality(spark, df, "").collect()
+    assert len(left) == 650 and not any(line in r.text for r in left)
