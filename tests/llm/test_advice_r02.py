@@ -1,7 +1,10 @@
 """Cases of the second review: each failed before its finding was settled."""
 
+import random
+
 import corpus_pipeline
 from tests.llm.test_llm import near_groups
+from tickloom.llm import license
 
 
 def test_pipeline_links_from_80_percent(spark):
@@ -44,3 +47,35 @@ def test_pipeline_judges_host_sizes_alike(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     left = corpus_pipeline.quality(spark, df, "").collect()
     assert len(left) == 650 and not any(line in r.text for r in left)
+
+
+def test_license_blocks_start_anywhere(spark):
+    """A notice with inserted words is found at every offset; the scan equals all starts."""
+    notice = "licensed x x under x cc x by x nc x 4 0"
+    rows = [(k, " ".join(["y"] * k + [notice])) for k in range(15)]
+    rng = random.Random(5)
+    vocabulary = sorted({w for t in license.TEMPLATES.values() for w in t.split()})
+    for k in range(300):
+        words = rng.choice(list(license.TEMPLATES.values())).split()
+        words = [w for w in words if rng.random() < 0.92]
+        for _ in range(rng.randrange(2 * len(words))):
+            words.insert(rng.randrange(len(words)), rng.choice(["x", "y", rng.choice(vocabulary)]))
+        rows.append((100 + k, " ".join(["z"] * rng.randrange(40) + words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in license.scan(df).collect()}
+    assert all("cc-by-nc" in got[k].labels.split(",") for k in range(15))
+    found = 0
+    for k, text in rows:
+        words, want = license.words_in(text), {}
+        for label, template in license.TEMPLATES.items():
+            own = license.words_in(template)
+            size = len(set(own))
+            best = max(len(set(words[i:i + 2 * len(own)]) & set(own)) for i in range(len(words)))
+            if 100 * best >= 80 * size:
+                want[label] = best / size
+        have = {}
+        for b in got[k].blocks:
+            have[b.label] = max(have.get(b.label, 0), b.containment)
+        assert have == want
+        found += len(want)
+    assert found > 100

@@ -1,12 +1,12 @@
 """License scans: named phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a window of twice a template's length, one every template length, so that any passage
-as long as the template lies whole in a block. A block meets a template when it holds at least
-``percent`` of the template's different words. The join is exact and filtered: template words are
-ordered by how many documents of the whole corpus hold them, rarest first; a block that meets the
-threshold must hold one of the template's first ``size - needed + 1`` words (prefix), must have
-``needed`` different words itself (length), and the words found in the prefix plus those after it
-must reach ``needed`` (position). Only blocks that pass are compared. The templates are a bounded
+A block is a window of twice a template's length, starting at any word. A block meets a template
+when it holds at least ``percent`` of the template's different words; blocks that meet it and overlap
+are given as one passage with the highest share. The join is exact and filtered: template words are
+ordered by how many documents of the whole corpus hold them, rarest first; a document with a block
+that meets the threshold must hold one of the template's first ``size - needed + 1`` words (prefix)
+and ``needed`` of its words. Only through such documents does the block slide, from template word to
+template word with running counts, in time linear in the text. The templates are a bounded
 parameter; documents stream through the join and nothing of the corpus is collected but one count
 per template word.
 
@@ -88,22 +88,34 @@ class Template:
         self.ordered = sorted(self.words, key=lambda w: (counts[w], w))
         self.needed = -(-percent * len(self.words) // 100)
         cut = len(self.words) - self.needed + 1
-        self.prefix, self.after = frozenset(self.ordered[:cut]), len(self.words) - cut
+        self.prefix = frozenset(self.ordered[:cut])
 
     def blocks(self, words: list[bytes], held: set[bytes]):
-        """(start, end, containment) of the blocks that reach the threshold."""
-        if len(held) < self.needed or held.isdisjoint(self.prefix):
+        """(start, end, containment) of the passages whose blocks reach the threshold."""
+        if held.isdisjoint(self.prefix) or len(held & self.words) < self.needed:
             return
-        starts = sorted({b * self.step for i, w in enumerate(words) if w in self.prefix
-                         for b in (i // self.step - 1, i // self.step) if b >= 0})
-        for start in starts:
-            block = set(words[start: start + 2 * self.step])
-            found = len(block & self.prefix)
-            if len(block) < self.needed or found == 0 or found + self.after < self.needed:
-                continue
-            both = len(block & self.words)
+        # A block that starts before a template word holds no more than the one starting at it.
+        at = [i for i, w in enumerate(words) if w in self.words]
+        inside: Counter = Counter()
+        end, passage = 0, None
+        for i in at:
+            while end < len(at) and at[end] < i + 2 * self.step:
+                inside[words[at[end]]] += 1
+                end += 1
+            both = len(inside)
             if both >= self.needed:
-                yield start, min(start + 2 * self.step, len(words)), both / len(self.words)
+                stop = min(i + 2 * self.step, len(words))
+                if passage and i < passage[1]:
+                    passage = passage[0], stop, max(passage[2], both / len(self.words))
+                else:
+                    if passage:
+                        yield passage
+                    passage = i, stop, both / len(self.words)
+            inside[words[i]] -= 1
+            if not inside[words[i]]:
+                del inside[words[i]]
+        if passage:
+            yield passage
 
 
 def scan(docs: DataFrame, rules: Scan = Scan(), id_col: str = "doc_id",
