@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 from tests.llm.test_llm import near_groups
-from tickloom.llm import license
+from tickloom.llm import license, toxic
 
 
 def test_pipeline_links_from_80_percent(spark):
@@ -79,3 +79,33 @@ def test_license_blocks_start_anywhere(spark):
         assert have == want
         found += len(want)
     assert found > 100
+
+
+def test_threat_meets_a_target_on_either_side():
+    """Verb-final and object-first threats emit, inflected ones as well; alone they do not."""
+    g = toxic.Grammar({"idiot": 4.0}, {})
+    for text in ("ich werde dich töten", "vous tuer", "they killed her", "killing them",
+                 "sie wird euch umbringen"):
+        assert g.features(text)[0] > 0, text
+    assert g.features("killing time") == (0.0, 0.0)
+    assert g.clause("du wurdest nie getötet".split()) < g.clause("du wurdest getötet".split())
+
+
+def test_composed_transducers():
+    """The composed table gives what a plain reading of the rules gives."""
+    g = toxic.Grammar({"idiot": 4.0, "scum": 2.0}, {})
+    rng = random.Random(3)
+    for _ in range(500):
+        words = rng.choices(["idiot", "scum", "a", "b", "you", "kill", "not", "said"], k=12)
+        near = lambda i, w: w in words[max(0, i - 3):i]
+        total, kept = 0.0, 0.0
+        for i, w in enumerate(words):
+            damp = (0.5 if near(i, "not") else 1) * (0.5 if "said" in words[:i] else 1)
+            if w in g.words:
+                total += g.words[w] * damp * (1.25 if near(i, "you") else 1)
+                kept = 0.0 if near(i, "you") else 0.25 * g.words[w] * damp
+            elif w == "you":
+                total, kept = total + kept + 4 * damp * near(i, "kill"), 0.0
+            elif w == "kill":
+                total += 4 * damp * near(i, "you")
+        assert abs(g.clause(words) - total) < 1e-9

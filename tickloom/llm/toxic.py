@@ -1,10 +1,11 @@
 """Toxicity: a weighted finite-state grammar of clauses, with weights learned from labels.
 
-Words become symbols (insult, threat, target, negation, report) and a clause runs through a small
-transducer: an insult emits its learned weight, more beside a target, less after a negation or
-inside reported speech; a threat emits only when it meets a target. What counts is the matched
-clause; a document's features are its best clause and its total, and a logistic curve fitted on
-the training rows turns them into a score.
+Words become symbols (insult, threat, target, negation, report) and a clause runs through five small
+transducers, tables of their own that are composed into one: an insult emits its learned weight,
+with or without a target, more beside one, less after a negation or inside reported speech; a threat
+emits only beside a target, on either side. What counts is the matched clause; a document's features
+are its best clause and its total, and a logistic curve fitted on the training rows turns them into
+a score.
 
 Insults are learned as whole words and as word beginnings, so that inflected forms match. The
 training sample is the ``max_rows`` labelled rows with the smallest hash of id (documented bound);
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +39,57 @@ NEGATIONS = frozenset("not never no nor isn aren nobody nicht kein keine nie pas
 REPORTS = frozenset("said says wrote writes called calls quoted claimed reported sagte schrieb "
                     "dit écrit dijo escribió".split())
 THREATS = frozenset("kill murder strangle stab shoot töten umbringen tuer matar".split())
+# Beginnings of their inflected forms.
+THREAT_STARTS = tuple("kill murder strangl stabb shoot töte getötet umbring umzubring umgebracht "
+                      "tuer tué matar".split())
 SEEDS = frozenset("idiot moron stupid scum worthless pathetic trash loser disgusting".split())
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 PREFIXES = (4, 5, 6)
 
+OTHER, INSULT, TARGET, THREAT, NEGATION, REPORT = SYMBOLS = range(6)
+REACH = 3  # words
+
+
+def _within_reach(of: int) -> list[list[int]]:
+    """Table of a transducer that counts down the words that its last symbol still reaches."""
+    return [[REACH if s == of else max(left - 1, 0) for s in SYMBOLS] for left in range(REACH + 1)]
+
+
+# Next state by state and symbol.
+NEGATION_TABLE = _within_reach(NEGATION)
+TARGET_TABLE = _within_reach(TARGET)
+THREAT_TABLE = _within_reach(THREAT)
+REPORT_TABLE = [[int(reported or s == REPORT) for s in SYMBOLS] for reported in (0, 1)]
+# State 1: an insult waits for a target. Read after the target transducer, whose output (a target
+# reaches this word) picks the table.
+INSULT_TABLES = [[[1 - near if s == INSULT else 0 if s == TARGET else waits for s in SYMBOLS]
+                  for waits in (0, 1)] for near in (0, 1)]
+
+
+def _composed() -> list[list[tuple[int, float, float, float, float]]]:
+    """Next state and output of the five transducers at once. Output: factor of an insult's weight,
+    factor kept for a target to come, share of the kept weight paid out, weight of a threat."""
+    states = list(product(range(REACH + 1), (0, 1), range(REACH + 1), range(REACH + 1), (0, 1)))
+    number = {state: k for k, state in enumerate(states)}
+    table = []
+    for negated, reported, target, threat, waits in states:
+        damp = (0.5 if negated else 1.0) * (0.5 if reported else 1.0)
+        row = []
+        for s in SYMBOLS:
+            near = int(target > 0)
+            after = (NEGATION_TABLE[negated][s], REPORT_TABLE[reported][s], TARGET_TABLE[target][s],
+                     THREAT_TABLE[threat][s], INSULT_TABLES[near][waits][s])
+            meets = (s == TARGET and threat > 0) or (s == THREAT and target > 0)
+            row.append((number[after], damp * (1.25 if near else 1.0), 0.25 * damp,
+                        float(s == TARGET and waits), 4.0 * damp if meets else 0.0))
+        table.append(row)
+    return table
+
+
+COMPOSED = _composed()
+
 
 @dataclass(frozen=True)
 class Training:
@@ -69,41 +116,35 @@ class Grammar:
                 best = max(best, self.starts.get(word[:k], 0.0))
         return best
 
-    def clause(self, words: list[str]) -> float:
-        """Weight emitted by one clause. State: reported so far, words since the last negation,
-        target and threat."""
-        reported, since_not, since_target, since_threat, pending = False, 99, 99, 99, 0.0
-        total = 0.0
+    def symbol(self, word: str) -> int:
+        if self.weight(word):
+            return INSULT
+        if word in TARGETS:
+            return TARGET
+        if word in THREATS or word.startswith(THREAT_STARTS):
+            return THREAT
+        return NEGATION if word in NEGATIONS else REPORT if word in REPORTS else OTHER
+
+    def clause(self, words: list[str], symbols: dict[str, int] | None = None) -> float:
+        """Weight emitted by one clause; ``symbols`` may name the symbols of its words."""
+        state, total, kept = 0, 0.0, 0.0
         for word in words:
-            since_not, since_target, since_threat = (
-                since_not + 1, since_target + 1, since_threat + 1)
-            damp = (0.5 if since_not <= 3 else 1.0) * (0.5 if reported else 1.0)
-            insult = self.weight(word)
-            if insult:
-                near = since_target <= 3
-                total += insult * damp * (1.25 if near else 1.0)
-                pending = 0.0 if near else 0.25 * insult * damp
-            elif word in TARGETS:
-                since_target = 0
-                total += pending  # a target soon after an insult
-                pending = 0.0
-                if since_threat <= 3:
-                    total += 4.0 * damp
-            elif word in THREATS:
-                since_threat = 0
-            elif word in NEGATIONS:
-                since_not = 0
-            elif word in REPORTS:
-                reported = True
+            symbol = self.symbol(word) if symbols is None else symbols[word]
+            state, own, keep, paid, fixed = COMPOSED[state][symbol]
+            total += paid * kept + fixed
+            if symbol == INSULT:
+                weight = self.weight(word)
+                total += own * weight
+                kept = keep * weight
         return total
 
     def features(self, text: str | None) -> tuple[float, float]:
         """Best clause and total of a text."""
         low = (text or "").lower()
-        held = set(_WORD.findall(low))
-        if held.isdisjoint(THREATS) and not any(map(self.weight, held)):
+        symbols = {w: self.symbol(w) for w in set(_WORD.findall(low))}
+        if not {INSULT, THREAT} & set(symbols.values()):
             return 0.0, 0.0
-        clauses = [self.clause(_WORD.findall(c)) for c in _CLAUSE.split(low)]
+        clauses = [self.clause(_WORD.findall(c), symbols) for c in _CLAUSE.split(low)]
         return max(clauses), sum(clauses)
 
     def score(self, best: np.ndarray, total: np.ndarray) -> np.ndarray:
