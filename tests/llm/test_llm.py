@@ -48,7 +48,7 @@ def plain(frame):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_twins(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "labels"):
+    for t in ("documents", "conversations", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF).toPandas()
     want = con.sql(queries.ORACLES[name]).df()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, exact, license, mix, near, pack, repeats, rules, shards, toxic
+from tickloom.llm import (ann, chat, exact, license, mix, near, negatives, pack, repeats, rules,
+                          shards, toxic, trie)
 from tickloom.llm.common import table, text_of, words_of
 from tickloom.session import stage
 
@@ -281,3 +282,93 @@ def op6_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of 50-byte strings that a smaller document has as well."""
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+_HEAD = """(4294967295 - list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''),
+                                                    lambda x: ascii(x)::BIGINT)),
+    lambda a, x: list_reduce(list_prepend(xor(a, x), [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]),
+                             lambda v, k: xor(v >> 1, 3988292384::BIGINT * (v & 1))))) % 6"""
+
+
+@query(f"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                      coalesce(role, ''), md5(length(coalesce(role, ''))::VARCHAR || ':'
+                      || coalesce(role, '') || coalesce(text, ''))) AS r
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_HEAD} AS h
+      FROM (SELECT DISTINCT conv_id FROM o)),
+held AS (SELECT conv_id AS base, count(*) AS m FROM o GROUP BY conv_id),
+t AS (SELECT c.conv_id, r AS pos, role, text FROM c JOIN o ON o.conv_id = c.base AND r <= h
+      UNION ALL
+      SELECT o.conv_id, r - h + least(h, coalesce(m, 0)), role, text
+      FROM o JOIN c USING (conv_id) LEFT JOIN held USING (base) WHERE r > h),
+p AS (SELECT conv_id, pos, length(text)::BIGINT AS pts,
+             md5(string_agg(md5(length(role)::VARCHAR || ':' || role || text), '')
+                 OVER (PARTITION BY conv_id ORDER BY pos)) AS k FROM t
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+nd AS (SELECT pos AS depth, k, min(conv_id) AS conv_id, count(*) AS n, min(pts) AS pts
+       FROM p GROUP BY pos, k),
+anc AS (SELECT nd.*, a.pos AS up, a.k AS up_k FROM nd JOIN p a
+        ON a.conv_id = nd.conv_id AND a.pos <= nd.depth),
+kids AS (SELECT up AS depth, up_k AS k, count(*) AS n_children FROM anc WHERE up = depth - 1
+         GROUP BY ALL),
+sub AS (SELECT up AS depth, up_k AS k, sum((n - 1) * pts)::BIGINT AS saved_tokens,
+               count(*) FILTER (n_children IS NULL) AS n_leaves
+        FROM anc LEFT JOIN kids ON kids.depth = anc.depth AND kids.k = anc.k GROUP BY ALL),
+e AS (SELECT pos AS depth, k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS sha
+      FROM (SELECT *, max(pos) OVER (PARTITION BY conv_id) AS last FROM p) WHERE pos = last
+      GROUP BY pos, k)
+SELECT nd.conv_id, nd.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, nd.n AS n_convs,
+       coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+       coalesce(sha, sha256('')) AS ends_sha256
+FROM nd JOIN sub ON sub.depth = nd.depth AND sub.k = nd.k
+LEFT JOIN kids ON kids.depth = nd.depth AND kids.k = nd.k
+LEFT JOIN e ON e.depth = nd.depth AND e.k = nd.k
+LEFT JOIN anc ON anc.depth = nd.depth AND anc.k = nd.k AND anc.up = nd.depth - 1
+LEFT JOIN nd up ON up.depth = anc.up AND up.k = anc.up_k
+""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of conversations whose first turns come from the first one of their hundred."""
+    turns = trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    base = F.col("conv_id") - F.col("conv_id") % 100
+    head = F.crc32(F.col("conv_id").cast("string")) % 6
+    return trie.prefix_trie(*trie.grafted(turns, base, head, longest=5))
+
+
+_MINING = negatives.Mining()
+
+
+@query(f"""
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id,
+                  (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label,
+                  list_transform(embedding, lambda x: floor({_MINING.scale} * x::DOUBLE)) AS e
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+           AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+a AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT a.rid AS aid, a.vec_id AS anchor_id, v.rid, v.vec_id, v.label = a.label AS same,
+             list_inner_product(a.e, v.e)::BIGINT AS score
+      FROM a JOIN v ON len(a.e) = len(v.e) AND a.vec_id <> v.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY aid ORDER BY score DESC, vec_id, rid) AS place
+      FROM s WHERE same QUALIFY place <= {_MINING.positives}),
+n AS (SELECT p.aid, p.rid, p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id,
+             p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.aid, p.rid
+                                ORDER BY s.score DESC, s.vec_id)::INT AS rank
+      FROM p JOIN s ON s.aid = p.aid AND NOT s.same
+      AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= {_MINING.negatives}
+""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of an anchor's five positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 50 == 0,
+                          _MINING)
+
+
+@query()
+def op13_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest vectors of every twentieth."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
