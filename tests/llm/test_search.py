@@ -174,12 +174,12 @@ def test_angle_bounds_hold():
     rows = pa.Table.from_batches(run([batch])).append_column("row_no", pa.array(range(160)))
     block = negatives._Block(rows, negatives.Mining())
     for k in range(160):
-        vector, norm, angles = block.vectors[k], block.norms[k], block.angles[k]
-        picked, upper = block.bounded(0, 160, norm, angles, -np.inf)
+        vector, norm, angles = block.vectors[k], block.norms[k], block.angles[:, k]
+        picked, upper = block.bounded(norm, angles, -np.inf)
         exact = block.scores(picked, vector)
         assert (upper >= exact).all() and (block.lower(picked, norm, angles) <= exact).all()
         least = np.quantile(exact, 0.8)
-        found, _ = block.bounded(0, 160, norm, angles, least)
+        found, _ = block.bounded(norm, angles, least)
         assert set(picked[exact >= least]) <= set(found)
 
 

@@ -37,10 +37,10 @@ _FOUND = "row_no long, query_id long, vec_id long, score double"
 @dataclass(frozen=True)
 class Search:
     k: int = 20
-    directions: int = 128
+    directions: int = 64
     near: float = 0.75      # chance of a window to hold a row at the k-th best's distance
-    recall: float = 0.95    # chance of such a row to reach the threshold
-    growth: float = 1.3     # of the half-width, from one rehashing to the next
+    recall: float = 0.93    # chance of such a row to reach the threshold
+    growth: float = 2.0     # of the half-width, from one rehashing to the next
     sample: int = 2048      # rows that give the first k-th best
     seed: int = 11
     blocks: Blocks = field(default_factory=Blocks)
@@ -93,88 +93,118 @@ def _first_bounds(sample: list[tuple[int, list[float]]], rule: Search):
     return run
 
 
-def _counted(order, values, at, width, lo, hi, counts):
-    """Widen the windows of one query to ``width`` and count the rows of the new ends."""
-    low = np.fromiter((np.searchsorted(v, a - width) for v, a in zip(values, at)), np.int64)
-    high = np.fromiter((np.searchsorted(v, a + width, side="right") for v, a in zip(values, at)),
-                       np.int64)
-    new = []
-    for j in range(len(at)):
-        if hi[j] < 0:
-            new.append(order[j, low[j]:high[j]])
-        else:
-            new.append(order[j, low[j]:lo[j]])
-            new.append(order[j, hi[j]:high[j]])
-    counts += np.bincount(np.concatenate(new), minlength=len(counts))
-    return low, high
+class _Index:
+    """Rows of a block, sorted by their projection on each direction."""
+
+    def __init__(self, rows: pa.Table, rule: Search):
+        self.rule = rule
+        self.ids, self.vectors = numbers(rows, "vec_id"), matrix(rows, "vector")
+        self.columns = self.vectors.T.copy()
+        norms = np.sqrt((self.vectors ** 2).sum(axis=1))
+        self.top = norms.max()
+        unit = self.vectors / self.top
+        rest = np.sqrt(np.maximum(0.0, 1.0 - (unit ** 2).sum(axis=1)))
+        self.n, dim = unit.shape
+        self.lines = np.random.default_rng([rule.seed, dim]).normal(
+            size=(dim + 1, rule.directions))
+        places = (unit @ self.lines[:dim] + rest[:, None] * self.lines[dim]).T
+        self.order = np.argsort(places, axis=1, kind="stable")
+        self.values = np.take_along_axis(places, self.order, axis=1)
+        # Place of each row in the sorted arrays, for windows that hold most of them.
+        kind = np.uint16 if self.n < 1 << 16 else np.uint32
+        self.rank = np.empty((rule.directions, self.n), kind)
+        np.put_along_axis(self.rank, self.order, np.arange(self.n, dtype=kind)[None, :], axis=1)
+        self.rough = unit.astype(np.float32)
+
+    def windows(self, at: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of the windows of all queries (directions x queries)."""
+        low = [np.searchsorted(v, a - width) for v, a in zip(self.values, at)]
+        high = [np.searchsorted(v, a + width, side="right") for v, a in zip(self.values, at)]
+        return np.array(low, np.int32), np.array(high, np.int32)
+
+    def widen(self, counts: np.ndarray, old, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Collision counts of one query once its windows are ``low``..``high``."""
+        was_low, was_high = old if old else (low, low)
+        new = int((was_low - low).sum() + (high - was_high).sum())
+        if 4 * new > self.rank.size:
+            kind = self.rank.dtype  # below ``low`` wraps round to a large number
+            inside = self.rank - low[:, None].astype(kind) < (high - low)[:, None].astype(kind)
+            return inside.sum(axis=0, dtype=np.int16)
+        ends = [self.order[j, a:b] for j, (a, b) in enumerate(zip(low, was_low))]
+        ends += [self.order[j, a:b] for j, (a, b) in enumerate(zip(was_high, high))]
+        return counts + np.bincount(np.concatenate(ends), minlength=self.n).astype(np.int16)
+
+    def verified(self, picked, scores, new, query):
+        """The best k of the rows so far and the new ones, by their original vectors."""
+        k = self.rule.k
+        if len(new) > k:  # single precision first, with room for its rounding
+            line = (query / np.sqrt((query ** 2).sum())).astype(np.float32)
+            rough = self.rough[new] @ line
+            new = new[rough >= np.partition(rough, -k)[-k] - 4e-7 * (len(query) + 4)]
+        picked = np.concatenate([picked, new])
+        scores = np.concatenate([scores, _scores(self.columns, new, query)])
+        best = np.lexsort((self.ids[picked], -scores))[:k]
+        return picked[best], scores[best]
+
+    def search(self, query_ids, queries, bounds):
+        """Rows found and their scores, for each query."""
+        rule, n_queries = self.rule, len(queries)
+        reach, threshold = rule.reach, rule.threshold
+        lengths = np.sqrt((queries ** 2).sum(axis=1))
+        at = ((queries / lengths[:, None]) @ self.lines[:-1]).T
+        scale = lengths * self.top
+        counts = np.zeros((n_queries, self.n), np.int16)
+        unseen = self.ids[None, :] != query_ids[:, None]
+        want = np.minimum(rule.k, unseen.sum(axis=1))
+        found = [(np.empty(0, np.int64), np.empty(0))] * n_queries
+        old: list = [None] * n_queries
+        width = np.zeros(n_queries)
+        active = np.flatnonzero(want)
+        while len(active):
+            best = np.array([max(bounds[q], found[q][1][-1] if len(found[q][1]) == rule.k
+                                 else -np.inf) for q in active])
+            square = 2.0 - 2.0 * best / scale[active]
+            goal = reach * np.sqrt(np.maximum(square, 1e-12))
+            goal = np.where(best > -np.inf, goal, np.inf)
+            have = np.array([len(found[q][1]) for q in active])
+            full = np.array([old[q] is not None and old[q][0].max() == 0
+                             and old[q][1].min() == self.n for q in active])
+            # Beyond the scale no row of this block can score as much as the k-th best.
+            done = full | (square < -1e-9) | ((width[active] >= goal) & (have >= want[active]))
+            active, goal, have = active[~done], goal[~done], have[~done]
+            if not len(active):
+                break
+            wider = np.where(width[active] > 0, width[active] * rule.growth,
+                             np.where(goal < np.inf, goal, reach) / rule.growth)
+            short = (width[active] >= goal) & (have < want[active])
+            width[active] = np.where(short, wider, np.minimum(goal, wider))
+            low, high = self.windows(at[:, active], width[active])
+            for j, q in enumerate(active):
+                counts[q] = self.widen(counts[q], old[q], low[:, j], high[:, j])
+                old[q] = (low[:, j], high[:, j])
+                new = np.flatnonzero(unseen[q] & (counts[q] >= threshold))
+                if len(new):
+                    unseen[q, new] = False
+                    found[q] = self.verified(*found[q], new, queries[q])
+        return found
 
 
 def _search(rule: Search):
-    reach, threshold = rule.reach, rule.threshold
-
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out = {"row_no": [], "query_id": [], "vec_id": [], "score": []}
+        found, keys, ids = [], [], []
         if rows.num_rows and queries.num_rows:
-            ids, vectors = numbers(rows, "vec_id"), matrix(rows, "vector")
-            n, dim = vectors.shape
-            columns = vectors.T.copy()
-            norms = np.sqrt((vectors ** 2).sum(axis=1))
-            top = norms.max()
-            unit = vectors / top
-            rest = np.sqrt(np.maximum(0.0, 1.0 - (unit ** 2).sum(axis=1)))
-            rng = np.random.default_rng([rule.seed, dim])
-            lines = rng.normal(size=(dim + 1, rule.directions))
-            places = (unit @ lines[:dim] + rest[:, None] * lines[dim]).T
-            order = np.argsort(places, axis=1, kind="stable").astype(np.int32)
-            values = np.take_along_axis(places, order, axis=1)
-            asked = matrix(queries, "vector")
-            lengths = np.sqrt((asked ** 2).sum(axis=1))
-            at = (asked / lengths[:, None]) @ lines[:dim]
-            keys = zip(numbers(queries, "row_no"), numbers(queries, "vec_id"),
-                       numbers(queries, "bound"))
-            for q, (row_no, query_id, bound) in enumerate(keys):
-                picked, scores = _one(ids, columns, order, values, at[q], asked[q],
-                                      lengths[q] * top, query_id, bound)
-                out["row_no"] += [row_no] * len(picked)
-                out["query_id"] += [query_id] * len(picked)
-                out["vec_id"].append(ids[picked])
-                out["score"].append(scores)
-        for c in ("vec_id", "score"):
-            out[c] = np.concatenate(out[c]) if out[c] else []
+            index = _Index(rows, rule)
+            query_ids, row_no = numbers(queries, "vec_id"), numbers(queries, "row_no")
+            found = index.search(query_ids, matrix(queries, "vector"), numbers(queries, "bound"))
+            size = [len(p) for p, _ in found]
+            keys, ids = np.repeat(row_no, size), np.repeat(query_ids, size)
+            found = [index.ids[np.concatenate([p for p, _ in found])],
+                     np.concatenate([s for _, s in found])]
+        else:
+            found = [[], []]
         return pa.table({
-            "row_no": pa.array(out["row_no"], pa.int64()),
-            "query_id": pa.array(out["query_id"], pa.int64()),
-            "vec_id": pa.array(out["vec_id"], pa.int64()),
-            "score": pa.array(out["score"], pa.float64())})
-
-    def _one(ids, columns, order, values, at, query, scale, query_id, bound):
-        n = len(ids)
-        counts = np.zeros(n, np.int64)
-        unseen = ids != query_id
-        want = min(rule.k, int(unseen.sum()))
-        picked, scores = np.empty(0, np.int64), np.empty(0)
-        lo, hi = np.full(len(at), -1), np.full(len(at), -1)
-        width = None
-        while want:
-            best = bound
-            if len(scores) >= rule.k:
-                best = max(best, np.partition(scores, -rule.k)[-rule.k])
-            square = 2.0 - 2.0 * best / scale
-            if square < -1e-9:
-                break  # no row of this block can score that much
-            goal = reach * math.sqrt(max(square, 1e-12)) if best > -math.inf else math.inf
-            full = width is not None and (lo == 0).all() and (hi == n).all()
-            if full or (width is not None and width >= goal and len(scores) >= want):
-                break
-            wider = reach / 2 if width is None else width * rule.growth
-            width = min(goal, wider) if len(scores) >= want or width is None else wider
-            lo, hi = _counted(order, values, at, width, lo, hi, counts)
-            new = np.flatnonzero(unseen & (counts >= threshold))
-            unseen[new] = False
-            picked = np.concatenate([picked, new])
-            scores = np.concatenate([scores, _scores(columns, new, query)])
-        keep = np.lexsort((ids[picked], -scores))[:rule.k]
-        return picked[keep], scores[keep]
+            "row_no": pa.array(keys, pa.int64()), "query_id": pa.array(ids, pa.int64()),
+            "vec_id": pa.array(found[0], pa.int64()), "score": pa.array(found[1], pa.float64())})
 
     return run
 
