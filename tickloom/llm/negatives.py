@@ -3,10 +3,10 @@
 Each row stores its angles to a few reference directions. For an anchor and a row the angle
 between them lies, by the triangle inequality on the sphere, between the largest difference and the
 smallest sum of their angles to a reference. The cosines of those ends, times both norms and
-widened for rounding, bound the score. Rows of a block are sorted by label and by the first angle,
-so the rows that can reach a wanted score are a window of each label, found by binary search; the
-other angles narrow it, and only what is left gets its integer score, best bound first, until no
-bound can change the result. Every bound is safe, so results are exact.
+widened for rounding, bound the score. Rows of a block are sorted by the first angle, so the rows
+that can reach a wanted score are a window, found by binary search; the other angles narrow it, and
+only what is left gets its integer score: first the rows with the best bounds, then those that these
+do not rule out. Every bound is safe, so results are exact.
 
 Positives are found first, then all windows of an anchor's positives together.
 
@@ -35,9 +35,9 @@ _LONG = np.iinfo(np.int64)
 class Mining:
     positives: int = 5
     negatives: int = 3
-    references: int = 16    # rows whose directions the angles are taken to
+    references: int = 8     # rows whose directions the angles are taken to
     scale: int = 256
-    tile: int = 512         # rows scored before bounds are looked at again
+    tile: int = 256         # rows scored before the bounds of the others are looked at again
     seed: int = 5
     blocks: Blocks = field(default_factory=Blocks)
 
@@ -83,40 +83,42 @@ def _with_angles(references: list[list[float]], rule: Mining):
 
 
 class _Block:
-    """Rows of a block, sorted by label and first angle."""
+    """Rows of a block, sorted by their first angle."""
 
     def __init__(self, rows: pa.Table, rule: Mining):
-        rows = rows.sort_by([("label", "ascending"), ("first", "ascending")])
+        rows = rows.sort_by("first")
         self.ids, self.labels = numbers(rows, "vec_id"), numbers(rows, "label")
         self.vectors, self.norms = matrix(rows, "vector"), numbers(rows, "norm")
-        self.angles = matrix(rows, "angles")
-        self.row_no, self.tile = numbers(rows, "row_no"), rule.tile
-        cuts = np.flatnonzero(np.diff(self.labels)) + 1
-        self.runs = [(self.labels[lo], lo, hi) for lo, hi in
-                     zip([0, *cuts], [*cuts, len(self.ids)])]
-        self.widest = {lo: self.norms[lo:hi].max() for _, lo, hi in self.runs}
-        self.largest = np.abs(self.vectors).max()
-
-    def bounded(self, lo, hi, norm, angles, least):
-        """Rows of lo..hi whose upper score bound reaches ``least``, with that bound."""
-        top = norm * self.widest[lo]
+        self.angles = matrix(rows, "angles").T.copy()
+        self.row_no = numbers(rows, "row_no")
+        self.widest, self.largest = self.norms.max(), np.abs(self.vectors).max()
+
+    def bounded(self, norm, angles, least):
+        """Rows whose upper score bound reaches ``least``, with that bound."""
+        top, lo, hi = norm * self.widest, 0, len(self.ids)
         if least > -np.inf:
             cosine = (least - 1e-6) / (top * (1 + 1e-9)) if top > 0 else (2.0 if least > 0 else -2.0)
             if cosine > 1:
                 return np.empty(0, np.int64), np.empty(0)
             turn = np.arccos(max(cosine, -1.0)) + 2e-7
-            first = self.angles[lo:hi, 0]
-            hi = lo + np.searchsorted(first, angles[0] + turn, side="right")
-            lo = lo + np.searchsorted(first, angles[0] - turn)
-        apart = np.abs(self.angles[lo:hi] - angles).max(axis=1)
+            lo = np.searchsorted(self.angles[0], angles[0] - turn)
+            hi = np.searchsorted(self.angles[0], angles[0] + turn, side="right")
+        apart = np.abs(self.angles[:, lo:hi] - angles[:, None]).max(axis=0)
         upper = norm * self.norms[lo:hi] * np.cos(np.maximum(0.0, apart - 1e-7))
         upper += np.abs(upper) * 1e-9 + 1e-6
         found = np.flatnonzero(upper >= least)
         return lo + found, upper[found]
 
+    def tiles(self, picked, upper, first):
+        """The ``first`` rows by bound, then the rest: what these score rules most others out."""
+        if len(picked) <= first:
+            return [(picked, upper)] if len(picked) else []
+        high = np.argpartition(-upper, first)
+        return [(picked[p], upper[p]) for p in (high[:first], high[first:])]
+
     def lower(self, picked, norm, angles):
-        both = self.angles[picked] + angles
-        wide = np.minimum(np.pi, np.minimum(both, 2 * np.pi - both).min(axis=1) + 1e-7)
+        both = self.angles[:, picked] + angles[:, None]
+        wide = np.minimum(np.pi, np.minimum(both, 2 * np.pi - both).min(axis=0) + 1e-7)
         value = norm * self.norms[picked] * np.cos(wide)
         return value - np.abs(value) * 1e-9 - 1e-6
 
@@ -144,24 +146,20 @@ def _positives(rule: Mining):
         if not rows.num_rows or not anchors.num_rows:
             return _table(out)
         block = _Block(rows, rule)
-        runs = {label: (lo, hi) for label, lo, hi in block.runs}
         keys = zip(numbers(anchors, "row_no"), numbers(anchors, "vec_id"), numbers(anchors, "label"),
                    matrix(anchors, "vector"), numbers(anchors, "norm"), matrix(anchors, "angles"))
+        there = set(block.labels)
         for number, vec_id, label, vector, norm, angles in keys:
-            if label not in runs:
+            if label not in there:
                 continue
-            picked, upper = block.bounded(*runs[label], norm, angles, -np.inf)
-            other = block.ids[picked] != vec_id
-            picked, upper = picked[other], upper[other]
-            down = np.argsort(-upper, kind="stable")
-            picked, upper = picked[down], upper[down]
+            picked, upper = block.bounded(norm, angles, -np.inf)
+            own = (block.labels[picked] == label) & (block.ids[picked] != vec_id)
             held, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-            for at in range(0, len(picked), block.tile):
-                if len(held) == rule.positives and upper[at] < scores[-1]:
-                    break
-                tile = picked[at:at + block.tile]
-                held = np.concatenate([held, tile])
-                scores = np.concatenate([scores, block.scores(tile, vector)])
+            for rows_in, bound in block.tiles(picked[own], upper[own], rule.tile):
+                if len(held) == rule.positives:
+                    rows_in = rows_in[bound >= scores[-1]]
+                held = np.concatenate([held, rows_in])
+                scores = np.concatenate([scores, block.scores(rows_in, vector)])
                 best = _best(block.ids[held], scores, rule.positives)
                 held, scores = held[best], scores[best]
             out["anchor_no"].append(np.full(len(held), number))
@@ -188,25 +186,19 @@ def _negatives(rule: Mining):
             if not wanted:
                 continue
             least, most = min(w[1] for w in wanted), max(w[2] for w in wanted)
-            parts = [block.bounded(lo, hi, norm, angles, least)
-                     for other, lo, hi in block.runs if other != label]
-            if not parts:
-                continue
-            picked = np.concatenate([p for p, _ in parts])
-            upper = np.concatenate([u for _, u in parts])
-            meets = block.lower(picked, norm, angles) <= most
-            picked, upper = picked[meets], upper[meets]
-            down = np.argsort(-upper, kind="stable")
-            picked, upper = picked[down], upper[down]
+            picked, upper = block.bounded(norm, angles, least)
+            fit = block.labels[picked] != label
+            picked, upper = picked[fit], upper[fit]
+            fit = block.lower(picked, norm, angles) <= most
             held = {w: (np.empty(0, np.int64), np.empty(0, np.int64)) for w in wanted}
-            for at in range(0, len(picked), block.tile):
-                if all(len(s) == rule.negatives and upper[at] < s[-1] for _, s in held.values()):
-                    break
-                tile = picked[at:at + block.tile]
-                scores = block.scores(tile, vector)
+            for rows_in, bound in block.tiles(picked[fit], upper[fit], rule.tile):
+                if all(len(s) == rule.negatives for _, s in held.values()):
+                    rows_in = rows_in[bound >= min(s[-1] for _, s in held.values())]
+                scores = block.scores(rows_in, vector)
                 for w, (rows_held, scores_held) in held.items():
-                    inside = (scores >= w[1]) & (scores <= w[2])
-                    both = np.concatenate([rows_held, tile[inside]])
+                    low = max(w[1], scores_held[-1]) if len(rows_held) == rule.negatives else w[1]
+                    inside = np.flatnonzero((scores >= low) & (scores <= w[2]))
+                    both = np.concatenate([rows_held, rows_in[inside]])
                     values = np.concatenate([scores_held, scores[inside]])
                     best = _best(block.ids[both], values, rule.negatives)
                     held[w] = both[best], values[best]
