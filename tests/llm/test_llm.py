@@ -290,13 +290,15 @@ def test_pipeline_brute_force(spark, docs, texts):
         assert d.columns == docs.columns
         after = d.collect()
         if name == "quality rules":
-            good = {r.doc_id for r in rules.judge(docs).filter("kept").collect()}
+            good = {r.doc_id for r in rules.judge(
+                docs, corpus_pipeline.LINES).filter("kept").collect()}
             assert {r.doc_id for r in after} == good
         elif name == "exact dedup":
             keys = {re.sub(r"[\x20\x09-\x0D]", "", r.text) for r in before.values()}
             assert len(after) == len(keys)
         elif name == "near dedup":
-            groups = near_groups({i: r.text for i, r in before.items()})
+            groups = near_groups({i: r.text for i, r in before.items()},
+                                 corpus_pipeline.NEAR.percent)
             assert {r.doc_id for r in after} == {i for i, (_, c) in groups.items() if i == c}
         else:
             con = duckdb.connect()

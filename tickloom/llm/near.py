@@ -158,7 +158,8 @@ def _across(near: Near, best: int | None):
                 continue
             last = (rows[columns] == rows[columns].iloc[-1]).all(axis=1).to_numpy()
             first = len(rows) - int(np.argmin(last[::-1])) if not last.all() else 0
-            yield pairs(rows.iloc[:first])
+            if first:
+                yield pairs(rows.iloc[:first])
             rest = rows.iloc[first:].reset_index(drop=True)
         if rest is not None:
             yield pairs(rest)

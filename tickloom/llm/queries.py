@@ -87,15 +87,25 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(
                   {_WORDS} AS w FROM documents),
 l AS (SELECT rid, host, text AS content, unnest(string_split(text, chr(10))) AS line,
              generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM d),
-k AS (SELECT *, regexp_replace(lower(line), '{_NOISE_RE}', '', 'g') AS key,
+k AS (SELECT *, regexp_replace(lower(line), '{_NOISE_RE}', '', 'g') AS plain,
              len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
-hosts AS (SELECT host, count(DISTINCT text) AS host_docs FROM d GROUP BY host),
-freq AS (SELECT k.host, key FROM k JOIN hosts ON k.host IS NOT DISTINCT FROM hosts.host
-         WHERE key <> '' GROUP BY k.host, key, host_docs
-         HAVING count(DISTINCT content) > greatest({_LINES.min_docs},
-                                                   floor(host_docs * {_LINES.share}))),
-gone AS (SELECT rid, sum(n)::BIGINT AS n FROM k SEMI JOIN freq
-         ON k.host IS NOT DISTINCT FROM freq.host AND k.key = freq.key GROUP BY rid),
+kk AS (SELECT *, md5(coalesce('h' || host, '') || chr(10) || plain)[1:16] AS key FROM k
+       WHERE plain <> ''),
+hosts AS (SELECT host, greatest({_LINES.min_docs}, floor(count(DISTINCT text) * {_LINES.share}))
+                 AS most FROM d GROUP BY host),
+often AS (SELECT key FROM kk JOIN hosts ON kk.host IS NOT DISTINCT FROM hosts.host
+          GROUP BY key, most HAVING count(DISTINCT content) > most),
+hit AS (SELECT DISTINCT host, content, ln, n, key FROM kk SEMI JOIN often USING (key)),
+txt AS (SELECT host, content, min(key) AS low,
+               sum(n) >= {_LINES.copied_share} * len(any_value(regexp_extract_all(
+                   content, '[^\x20\x09-\x0D]+'))) AS copied
+        FROM hit GROUP BY host, content),
+freq AS (SELECT key FROM hit JOIN txt ON hit.host IS NOT DISTINCT FROM txt.host
+                                      AND hit.content = txt.content
+         JOIN hosts ON hit.host IS NOT DISTINCT FROM hosts.host
+         GROUP BY key, most
+         HAVING count(DISTINCT CASE WHEN copied THEN 'k' || low ELSE 't' || txt.content END) > most),
+gone AS (SELECT rid, sum(n)::BIGINT AS n FROM kk SEMI JOIN freq USING (key) GROUP BY rid),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM k WHERE n > 0 GROUP BY rid),
 g AS (SELECT rid, i, array_to_string(w[i:i+4], ' ') AS gram
       FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d)),

@@ -3,11 +3,13 @@ is rejected.
 
 Every line is normalised (lower case, no white space, digits or ASCII punctuation) and hashed
 together with its host. Lines are counted per host once for each different document text, so that
-copies of one document never make its own lines frequent. Given ``group``, a line that is frequent
-so counts again, once for each group of near copies, so that these do not either. A line above
-``max(min_docs, share * different documents of the host)`` is removed from the documents of that
-host, and a document left with fewer than ``min_left`` words, or less than ``min_share`` of its
-words, is rejected.
+copies of one document never make its own lines frequent; the limit is ``max(min_docs, share *
+different documents of the host)``. Near copies have different texts, so lines are counted again: a
+text with ``copied_share`` or more of its words in lines above the limit counts for the smallest
+key of those lines, all texts with that key once. Near copies agree in that key, whatever else they
+edit, while pages that only share boilerplate have words of their own and count by text. A line
+that is still above the limit is removed from the documents of that host, and a document left with
+fewer than ``min_left`` words, or less than ``min_share`` of its words, is rejected.
 
 Defined cases: a null text has no words and fails; a null host is a host of its own. Lines without
 a letter are never counted. Repeated rows get the same verdict. Input columns named as an output
@@ -16,7 +18,6 @@ are replaced. Window hashes have 64 bits and are compared within one text only.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,14 +33,21 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class LineRules:
-    min_docs: int = 100
+    min_docs: int = 5  # only keeps a handful of documents apart
     share: float = 0.02
+    copied_share: float = 0.8
     min_left: int = 10
     min_share: float = 0.1
     min_words: int = 10
     repeat_percent: int = 20
 
 
+def _line_key(host: Column, plain: Column) -> Column:
+    """Eight bytes for a host's line, in the order of their hexadecimal digits."""
+    named = F.concat(F.coalesce(F.concat(F.lit("h"), host), F.lit("")), F.lit("\n"), plain)
+    return F.unhex(F.substring(F.md5(named), 1, 16))
+
+
 def _facts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """One row per document: counts for the base rules, and its lines as keys with word counts."""
     text = F.col("t")
@@ -64,7 +72,8 @@ def _facts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     rows = rows.select(
         *counts, "line_words", "grams",
         (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
-        F.transform("plain", lambda x: F.when(x != "", F.xxhash64("host", x))).alias("line_keys"),
+        F.transform("plain", lambda x: F.when(x != "", _line_key(F.col("host"), x))
+                    ).alias("line_keys"),
         (F.size("grams") > F.size(F.array_distinct("grams"))).alias("repeats"),
     )
     counts += ["n_dup_lines", "line_keys", "line_words"]
@@ -82,15 +91,21 @@ def _facts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
         .alias("n_repeat_words"))
 
 
-def _frequent_lines(facts: DataFrame, rules: LineRules, texts: DataFrame,
-                    group: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+def _lines(facts: DataFrame, *columns: str) -> DataFrame:
+    """One row per keyed line: its key, place and words, with ``columns`` of its document."""
+    pairs = F.arrays_zip(F.col("line_keys").alias("k"), F.col("line_words").alias("n"))
+    return facts.select(*columns, F.posexplode(pairs)).select(
+        *columns, "pos", F.col("col.k").alias("key"), F.col("col.n").alias("n")
+    ).filter("key is not null")
+
+
+def _frequent_lines(facts: DataFrame, rules: LineRules) -> DataFrame:
     """Keys of lines above the limit of their host."""
-    lines = facts.select("host", "content", F.explode(F.array_distinct("line_keys")).alias("key"))
-    lines = lines.filter("key is not null")
+    keys = facts.select("host", "content", F.explode(F.array_distinct("line_keys")).alias("key"))
+    keys = keys.filter("key is not null")
     # All documents first: a key and a count per task. Few lines stay, and only their different
     # documents are counted.
-    often = lines.groupBy("key").count().filter(F.col("count") > rules.min_docs).select("key")
-    different = lines.join(often, "key").select("key", "host", "content").distinct()
+    often = keys.groupBy("key").count().filter(F.col("count") > rules.min_docs).select("key")
     hosts = facts.select("host", "content").distinct().groupBy(F.col("host").alias("of")).agg(
         F.count("*").alias("host_docs"))
     limit = F.greatest(F.lit(rules.min_docs), F.floor(F.col("host_docs") * rules.share))
@@ -100,34 +115,35 @@ def _frequent_lines(facts: DataFrame, rules: LineRules, texts: DataFrame,
         return counted.join(hosts, F.col("host").eqNullSafe(F.col("of"))).filter(
             F.col("n") > limit).select("key")
 
-    if group is None:
-        return above(different)
-    # Groups never count more than texts: only the texts of lines above the limit are grouped.
-    carried = stage(different.join(above(different), "key"), "line-carried")
-    groups = group(texts.join(carried.select("content").distinct(), "content").dropDuplicates(
-        ["content"]))
-    return above(carried.join(groups, "content").select("key", "host", "grp").distinct())
+    first = stage(above(keys.join(often, "key").select("key", "host", "content").distinct()),
+                  "line-first")
+    # A text's lines are the same in all its rows: places tell them apart.
+    hit = _lines(facts, "host", "content", "n_words").join(first, "key").distinct()
+    texts = hit.groupBy("host", "content").agg(
+        F.sum("n").alias("hit_words"), F.max("n_words").alias("n_words"),
+        F.min("key").alias("low"), F.collect_set("key").alias("keys"))
+    copied = F.col("hit_words") >= rules.copied_share * F.col("n_words")
+    return above(texts.select(
+        "host", F.when(copied, F.col("low")).alias("low"),
+        F.when(~copied, F.col("content")).alias("content"), F.explode("keys").alias("key")
+    ).distinct())
 
 
 def _removed(facts: DataFrame, frequent: DataFrame) -> DataFrame:
     """Line numbers and words that each document loses."""
-    lines = facts.select("id", "host", "content", F.posexplode(
-        F.arrays_zip(F.col("line_keys").alias("k"), F.col("line_words").alias("n"))))
-    hit = lines.select("id", "host", "content", "pos", F.col("col.k").alias("key"),
-                       F.col("col.n").alias("n")).join(frequent, "key")
+    hit = _lines(facts, "id", "host", "content").join(frequent, "key")
     # A row written twice has the same lines: the set holds them once.
     return hit.groupBy("id", "host", "content").agg(
         F.collect_set(F.struct("pos", "n")).alias("gone")
     ).select(F.col("id").alias("i"), F.col("host").alias("h"), F.col("content").alias("c"),
-             F.transform("gone", lambda x: x["pos"]).alias("gone"), F.aggregate("gone", F.lit(0), lambda a, x: a + x["n"]).alias("gone_words"))
+             F.transform("gone", lambda x: x["pos"]).alias("gone"),
+             F.aggregate("gone", F.lit(0), lambda a, x: a + x["n"]).alias("gone_words"))
 
 
 def _judged(docs: DataFrame, rules: LineRules, id_col: str, text_col: str,
-            host_col: str, group=None) -> DataFrame:
+            host_col: str) -> DataFrame:
     facts = stage(_facts(docs, id_col, text_col, host_col), "line-facts")
-    texts = docs.select(text_of(text_col).alias("t")).select(
-        F.xxhash64("t").alias("content"), "t")
-    removed = _removed(facts, _frequent_lines(facts, rules, texts, group))
+    removed = _removed(facts, _frequent_lines(facts, rules))
     same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(("id", "host", "content"), "ihc")]
     left = F.col("n_words") - F.col("words_removed")
     return facts.join(removed, same, "left").select(
@@ -152,13 +168,9 @@ def judge(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id
 
 
 def cleaned(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id",
-            text_col: str = "text", host_col: str = "source",
-            group: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The documents that stay, with the columns of ``docs``, without their frequent lines.
-
-    ``group`` takes texts (content, t) and gives (content, grp), the group of near copies of each.
-    """
-    found = _judged(docs, rules, id_col, text_col, host_col, group)
+            text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The documents that stay, with the columns of ``docs``, without their frequent lines."""
+    found = _judged(docs, rules, id_col, text_col, host_col)
     bad = stage(found.filter(~F.col("kept") | (F.col("words_removed") > 0)).select(
         F.col("id").alias("_id"), F.col("host").alias("_host"), F.col("content").alias("_content"),
         F.col("kept").alias("_kept"), F.col("gone").alias("_gone")).dropDuplicates(
