@@ -13,22 +13,15 @@ from tickloom.session import configure, shared_dir
 
 
 # Stages link near copies from 80 % on; the 85 % of op7_near_dedup is that query's own contract.
-NEAR = near.Near(percent=80)
-# The share decides in small hosts as well; the floor only keeps a handful of documents apart.
-LINES = rules.LineRules(min_docs=5)
-
-
-def _groups(texts: DataFrame) -> DataFrame:
-    """Group of near copies of every text, as the near dedup stage links them."""
-    named = texts.select(F.col("content").alias("text_id"), "t")
-    return near.near_components(named, NEAR, "text_id", "t").select(
-        F.col("text_id").alias("content"), F.col("component_id").alias("grp"))
+# 36 bands of 7 registers: a pair at 80 % shares none with chance 2e-4.
+NEAR = near.Near(percent=80, band_rows=7)
+LINES = rules.LineRules()
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; lines that are frequent in their host leave the others. Near copies
     count as one document of the host, so that one of them is left for the later stages."""
-    return rules.cleaned(docs, LINES, group=_groups)
+    return rules.cleaned(docs, LINES)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
