@@ -20,6 +20,7 @@ component without an id get null and are kept. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,7 +73,8 @@ def _bands(rows: int):
             owner, band = np.nonzero(keys)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[owner, band].view(np.int64)),
-                 batch.column("cls").take(pa.array(owner))], ["bucket", "cls"])
+                 batch.column("cls").take(pa.array(owner)),
+                 batch.column("n").take(pa.array(owner))], ["bucket", "cls", "n"])
     return run
 
 
@@ -122,7 +124,7 @@ def _meet(near: Near, best: int | None, n, comp, sketches, low, high) -> np.ndar
 
 def _across(near: Near, best: int | None):
     """Pairs across components, from rows that come ordered by block pair of a bucket."""
-    columns = ["bucket", "i", "j"]
+    columns = ["bucket", "span", "i", "j"]
 
     def pairs(rows: pd.DataFrame):
         key = rows[columns].to_numpy()
@@ -135,7 +137,7 @@ def _across(near: Near, best: int | None):
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b - a > 1 and (comp[a:b] != comp[a]).any():
                 own = np.arange(a, b)
-                low, high = own[blk[a:b] == key[a, 1]], own[blk[a:b] == key[a, 2]]
+                low, high = own[blk[a:b] == key[a, 2]], own[blk[a:b] == key[a, 3]]
                 if best is not None:  # the largest component need not look for partners
                     low = low[comp[low] != np.bincount(comp[a:b]).argmax()]
                 met = _meet(near, best, n, comp, sketches, low, high)
@@ -200,18 +202,24 @@ def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def _open_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, near: Near,
                 best: int | None) -> DataFrame:
     """Plausible pairs across components, from the buckets that hold more than one."""
-    # Every class has met its bucket's smallest class already.
-    rows = members.filter("cls <> lead").select("bucket", "cls").join(labels, "cls")
-    mixed = rows.groupBy("bucket").agg(
+    # Every class has met its bucket's smallest class already. Small sketches share buckets by
+    # chance; sizes that differ too much for the threshold never meet in one span.
+    step = math.log(max(100 / near.percent, 1.01)) * (1 + 1e-9)
+    size = F.floor(F.log("n") / step)
+    rows = members.filter("cls <> lead").select(
+        "bucket", "cls", F.explode(F.array(size, size + 1)).alias("span")).join(labels, "cls")
+    group = ["bucket", "span"]
+    mixed = rows.groupBy(*group).agg(
         F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("k")
-    ).filter("c1 <> c2").select("bucket", F.ceil(F.col("k") / near.block).cast("int")
+    ).filter("c1 <> c2").select(*group, F.ceil(F.col("k") / near.block).cast("int")
                                 .alias("blocks"))
-    rows = rows.join(mixed, "bucket").join(reps.select("cls", "n", "sketch"), "cls")
+    rows = rows.join(mixed, group).join(reps.select("cls", "n", "sketch"), "cls")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"),
+    rows = rows.select(*group, F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"),
                        "cls", "comp", "n", "sketch", "blk")
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(
+    key = [*group, "i", "j"]
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(
         _across(near, best), "a binary, b binary").distinct()
 
 
@@ -231,11 +239,11 @@ def near_components(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
         F.min(F.struct(F.col("id").alias("id"), F.col("content").alias("content"),
                        F.col("n").alias("n"), F.col("sketch").alias("sketch"))).alias("r")
     ).select("cls", "r.id", "r.content", "r.n", "r.sketch"), "near-reps")
-    bands = reps.select("cls", "sketch").mapInArrow(
-        _bands(near.band_rows), "bucket long, cls binary")
+    bands = reps.select("cls", "n", "sketch").mapInArrow(
+        _bands(near.band_rows), "bucket long, cls binary, n long")
     shared = bands.groupBy("bucket").agg(
-        F.count("*").alias("k"), F.min("cls").alias("lead")).filter("k > 1").select(
-        "bucket", "lead")
+        F.count("*").alias("k"), F.min(F.struct("cls", "n")).alias("l")).filter("k > 1").select(
+        "bucket", F.col("l.cls").alias("lead"), F.col("l.n").alias("lead_n"))
     members = stage(bands.join(shared, "bucket"), "near-members")
     nodes = stage(members.select("cls").distinct(), "near-nodes")
     wanted = reps.join(nodes, "cls").select(
@@ -246,7 +254,8 @@ def near_components(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
 
     half = lambda s: reps.select(
         F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-    pairs = members.filter("cls <> lead").select(
+    fits = 100 * F.least("n", "lead_n") >= near.percent * F.greatest("n", "lead_n")
+    pairs = members.filter(fits & (F.col("cls") != F.col("lead"))).select(
         F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
     pairs = stage(pairs.join(half("a"), "a").join(half("b"), "b").mapInArrow(
         _estimated(near), "a binary, b binary"), "near-pairs")
