@@ -1,13 +1,16 @@
 """Positions from fills, PnL, exposure and portfolio limit checks."""
 
-import json
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.scan import block_fold, block_of
+from tickloom.operators.scan import block_of
+from tickloom.session import stage
 
 
 @dataclass(frozen=True)
@@ -51,6 +54,55 @@ _FILL_OUT = (
     "symbol_id BIGINT, fill_index BIGINT, quantity BIGINT, average_cost_ticks BIGINT, "
     "realised_ticks BIGINT"
 )
+_CURVE = "symbol_id BIGINT, block BIGINT, first_cost BIGINT, starts ARRAY<BIGINT>"
+
+
+def _signed_fills(rows: pa.Table) -> list[tuple[int, int]]:
+    """Signed quantity (0 where a fill does not count) and price of each row."""
+    return [
+        (size if side == "Buy" else -size if side == "Sell" else 0, price)
+        if size and size > 0 else (0, price)
+        for side, size, price in zip(
+            rows.column("side").to_pylist(), rows.column("quantity").to_pylist(),
+            rows.column("price_ticks").to_pylist(), strict=True,
+        )
+    ]
+
+
+def cost_curve(quantity: int, fills: list[tuple[int, int]], low: int, high: int):
+    """Average cost after ``fills`` as a function of the cost before them, low <= cost <= high.
+
+    Returns the value at ``low`` and, for each step up by one, the smallest start that reaches
+    it, or (None, []) if the fills leave the cost as it was. An extension maps c to (c * held + paid) / total, cut to a whole number: it never falls
+    and shrinks differences, and a closed or turned position forgets c, so few steps are left.
+    The steps are found backwards: each output's smallest input, fill by fill.
+    """
+    a, b, q, same = low, high, quantity, True
+    maps: list[tuple[int, int, int]] = []
+    for signed, price in fills:
+        if signed == 0:
+            continue
+        same = same and q * signed < 0 and (q + signed) * q > 0
+        if q * signed > 0:
+            if a != b:
+                maps.append((abs(q), price * abs(signed), abs(q + signed)))
+            a, b = _apply(q, a, signed, price)[1], _apply(q, b, signed, price)[1]
+        elif q == 0 or (q + signed) * q < 0:
+            a = b = price
+        elif q + signed == 0:
+            a = b = 0
+        if a == b:
+            maps = []
+        q += signed
+    if same:
+        return None, []
+    largest = max([1, *(total for _, _, total in maps)]) * (max(abs(low), abs(high)) + 2)
+    values = np.arange(a + 1, b + 1, dtype=np.int64 if largest < 1 << 61 else object)
+    for held, paid, total in reversed(maps):
+        # The smallest c with (c * held + paid) / total, cut towards zero, at least the value.
+        least = np.where(values > 0, total * values, total * (values - 1) + 1)
+        values = -((paid - least) // held)
+    return a, [max(int(v), low) for v in values]
 
 
 def fold_fills(
@@ -58,42 +110,101 @@ def fold_fills(
 ) -> DataFrame:
     """Position, truncated average cost and realised PnL after every fill.
 
-    fills: symbol_id, fill_index (order), side, quantity, price_ticks. The average truncates
-    at every extension, so it cannot be summed; the block fold keeps it exact, and blocks
-    settle fast because closing or averaging forgets the start cost.
+    fills: symbol_id, fill_index (order), side, quantity, price_ticks. The position is a running
+    sum. The average truncates at every extension, so it cannot be summed; but over a block it is
+    a step function of the average before it (``cost_curve``). Blocks make their curves in
+    parallel, one pass per symbol runs through one curve per block, and the blocks then write
+    their rows from a known start: the same few jobs for any number of blocks.
     """
-
-    def fold(state: bytes, rows: pa.Table):
-        quantity, cost = json.loads(state) if state else (0, 0)
-        out: dict[str, list] = {"quantity": [], "average_cost_ticks": [], "realised_ticks": []}
-        sides = rows.column("side").to_pylist()
-        sizes = rows.column("quantity").to_pylist()
-        prices = rows.column("price_ticks").to_pylist()
-        for side, size, price in zip(sides, sizes, prices, strict=True):
-            gain = 0
-            if size > 0 and side in ("Buy", "Sell"):
-                signed = size if side == "Buy" else -size
-                quantity, cost, gain = _apply(quantity, cost, signed, price)
-            out["quantity"].append(quantity)
-            out["average_cost_ticks"].append(cost)
-            out["realised_ticks"].append(gain)
-        kept = {c: rows.column(c).to_pylist() for c in ("symbol_id", "fill_index")}
-        return kept | out, json.dumps([quantity, cost]).encode()
-
-    states = None
-    if start is not None:
-        pair = F.format_string("[%d, %d]", "quantity", "average_cost_ticks")
-        states = start.select("symbol_id", F.encode(pair, "UTF-8").alias("_state"))
-    return block_fold(
-        fills,
-        ["symbol_id"],
-        ["fill_index"],
-        block_of("fill_index", block_rows),
-        fold,
-        _FILL_OUT,
-        initial_states=states,
-        label="fills",
+    rows = stage(fills.withColumn("block", block_of("fill_index", block_rows)), "fills-rows")
+    key = ["symbol_id", "block"]
+    signed = F.when(F.col("quantity") > 0, F.when(F.col("side") == "Buy", F.col("quantity"))
+                    .when(F.col("side") == "Sell", -F.col("quantity")))
+    sums = rows.groupBy(*key).agg(
+        F.coalesce(F.sum(signed), F.lit(0)).alias("moved"),
+        F.min("price_ticks").alias("low"), F.max("price_ticks").alias("high"),
     )
+    if start is None:
+        begun = sums.select("*", *[F.lit(0).cast("bigint").alias(c) for c in ("q0", "c0")])
+    else:
+        begun = sums.join(
+            start.select("symbol_id", F.col("quantity").alias("q0"),
+                         F.col("average_cost_ticks").alias("c0")), "symbol_id", "left",
+        ).na.fill(0, ["q0", "c0"])
+    before = Window.partitionBy("symbol_id").orderBy("block").rowsBetween(
+        Window.unboundedPreceding, -1)
+    entries = stage(begun.select(
+        *key, "c0", (F.col("q0") + F.coalesce(F.sum("moved").over(before), F.lit(0))).alias("held"),
+        F.least("c0", F.min("low").over(before)).alias("low"),
+        F.greatest("c0", F.max("high").over(before)).alias("high"),
+    ), "fills-entries")
+
+    def make_curve(left: pa.Table, right: pa.Table) -> pa.Table:
+        one = right.to_pylist()[0]
+        first, starts = cost_curve(
+            one["held"], _signed_fills(left.sort_by("fill_index")), one["low"], one["high"])
+        return pa.table({
+            "symbol_id": pa.array([one["symbol_id"]], pa.int64()),
+            "block": pa.array([one["block"]], pa.int64()),
+            "first_cost": pa.array([first], pa.int64()),
+            "starts": pa.array([starts], pa.list_(pa.int64())),
+        })
+
+    curves = rows.groupBy(*key).cogroup(entries.groupBy(*key)).applyInArrow(make_curve, _CURVE)
+
+    def chain(_, batches):
+        """Entry cost of every block; curves come in block order, one batch at a time."""
+        cost = None
+        for batch in batches:
+            costs = []
+            for r in batch.to_pylist():
+                cost = r["c0"] if cost is None else cost
+                costs.append(cost)
+                if r["first_cost"] is not None:
+                    cost = r["first_cost"] + bisect_right(r["starts"], cost)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("symbol_id"), batch.column("block"), batch.column("held"),
+                 pa.array(costs, pa.int64())], ["symbol_id", "block", "held", "cost"])
+
+    ordered = curves.join(
+        entries.select(*key, "c0", "held"), key).repartition("symbol_id").sortWithinPartitions(*key)
+    begins = stage(ordered.mapInArrow(
+        _per_symbol(chain), "symbol_id BIGINT, block BIGINT, held BIGINT, cost BIGINT"), "fills-starts")
+
+    def write(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows_in, one = left.sort_by("fill_index"), right.to_pylist()[0]
+        quantity, cost = one["held"], one["cost"]
+        out: tuple[list, list, list] = ([], [], [])
+        for signed_size, price in _signed_fills(rows_in):
+            gain = 0
+            if signed_size:
+                quantity, cost, gain = _apply(quantity, cost, signed_size, price)
+            for column, value in zip(out, (quantity, cost, gain), strict=True):
+                column.append(value)
+        return pa.table(
+            [rows_in.column("symbol_id"), rows_in.column("fill_index"),
+             *[pa.array(x, pa.int64()) for x in out]],
+            names=[f.split()[0] for f in _FILL_OUT.split(", ")])
+
+    return rows.groupBy(*key).cogroup(begins.groupBy(*key)).applyInArrow(write, _FILL_OUT)
+
+
+def _per_symbol(chain):
+    """Runs ``chain`` over the batches of each symbol; rows come sorted by symbol."""
+
+    def pieces(batches):
+        for batch in batches:
+            ids = batch.column("symbol_id").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo < hi:
+                    yield int(ids[lo]), batch.slice(lo, hi - lo)
+
+    def run(batches):
+        for symbol, group in groupby(pieces(batches), key=lambda p: p[0]):
+            yield from chain(symbol, (batch for _, batch in group))
+
+    return run
 
 
 def final_positions(

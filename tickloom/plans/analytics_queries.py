@@ -52,6 +52,10 @@ def _marks(fills):
     return portfolio.last_marks(fills.filter("symbol_id <> 5"))
 
 
+# Small enough that every symbol's fills cross block borders.
+_FILL_BLOCK = 2_000
+
+
 def _positions(spark, sf_dir):
     fills = V.fills(spark, sf_dir)
     return staged_once(
@@ -69,7 +73,8 @@ def _positions(spark, sf_dir):
 )
 def portfolio_positions(spark, sf_dir):
     fills = V.fills(spark, sf_dir)
-    return portfolio.final_positions(portfolio.fold_fills(fills), marks=_marks(fills))
+    folded = portfolio.fold_fills(fills, block_rows=_FILL_BLOCK)
+    return portfolio.final_positions(folded, marks=_marks(fills))
 
 
 @query(
