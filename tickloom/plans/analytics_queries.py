@@ -499,16 +499,20 @@ def linear_scores(spark, sf_dir):
     return rows.select("symbol_id", "event_index", score.alias("score"))
 
 
+# One weight per place of the vector, exact in binary.
+_EMBEDDING_WEIGHTS = [((7 * i) % 11 - 5) / 8 for i in range(64)]
+
+
 @query(
     "embedding_scores",
-    """SELECT vec_id, -0.25::DOUBLE + CAST(embedding[1] AS DOUBLE) * 0.5::DOUBLE
-      + CAST(embedding[2] AS DOUBLE) * -1.5::DOUBLE + CAST(embedding[3] AS DOUBLE) * 2.0::DOUBLE
-      + CAST(embedding[4] AS DOUBLE) * 0.125::DOUBLE AS score FROM embeddings""",
+    """SELECT vec_id, list_reduce(list_prepend(-0.25::DOUBLE, list_transform(embedding,
+      lambda x, i: x::DOUBLE * (((7 * (i - 1)) % 11 - 5) / 8.0::DOUBLE))),
+      lambda a, b: a + b) AS score FROM embeddings""",
 )
 def embedding_scores(spark, sf_dir):
     vectors = V.table(spark, sf_dir, "embeddings")
-    doubles = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
-    score = features.reference_score(doubles, (0.5, -1.5, 2.0, 0.125), -0.25)
+    doubles = F.transform("embedding", lambda x: x.cast("double"))
+    score = features.reference_score(doubles, _EMBEDDING_WEIGHTS, -0.25)
     return vectors.select("vec_id", score.alias("score"))
 
 
@@ -571,10 +575,14 @@ def reference_prices(spark, sf_dir):
     "model_frames",
     f"""WITH {_FEATURES}, f AS (
       SELECT *, count(*) OVER w AS n, first_value(spread_ticks) OVER w AS oldest_spread,
-        lead(mid_price_ticks, 5) OVER o - mid_price_ticks AS move
+        lead(mid_price_ticks, 5) OVER o - mid_price_ticks AS move,
+        flatten(list([spread_ticks, mid_price_ticks, top_level_imbalance,
+                      top_level_quantity / 10.0::DOUBLE]) OVER w) AS frame
       FROM features WINDOW o AS (PARTITION BY symbol_id ORDER BY event_index),
         w AS (PARTITION BY symbol_id ORDER BY event_index ROWS BETWEEN 15 PRECEDING AND CURRENT ROW))
     SELECT symbol_id, event_index, CAST(64 AS INTEGER) AS frame_size, oldest_spread,
+      list_reduce(list_transform(frame, lambda x, i: x * (1 + i % 13)::DOUBLE),
+                  lambda a, b: a + b) AS weighted_sum,
       top_level_quantity / 10.0::DOUBLE AS newest_quantity,
       CAST(CASE WHEN move > 0.5::DOUBLE THEN 1 WHEN move < -0.5::DOUBLE THEN -1 ELSE 0 END AS INTEGER) AS label
     FROM f WHERE n = 16 AND move IS NOT NULL""",
@@ -593,6 +601,11 @@ def model_frames(spark, sf_dir):
         "event_index",
         F.size("frame").alias("frame_size"),
         F.col("frame")[0].alias("oldest_spread"),
+        # Every value counts, each place with another weight.
+        F.aggregate(
+            F.transform("frame", lambda x, i: x * (1 + (i + 1) % 13).cast("double")),
+            F.lit(0.0), lambda a, b: a + b,
+        ).alias("weighted_sum"),
         F.col("frame")[63].alias("newest_quantity"),
         "label",
     )
