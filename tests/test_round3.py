@@ -133,3 +133,27 @@ def test_fixed_window_rounds_grow_with_the_logarithm(spark):
 
     one, two, three = jobs(8), jobs(32), jobs(128)
     assert three - two <= two - one + 2
+
+
+def test_windows_close_by_the_watermark(spark, tmp_path):
+    """Append mode: closed windows are written once, rows that come later do not count."""
+    from tickloom.streaming import windows
+
+    day = "2024-01-01 "
+    batches = [
+        [("00:10:00", 1), ("00:50:00", 2), ("01:20:00", 4)],
+        [("02:30:00", 8), ("01:40:00", 16)],   # closes nothing yet: the watermark follows
+        [("02:40:00", 256)],                   # closes the first window
+        [("00:20:00", 32), ("01:50:00", 64)],  # the first is late, the second is in time
+        [("05:00:00", 128)],
+    ]
+    for rows in batches:
+        spark.createDataFrame([(day + t, v) for t, v in rows], "t STRING, v BIGINT").select(
+            F.to_timestamp("t").alias("ts"), F.lit("k").alias("k"), "v"
+        ).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = windows.file_stream(
+        spark, str(tmp_path / "in"), "ts TIMESTAMP, k STRING, v BIGINT", maxFilesPerTrigger="1")
+    counted = windows.windowed_counters(stream, ["k"], "v", "1 hour")
+    got = windows.run_to_table(counted, "append")
+    rows = sorted((r.start.hour, r.event_count, r.total) for r in got.collect())
+    assert rows == [(0, 2, 3), (1, 3, 84), (2, 2, 264)]

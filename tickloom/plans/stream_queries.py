@@ -1,14 +1,17 @@
 """Queries that run as Structured Streaming over all available input."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tickloom.operators import compare, quality
+from tickloom.operators.scan import whole_div
 from tickloom.plans import views as V
 from tickloom.plans.analytics_queries import _POLICY, _SIGNALS, _signal_columns
 from tickloom.plans.event_queries import _DIRTY, _dirty_diagnostics
 from tickloom.plans.limit_queries import _ASOF, _ORDERS, _RATE, MONTH
 from tickloom.plans.registry import query
-from tickloom.session import staged_once
+from tickloom.session import shared_dir, staged_once
 from tickloom.streaming import gates, replay, windows
 
 
@@ -112,22 +115,47 @@ def stream_stale_orders(spark, sf_dir):
     return windows.run_to_table(gates.stale_stream(messages, V.DAY_NS // 2), "stale")
 
 
+# Arrival of the events: five even stretches of time, then every 97th event, long after its time.
+_SLOTS, _LATE, _FILES = 5, 97, 4
+
+
+def _arriving(spark, sf_dir):
+    """Folder of files in arrival order, ``_FILES`` for each slot."""
+    folder = f"{shared_dir(spark)}/tickloom/late-events-{uuid.uuid4().hex}"
+    rows = V.table(spark, sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id",
+        F.floor(F.col("value") * 1000).cast("bigint").alias("duration_ns"),
+    )
+    span = rows.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    slot = whole_div(F.unix_micros("ts") - span[0], (span[1] - span[0]) // _SLOTS + 1)
+    rows = rows.withColumn(
+        "slot", F.when(F.col("event_id") % _LATE == 0, _SLOTS).otherwise(slot))
+    for n in range(_SLOTS + 1):
+        rows.filter(F.col("slot") == n).repartition(_FILES).write.mode("append").parquet(folder)
+    return windows.file_stream(spark, folder, rows.schema, maxFilesPerTrigger=str(_FILES))
+
+
 @query(
     "stream_windowed_counters",
-    """SELECT time_bucket(INTERVAL '1 hour', ts) AS start,
-      time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS "end", event_type,
-      count(*) AS event_count, CAST(sum(CAST(floor(value * 1000) AS BIGINT)) AS BIGINT) AS total,
-      max(CAST(floor(value * 1000) AS BIGINT)) AS worst
-    FROM events GROUP BY ALL""",
+    f"""WITH span AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+    e AS (
+      SELECT ts, event_type, CAST(floor(value * 1000) AS BIGINT) AS v, event_id % {_LATE} = 0 AS late,
+        (epoch_us(ts) - lo) // ((hi - lo) // {_SLOTS} + 1) AS slot,
+        time_bucket(INTERVAL '1 hour', ts) AS start FROM events, span),
+    passed AS (SELECT
+      max(ts) FILTER (NOT late AND slot < {_SLOTS - 1}) - INTERVAL '1 hour' AS before_late,
+      max(ts) - INTERVAL '1 hour' AS until FROM e)
+    SELECT start, start + INTERVAL '1 hour' AS "end", event_type, count(*) AS event_count,
+      CAST(sum(v) AS BIGINT) AS total, max(v) AS worst
+    FROM e, passed WHERE start + INTERVAL '1 hour' <= until
+      AND (NOT late OR start + INTERVAL '1 hour' > before_late) GROUP BY ALL""",
 )
 def stream_windowed_counters(spark, sf_dir):
-    rows = _event_stream(spark, sf_dir).select(
-        F.col("ts").cast("timestamp").alias("ts"),
-        "event_type",
-        F.floor(F.col("value") * 1000).cast("bigint").alias("duration_ns"),
-    )
-    counted = windows.windowed_counters(rows, ["event_type"], "duration_ns", "1 hour")
-    return windows.run_to_table(counted, "counters", mode="complete").select(
+    """Windows that the watermark has passed, over six micro-batches. Rows are late by the watermark
+    that the batch before them ran with, which lags the rows by one batch more."""
+    counted = windows.windowed_counters(
+        _arriving(spark, sf_dir), ["event_type"], "duration_ns", "1 hour")
+    return windows.run_to_table(counted, "counters").select(
         F.col("start").cast("timestamp_ntz").alias("start"),
         F.col("end").cast("timestamp_ntz").alias("end"),
         "event_type", "event_count", "total", "worst",

@@ -27,8 +27,8 @@ def windowed_counters(
 ) -> DataFrame:
     """Count, sum and maximum per key and time window; needs a ``ts`` timestamp column.
 
-    The watermark only bounds state: rows later than it are a data-quality matter for replay
-    diagnostics, not for counters.
+    In append mode a window is written once, when the watermark has passed its end, and its state
+    goes; rows that come after that are not counted. Complete mode keeps every window in state.
     """
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     return (
