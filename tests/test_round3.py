@@ -47,7 +47,7 @@ def random_fills(seed, n, sizes, prices, buys):
     (1, 400, range(1, 50), range(900, 1100), 0.5),        # turns and closes
     (2, 400, range(1, 5), range(1, 100_000), 0.95),       # a position that only grows
     (3, 400, range(1, 9), range(-50, 50), 0.7),           # prices of both signs
-    (4, 300, [1, 10**9], range(10**6, 10**6 + 30), 0.9),  # slopes close to one
+    (4, 120, [1, 10**9], range(10**6, 10**6 + 30), 0.9),  # slopes close to one
 ])
 def test_average_cost_over_many_blocks(spark, case):
     rows = random_fills(*case)
