@@ -221,7 +221,7 @@ class BinaryEventWriter(DataSourceWriter):
         names = [i.base_name for i in system.get_file_info(fs.FileSelector(plain))]
         held = [int(m[1]) for n in names if (m := re.fullmatch(r"part-(\d+)\.bin", n))]
         for number, message in enumerate(kept, max(held, default=-1) + 1):
-            target = f"{plain}/part-{number:05d}.bin"
+            target = f"{plain}/part-{number:010d}.bin"
             if system.get_file_info(target).type != fs.FileType.NotFound:
                 raise FileExistsError(target)
             system.move(message.path, target)
