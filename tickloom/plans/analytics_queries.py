@@ -53,7 +53,7 @@ def _marks(fills):
 
 
 # Small enough that every symbol's fills cross block borders.
-_FILL_BLOCK = 2_000
+_FILL_BLOCK = 10_000
 
 
 def _positions(spark, sf_dir):
