@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tickloom import schema
 from tickloom.functions import codec, fnv
+from tickloom.operators import quality
+from tickloom.operators.book import live_orders
 from tickloom.operators.scan import DEFAULT_BLOCK_ROWS, block_of, block_scan
 from tickloom.session import stage
 
@@ -231,14 +233,16 @@ def activity_checksums(events: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS)
     return _with_empty(events.select("symbol_id").distinct(), found, "activity_checksum")
 
 
-def diagnostic_checksums(symbols: DataFrame, found: DataFrame) -> DataFrame:
+def diagnostic_checksums(
+    symbols: DataFrame, found: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS
+) -> DataFrame:
     """Exact checksum of the diagnostics per symbol of ``symbols``."""
     sums = chained_checksum(
         found,
         ["symbol_id"],
         ["event_index"],
         codec.diagnostic_payload(),
-        F.lit(0).cast("bigint"),
+        block_of("event_index", block_rows),
         "diagnostics_checksum",
     )
     return _with_empty(symbols, sums, "diagnostics_checksum")
@@ -351,6 +355,50 @@ def combined_book_checksum(summaries: DataFrame) -> DataFrame:
     )
 
 
+SUMMARY_CHECKSUMS = (
+    "event_log_checksum", "final_book_checksum", "activity_checksum", "diagnostics_checksum"
+)
+
+
+def replay_summary(
+    events: DataFrame, found: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS,
+    snapshots: bool = False,
+) -> DataFrame:
+    """``symbol_summary`` with its four checksums.
+
+    The log checksum covers all rows of a symbol; book and activity only the rows applied
+    before its halt. A symbol that halts on its first row has an empty book.
+    """
+    symbols = stage(events.select("symbol_id").distinct(), "summary-symbols")
+    applied = stage(quality.applied_events(events, found), "summary-applied")
+    orders = stage(live_orders(applied, snapshots), "summary-orders")
+    parts = (
+        event_checksums(events, block_rows),
+        book_checksums(orders, symbols, block_rows),
+        _with_empty(symbols, activity_checksums(applied, block_rows), "activity_checksum"),
+        diagnostic_checksums(symbols, found, block_rows),
+    )
+    summary = quality.symbol_summary(events, found)
+    for part in parts:
+        summary = summary.join(part, "symbol_id")
+    return summary
+
+
+def replay_aggregate(summaries: DataFrame) -> DataFrame:
+    """One row over the symbols of ``replay_summary``: totals and both checksums."""
+    one = F.lit(0).alias("_one")
+    combined = combined_book_checksum(summaries)
+    totals = summaries.agg(
+        F.sum("event_count").alias("total_events"), F.count(F.lit(1)).alias("symbol_count")
+    )
+    return (
+        totals.select("*", one)
+        .join(combined.select("*", one), "_one")
+        .join(aggregate_checksum(summaries, combined).select("*", one), "_one")
+        .drop("_one")
+    )
+
+
 def aggregate_checksum(summaries: DataFrame, combined: DataFrame) -> DataFrame:
     """Checksum over the whole set of symbol summaries (columns as in ``symbol_summary`` plus
     the four per-symbol checksums)."""
