@@ -6,6 +6,7 @@ import json
 import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -163,6 +164,99 @@ def file_statistics(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return counts.join(content, "file_no")
 
 
+def describe_files(
+    spark: SparkSession, paths: Sequence[str], fmt: str = "auto"
+) -> DataFrame:
+    """Manifest rows of a rotated log, one per file in chain order: file_no, file_name,
+    record_count, byte_size, content_checksum, audit_chain_checksum.
+
+    The chain value of a file is the checksum its last row logged, or that of the file before
+    for a file without rows. The number of files is bounded by the listing that named them.
+    """
+    named = spark.createDataFrame(
+        [(number, os.path.basename(path)) for number, path in enumerate(paths)],
+        "file_no INT, file_name STRING",
+    )
+    last = read_audit(spark, paths, fmt).groupBy("file_no").agg(
+        F.max_by("checksum", "offset").alias("_last")
+    )
+    offset = codec.big(fnv.OFFSET).cast("decimal(20,0)")
+    zero = F.lit(0).cast("bigint")
+    listed = (
+        named.join(file_statistics(spark, paths).drop("file"), "file_no", "left")
+        .join(last, "file_no", "left")
+    )
+    return block_scan(
+        listed, [], ["file_no"], F.lit(0).cast("bigint"), latest={"_chain": F.col("_last")}
+    ).select(
+        "file_no",
+        "file_name",
+        F.coalesce("record_count", zero).alias("record_count"),
+        F.coalesce("byte_size", zero).alias("byte_size"),
+        F.coalesce("content_checksum", offset).alias("content_checksum"),
+        F.coalesce("_chain", offset).alias("audit_chain_checksum"),
+    )
+
+
+def file_issues(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Differences between manifest rows and the files as they are: kind, file_name, detail.
+
+    ``found`` holds ``file_statistics`` of the files present, with their ``file_name``.
+    """
+    now = found.select(
+        "file_name",
+        F.lit(True).alias("_there"),
+        F.col("byte_size").alias("_size"),
+        F.col("record_count").alias("_records"),
+        F.col("content_checksum").alias("_content"),
+    )
+    offset = codec.big(fnv.OFFSET).cast("decimal(20,0)")
+    both = entries.join(now, "file_name", "left").withColumns(
+        {
+            "_size": F.coalesce("_size", F.lit(0)),
+            "_records": F.coalesce("_records", F.lit(0)),
+            "_content": F.coalesce("_content", offset),
+        }
+    )
+
+    def issue(when, kind, text, *values):
+        detail = F.format_string(text, *map(F.col, values)) if values else F.lit(text)
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), detail.alias("detail")))
+
+    there = F.col("_there")
+    issues = F.array(
+        issue(there.isNull(), "missing_file", "file not found"),
+        issue(
+            there & (F.col("_size") != F.col("byte_size")), "size_mismatch",
+            "byte size mismatch: expected %d, found %d", "byte_size", "_size",
+        ),
+        issue(
+            there & (F.col("_content") != F.col("content_checksum")),
+            "content_checksum_mismatch", "content checksum mismatch",
+        ),
+        issue(
+            there & (F.col("_records") != F.col("record_count")), "record_count_mismatch",
+            "record count mismatch: expected %d, found %d", "record_count", "_records",
+        ),
+    )
+    return both.select("file_name", F.explode(F.array_compact(issues)).alias("i")).select(
+        "i.kind", "file_name", "i.detail"
+    )
+
+
+def files_now(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``file_statistics`` of files that exist, empty ones included, by ``file_name``."""
+    named = spark.createDataFrame(
+        [(number, os.path.basename(path)) for number, path in enumerate(paths)],
+        "file_no INT, file_name STRING",
+    )
+    if not paths:
+        zero = F.lit(0).cast("bigint")
+        return named.select("file_name", zero.alias("byte_size"), zero.alias("record_count"),
+                            zero.cast("decimal(20,0)").alias("content_checksum"))
+    return named.join(file_statistics(spark, paths).drop("file"), "file_no", "left")
+
+
 def sha256_files(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 per (small) file for provenance."""
     return spark.read.format("binaryFile").load(path).select(
@@ -272,25 +366,14 @@ def generate_manifest(
     verified = verify_chain(spark, paths, fmt).first()
     if not verified.valid:
         raise ValueError(f"unable to verify audit chain: {verified.error}")
-    stats = {r.file_no: r for r in file_statistics(spark, paths).collect()}
-    entries = read_audit(spark, paths, fmt)
-    last = {
-        r.file_no: int(r.last)
-        for r in entries.groupBy("file_no").agg(F.max_by("checksum", "offset").alias("last")).collect()
-    }
-    files, chain = [], fnv.OFFSET
-    for number, path in enumerate(paths):
-        chain = last.get(number, chain)
-        row = stats.get(number)
-        files.append(
-            ManifestFile(
-                os.path.basename(path),
-                row.record_count if row else 0,
-                row.byte_size if row else 0,
-                int(row.content_checksum) if row else fnv.OFFSET,
-                chain,
-            )
+    rows = describe_files(spark, paths, fmt).orderBy("file_no").collect()
+    files = [
+        ManifestFile(
+            r.file_name, r.record_count, r.byte_size, int(r.content_checksum),
+            int(r.audit_chain_checksum),
         )
+        for r in rows
+    ]
     draft = Manifest(fmt, files, creator, created_at)
     sealed = Manifest(**{**draft.__dict__, "chain_checksum": manifest_chain(draft)})
     if not signing_key:
@@ -396,40 +479,18 @@ def verify_manifest(
             )
         )
     paths = [os.path.join(base_dir, f.file_name) for f in manifest.files]
-    present = {}
-    for f, path in zip(manifest.files, paths, strict=True):
-        system, plain = open_path(path)
-        if system.get_file_info(plain).is_file:
-            present[f.file_name] = path
-        else:
-            issues.append(("missing_file", f.file_name, "file not found"))
-    order = list(present.values())
-    stats = {r.file: r for r in file_statistics(spark, order).collect()} if order else {}
-    intact = len(present) == len(manifest.files)
-    for f in manifest.files:
-        if f.file_name not in present:
-            continue
-        row = stats.get(present[f.file_name])
-        size, records, content = (
-            (row.byte_size, row.record_count, int(row.content_checksum))
-            if row else (0, 0, fnv.OFFSET)
-        )
-        found = []
-        if size != f.byte_size:
-            found.append(
-                ("size_mismatch", f"byte size mismatch: expected {f.byte_size}, found {size}")
-            )
-        if content != f.content_checksum:
-            found.append(("content_checksum_mismatch", "content checksum mismatch"))
-        if records != f.record_count:
-            found.append(
-                (
-                    "record_count_mismatch",
-                    f"record count mismatch: expected {f.record_count}, found {records}",
-                )
-            )
-        intact = intact and not found
-        issues += [(kind, f.file_name, text) for kind, text in found]
+    there = [p for p in paths if open_path(p)[0].get_file_info(open_path(p)[1]).is_file]
+    rows = spark.createDataFrame(
+        [(f.file_name, f.record_count, f.byte_size, Decimal(f.content_checksum))
+         for f in manifest.files],
+        "file_name STRING, record_count BIGINT, byte_size BIGINT, "
+        "content_checksum DECIMAL(20,0)",
+    )
+    kinds = ("missing_file", "size_mismatch", "content_checksum_mismatch", "record_count_mismatch")
+    places = {f.file_name: k for k, f in enumerate(manifest.files)}
+    found = [tuple(r) for r in file_issues(rows, files_now(spark, there)).collect()]
+    issues += sorted(found, key=lambda i: (i[0] != kinds[0], places[i[1]], kinds.index(i[0])))
+    intact = not found
     entries = 0
     if intact and paths:
         chain = verify_chain(spark, paths, manifest.format).first()

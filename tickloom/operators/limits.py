@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tickloom import schema
 from tickloom.operators.asof import HOUR_NS, age_exceeds, as_of, running_sum_as_of
 from tickloom.operators.book import DEFAULT_WALK_ROWS, walk_books
-from tickloom.operators.scan import block_fold, block_of, block_scan, whole_div
+from tickloom.operators.scan import block_fold, block_of, block_scan, follow, whole_div
 from tickloom.session import stage
 
 
@@ -122,19 +122,9 @@ def fixed_rate(messages: DataFrame, window_ns: int, block_rows: int = 100_000) -
         pointers.filter("n IS NOT NULL").select("client_id", "at", F.col("n").alias("to")),
         "rate-jumps",
     )
-    anchors = seen.filter("n = 1").select("client_id", "n")
-    while not jumps.isEmpty():
-        reached = anchors.join(
-            jumps.withColumnRenamed("at", "n"), ["client_id", "n"]
-        ).select("client_id", F.col("to").alias("n"))
-        anchors = stage(anchors.unionByName(reached), "rate-anchors")
-        further = jumps.select("client_id", F.col("at").alias("to"), F.col("to").alias("_far"))
-        jumps = stage(
-            jumps.join(further, ["client_id", "to"]).select(
-                "client_id", "at", F.col("_far").alias("to")
-            ),
-            "rate-jumps",
-        )
+    anchors = follow(
+        seen.filter("n = 1").select("client_id", F.col("n").alias("at")), jumps, ["client_id"]
+    ).withColumnRenamed("at", "n")
     opened = seen.join(
         anchors.withColumn("_open", F.lit(True)), ["client_id", "n"], "left"
     ).select("client_id", "arrival", "n", "_blk", "_open")

@@ -9,6 +9,7 @@ passes through the per-key step, so a key with 10^12 rows and blocks of 10^6 row
 * ``number_rows``  dense row numbers over a total order
 * ``block_fold``   an arbitrary sequential fold, exact, by re-running only the blocks whose
                    entry state turned out different from the assumed one
+* ``follow``       all positions of pointer chains, by doubling
 """
 
 from collections.abc import Callable, Sequence
@@ -173,6 +174,27 @@ def number_rows(
     )
 
 
+def follow(start: DataFrame, jumps: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Positions (keys, ``at``) on the chains that ``jumps`` (keys, ``at``, ``to``) makes from
+    ``start`` (keys, ``at``), the start included. Jumps lead forward, one from each position.
+
+    With the positions up to the 2^k-th and pointers over 2^k of them, one join gives as many
+    positions again and one the pointers over twice as many: rounds grow with the logarithm of
+    the longest chain.
+    """
+    keys = list(keys)
+    reached = start
+    while not jumps.isEmpty():
+        new = reached.join(jumps, [*keys, "at"]).select(*keys, F.col("to").alias("at"))
+        reached = stage(reached.unionByName(new), "follow-reached")
+        further = jumps.select(*keys, F.col("at").alias("to"), F.col("to").alias("_far"))
+        jumps = stage(
+            jumps.join(further, [*keys, "to"]).select(*keys, "at", F.col("_far").alias("to")),
+            "follow-jumps",
+        )
+    return reached
+
+
 def block_fold(
     df: DataFrame,
     keys: Sequence[str],

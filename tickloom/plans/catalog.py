@@ -4,6 +4,7 @@ from tickloom.plans import (  # noqa: F401
     analytics_queries,
     audit_queries,
     event_queries,
+    file_queries,
     limit_queries,
     stream_queries,
 )

@@ -49,6 +49,11 @@ def _run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tickloom/{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """Path of a folder not used before, below the shared folder of this application."""
+    return f"{_run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -56,7 +61,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     files are read again.
     """
     spark = df.sparkSession
-    path = f"{_run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

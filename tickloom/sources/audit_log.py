@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 
 from tickloom import schema
 from tickloom.functions import codec, fnv
+from tickloom.operators.asof import as_of
 from tickloom.operators.checksum import running_checksum
-from tickloom.operators.scan import DEFAULT_BLOCK_ROWS, block_of
-from tickloom.sources.files import SPLIT_BYTES, ordered_lines
+from tickloom.operators.scan import (
+    DEFAULT_BLOCK_ROWS,
+    block_of,
+    block_scan,
+    follow,
+    number_rows,
+)
+from tickloom.session import stage
+from tickloom.sources.files import SPLIT_BYTES, list_files, ordered_lines
 
 _FIELDS = schema.AUDIT.fieldNames()
 
@@ -132,3 +140,117 @@ def _number_files(spark: SparkSession, hidden: str, path: str) -> None:
         if fs.exists(target) or not fs.rename(new(f"{hidden}/{part[0]}"), target):
             raise FileExistsError(target.toString())
     fs.delete(new(hidden), True)
+
+
+# --- rotation by bytes and records ------------------------------------------------------
+
+
+def rotate(
+    lines: DataFrame,
+    order: str,
+    max_bytes: int = 0,
+    max_records: int = 0,
+    block_rows: int = DEFAULT_BLOCK_ROWS,
+) -> DataFrame:
+    """Cut ordered lines (``order``, ``value``) into files: (``n``, ``value``, ``file_no``).
+
+    A line that would take its file above ``max_bytes`` (line ends counted) or ``max_records``
+    opens the next file; 0 means no limit. A line longer than a file has one of its own.
+
+    Where a file that opens at a line would end is known from the running size alone: the
+    first line past its size limit is an as-of lookup on mirrored size. The openings that the
+    first line leads to follow by doubling, so no task walks the log.
+    """
+    if max_bytes <= 0 and max_records <= 0:
+        raise ValueError("rotation needs a limit of bytes or records")
+    sized = number_rows(
+        lines.select(order, "value"), [], [order], "n"
+    ).select("n", "value", (F.octet_length("value") + 1).cast("bigint").alias("_size"))
+    placed = stage(
+        block_scan(
+            sized.withColumn("_blk", block_of("n", block_rows)), [], ["n"], "_blk",
+            totals={"_upto": F.col("_size")},
+        ),
+        "rotate-lines",
+    )
+    asks = placed.select(
+        F.col("n").alias("at"), (F.col("_size") - F.col("_upto") - max_bytes - 1).alias("_back")
+    )
+    following = F.col("at") + max_records if max_records > 0 else F.lit(None).cast("bigint")
+    if max_bytes > 0:
+        opens = placed.select((-F.col("_upto")).alias("_back"), "n")
+        found = as_of(asks, opens, [], "_back", ["n"], slice_ns=block_rows * 256)
+        # No line past the limit: the file goes on to the end of the log.
+        past = F.when(F.col("n").isNotNull(), F.greatest("n", F.col("at") + 1))
+        following = F.least(following, past)
+    else:
+        found = asks
+    jumps = stage(
+        found.select("at", following.alias("to")).filter("to IS NOT NULL"), "rotate-jumps"
+    )
+    openings = follow(placed.filter("n = 1").select(F.col("n").alias("at")), jumps)
+    opened = placed.join(
+        openings.select(F.col("at").alias("n"), F.lit(1).alias("_open")), "n", "left"
+    )
+    return block_scan(
+        opened.withColumn("_open", F.coalesce("_open", F.lit(0)).cast("bigint")),
+        [], ["n"], "_blk", totals={"_files": F.col("_open")},
+    ).select("n", "value", (F.col("_files") - 1).alias("file_no"))
+
+
+def rotated_path(path: str, file_no: int) -> str:
+    """Name of the n-th file of a log: ``stem.ext``, then ``stem.1.ext``, ``stem.2.ext``, ..."""
+    if file_no == 0:
+        return path
+    folder, _, name = path.rpartition("/")
+    stem, dot, extension = name.rpartition(".")
+    stem, extension = (stem, dot + extension) if stem else (name, "")
+    return f"{folder}/{stem}.{file_no}{extension}"
+
+
+def write_files(lines: DataFrame, path: str) -> None:
+    """Write lines (``file_no``, ``n``, ``value``) as the files of a rotated log at ``path``.
+
+    One task writes a file; the files appear under their names once all are complete. A log
+    that is there already is an error.
+    """
+    spark = lines.sparkSession
+    hidden = f"{path.rpartition('/')[0]}/_rotate-{uuid.uuid4().hex}"
+    lines.repartition("file_no").sortWithinPartitions("file_no", "n").select(
+        "file_no", "value"
+    ).write.partitionBy("file_no").text(hidden)
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    fs = new(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in fs.globStatus(new(f"{hidden}/file_no=*/part-*")):
+        number = int(entry.getPath().getParent().getName().partition("=")[2])
+        target = new(rotated_path(path, number))
+        if fs.exists(target) or not fs.rename(entry.getPath(), target):
+            raise FileExistsError(target.toString())
+    fs.delete(new(hidden), True)
+
+
+def write_rotating_audit(
+    rows: DataFrame,
+    path: str,
+    order: str,
+    fmt: str = "auto",
+    max_bytes_per_file: int = 0,
+    max_records_per_file: int = 0,
+) -> None:
+    """Write audit rows in order as a rotated log; see ``rotate`` and ``rotated_path``."""
+    fmt = format_for_path(path) if fmt == "auto" else fmt
+    lines = rows.select(order, audit_lines(rows, fmt).alias("value"))
+    write_files(rotate(lines, order, max_bytes_per_file, max_records_per_file), path)
+
+
+def rotated_paths(path: str) -> list[str]:
+    """The files of a rotated log, in the order of its chain."""
+    folder, _, name = path.rpartition("/")
+    stem, dot, extension = name.rpartition(".")
+    stem, extension = (stem, dot + extension) if stem else (name, "")
+    pattern = re.compile(re.escape(stem) + r"(?:\.(\d+))?" + re.escape(extension))
+    found = {
+        int(m[1] or 0): file for file, _ in list_files([folder])
+        if (m := pattern.fullmatch(file.rpartition("/")[2])) and file.count("/") == path.count("/")
+    }
+    return [found[number] for number in sorted(found)]

@@ -6,10 +6,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    LessThan,
+    LessThanOrEqual,
+    WriterCommitMessage,
+)
 
 from tickloom import schema
 from tickloom.functions import codec
@@ -109,14 +122,28 @@ class BinaryEventLog(DataSource):
         return schema.INDEXED_EVENT
 
     def reader(self, schema) -> "BinaryEventReader":
-        return BinaryEventReader(self.options)
+        pushed = self.options.get("pushdown", "false") == "true"
+        return (FilteringEventReader if pushed else BinaryEventReader)(self.options)
 
     def writer(self, schema, overwrite: bool) -> "BinaryEventWriter":
         return BinaryEventWriter(self.options, overwrite)
 
 
+_TESTS = {
+    EqualTo: np.equal,
+    GreaterThan: np.greater,
+    GreaterThanOrEqual: np.greater_equal,
+    LessThan: np.less,
+    LessThanOrEqual: np.less_equal,
+    In: np.isin,
+}
+
+
 class BinaryEventReader(DataSourceReader):
+    """Ranges of records, one task each; every task checks its file's header."""
+
     def __init__(self, options):
+        self.tests: list[tuple[str, type, object]] = []
         self.paths = options["paths"].split("\n")
         self.numbers = options.get("numbers", "")
         self.split = max(int(options.get("split", SPLIT_BYTES)) // RECORD_SIZE, 1) * RECORD_SIZE
@@ -124,29 +151,56 @@ class BinaryEventReader(DataSourceReader):
     def partitions(self) -> list[FileRange]:
         ranges = []
         for number, path, size in numbered_files(self.paths, self.numbers):
-            check_header(read_head(path, HEADER_SIZE))
             if (size - HEADER_SIZE) % RECORD_SIZE:
+                check_header(read_head(path, HEADER_SIZE))
                 raise EventLogError(
                     "malformed binary event log: truncated binary event record at index "
                     f"{(size - HEADER_SIZE) // RECORD_SIZE} of {path}"
                 )
-            for begin in range(HEADER_SIZE, size, self.split):
+            # A log without records is one empty range, so that its header is checked too.
+            for begin in range(HEADER_SIZE, max(size, HEADER_SIZE + 1), self.split):
                 ranges.append(FileRange(path, number, begin, min(begin + self.split, size), size))
         return ranges or [FileRange("", 0, 0, 0, 0)]
 
     def read(self, part: FileRange) -> Iterator[pa.RecordBatch]:
-        if part.end <= part.begin:
+        if part.size == 0:
             return
         system, plain = open_path(part.path)
         with system.open_input_file(plain) as file:
+            check_header(file.read_at(HEADER_SIZE, 0))
             for begin in range(part.begin, part.end, _BATCH * RECORD_SIZE):
                 size = min(_BATCH * RECORD_SIZE, part.end - begin)
                 records = np.frombuffer(file.read_at(size, begin), dtype=RECORD)
                 first = (begin - HEADER_SIZE) // RECORD_SIZE
-                yield _to_batch(records, part.file_no, first)
-
-
-def _to_batch(records: np.ndarray, file_no: int, first: int) -> pa.RecordBatch:
+                _check_words(records, first)
+                index = np.arange(first + 1, first + 1 + records.size, dtype=np.int64)
+                if self.tests:
+                    kept = np.ones(records.size, dtype=bool)
+                    for name, kind, value in self.tests:
+                        kept &= _TESTS[kind](records[name].astype(np.int64), value)
+                    records, index = records[kept], index[kept]
+                if records.size:
+                    yield _to_batch(records, part.file_no, index)
+
+
+class FilteringEventReader(BinaryEventReader):
+    """Tests comparisons of whole-number fields with literals on the raw records, before rows
+    are made of them. Spark offers filters to Python sources only where
+    ``spark.sql.python.filterPushdown.enabled`` is set, and rejects this reader elsewhere."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        numbers = set(RECORD.names) - {"event_type", "side"}
+        for asked in filters:
+            kind, name = type(asked), getattr(asked, "attribute", ())
+            if kind in _TESTS and len(name) == 1 and name[0] in numbers:
+                value = list(asked.value) if kind is In else asked.value
+                if None not in (value if kind is In else [value]):
+                    self.tests.append((name[0], kind, value))
+                    continue
+            yield asked
+
+
+def _check_words(records: np.ndarray, first: int) -> None:
     for field, limit, label in (("event_type", 7, "MarketEventType"), ("side", 2, "Side")):
         low = 1 if field == "event_type" else 0
         bad = np.flatnonzero((records[field] < low) | (records[field] > limit))
@@ -155,13 +209,14 @@ def _to_batch(records: np.ndarray, file_no: int, first: int) -> pa.RecordBatch:
                 f"enum drift: record {first + int(bad[0])}: invalid {label} wire value "
                 f"{records[field][bad[0]]}"
             )
+
+
+def _to_batch(records: np.ndarray, file_no: int, index: np.ndarray) -> pa.RecordBatch:
     columns = {
         "event_type": pa.array(_TYPE_NAMES[records["event_type"]], pa.string()),
         "side": pa.array(_SIDE_NAMES[records["side"]], pa.string()),
         # The file number goes above the record number: positions stay ordered across files.
-        "event_index": pa.array(
-            np.arange(first + 1, first + 1 + records.size, dtype=np.int64) + (file_no << 40)
-        ),
+        "event_index": pa.array(index + (file_no << 40)),
     }
     arrays = [
         columns[f.name] if f.name in columns else pa.array(records[f.name].astype(np.int64))
@@ -170,13 +225,34 @@ def _to_batch(records: np.ndarray, file_no: int, first: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=schema.INDEXED_EVENT.fieldNames())
 
 
+def _to_records(batch: pa.RecordBatch) -> np.ndarray:
+    """Records of the format; a null, unknown word or number out of range is an error."""
+    records = np.zeros(batch.num_rows, dtype=RECORD)
+    codes = {"event_type": schema.EVENT_TYPES, "side": schema.SIDES}
+    for name in RECORD.names:
+        column = batch.column(name)
+        if name in codes:
+            place = pc.index_in(column, pa.array(list(codes[name]), pa.string()))
+            if not place.null_count:
+                values = np.array(list(codes[name].values()))[place.to_numpy()]
+        else:
+            place, values = column, column.to_numpy(zero_copy_only=False)
+        if place.null_count:
+            raise EventLogError(f"cannot write {name}: null or unknown value")
+        kind = np.iinfo(RECORD[name])
+        if values.size and (values.min() < kind.min or values.max() > kind.max):
+            raise EventLogError(f"cannot write {name}: out of range")
+        records[name] = values
+    return records
+
+
 @dataclass
 class PartFile(WriterCommitMessage):
     path: str
     records: int
 
 
-class BinaryEventWriter(DataSourceWriter):
+class BinaryEventWriter(DataSourceArrowWriter):
     """One part file with its own header per task, renamed into place on commit."""
 
     def __init__(self, options, overwrite: bool):
@@ -184,34 +260,18 @@ class BinaryEventWriter(DataSourceWriter):
         if overwrite:
             raise ValueError("binary event logs are append-only; choose a new folder")
 
-    def write(self, rows) -> PartFile:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> PartFile:
         from uuid import uuid4
 
         system, plain = open_path(self.path)
         system.create_dir(plain, recursive=True)
         target = f"{plain}/_tmp-{uuid4().hex}.bin"
         records = 0
-        types, sides = schema.EVENT_TYPES, schema.SIDES
         with system.open_output_stream(target) as out:
             out.write(header_bytes())
-            buffer = []
-
-            def flush() -> None:
-                out.write(np.array(buffer, dtype=RECORD).tobytes())
-                buffer.clear()
-
-            for row in rows:
-                buffer.append(
-                    (
-                        row.timestamp_ns, row.sequence_number, row.symbol_id,
-                        types[row.event_type], sides[row.side], row.flags, row.price_ticks,
-                        row.quantity, row.order_id, row.trade_id,
-                    )
-                )
-                records += 1
-                if len(buffer) == _BATCH:
-                    flush()
-            flush()
+            for batch in iterator:
+                out.write(_to_records(batch).tobytes())
+                records += batch.num_rows
         return PartFile(target, records)
 
     def commit(self, messages) -> None:
@@ -246,6 +306,7 @@ def read_binary(
         .option("paths", "\n".join(paths))
         .option("numbers", ",".join(map(str, numbers or [])))
         .option("split", str(split))
+        .option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
         .load()
     )
 
@@ -396,5 +457,3 @@ def convert(spark: SparkSession, source: str, target: str, fmt_in="auto", fmt_ou
     events = read_events(spark, source, fmt_in)
     write_events(events, target, fmt_out)
     return events
-
-
