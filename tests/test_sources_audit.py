@@ -10,6 +10,7 @@ from tickloom.functions import codec, fnv
 from tickloom.operators import audit, book, checksum, depth
 from tickloom.sources import audit_log, documents, event_log
 
+# The golden inputs that the published checksums below belong to.
 RAW = [
     '{"_fixture": "hand-curated", "synthetic": true}',
     '{"_captured_at_ns": 1716950000000000000, "symbol": "BTCUSDT", "data": {"lastUpdateId": 1000,'
