@@ -11,10 +11,17 @@ from tickloom.plans.analytics_queries import _POLICY, _SIGNALS, _signal_columns
 from tickloom.plans.event_queries import _DIRTY, _dirty_diagnostics
 from tickloom.plans.limit_queries import _ASOF, _ORDERS, _RATE, MONTH
 from tickloom.plans.registry import query
-from tickloom.session import shared_dir, staged_once
+from tickloom.session import shared_dir, stage, staged_once
 from tickloom.streaming import gates, replay, windows
 
 
+def _slots(rows, position, slots):
+    """Rows, the even stretch of ``position`` each belongs to, and the number of stretches."""
+    lo, hi = rows.agg(F.min(position), F.max(position)).first()
+    width = ((hi or 0) - (lo or 0)) // slots + 1
+    return rows, whole_div(F.col(position) - F.lit(lo or 0), width), slots
+
+
 def _event_stream(spark, sf_dir):
     schema = V.table(spark, sf_dir, "events").schema
     return windows.file_stream(spark, sf_dir, schema, pathGlobFilter="events.parquet")
@@ -23,8 +30,9 @@ def _event_stream(spark, sf_dir):
 def _replayed(spark, sf_dir):
     def build():
         windows.use_state_store(spark)
-        events = V.damaged(V.as_stream(V.supplier_flow(spark, sf_dir)))
-        rows = windows.run_to_table(replay.replay_stream(events), "replay")
+        rows = windows.run_in_slots(
+            *_slots(V.supplier_flow(spark, sf_dir), "event_index", 5),
+            lambda feed: replay.replay_stream(V.damaged(feed)), "replay")
         return rows.groupBy("symbol_id").agg(
             F.count_if(F.col("status") == "applied").alias("events_processed"),
             F.count_if(F.col("status") == "skipped").alias("events_skipped"),
@@ -51,14 +59,20 @@ def stream_replay_summary(spark, sf_dir):
 
 @query(
     "stream_batch_parity",
-    """SELECT 1 + l_suppkey AS symbol_id, true AS present_left, true AS present_right,
-      true AS events_processed_match, true AS error_match, true AS matched
-    FROM lineitem GROUP BY l_suppkey""",
+    f"""WITH {_BATCH} SELECT symbol_id, true AS present_left, true AS present_right,
+      true AS events_processed_match, true AS error_match, true AS matched,
+      events_processed, error, (SELECT count(*) FROM dirty d WHERE d.symbol_id = s.symbol_id)
+        AS event_count
+    FROM stream_summary s""",
 )
 def stream_batch_parity(spark, sf_dir):
+    """Streamed against batch summaries, with the streamed outcome and the batch event count."""
+    streamed = _replayed(spark, sf_dir)
     batch = quality.symbol_summary(V.dirty_flow(spark, sf_dir), _dirty_diagnostics(spark, sf_dir))
-    return compare.compare_runs(
-        _replayed(spark, sf_dir), batch, "symbol_id", ["events_processed", "error"]
+    return (
+        compare.compare_runs(streamed, batch, "symbol_id", ["events_processed", "error"])
+        .join(streamed.select("symbol_id", "events_processed", "error"), "symbol_id", "left")
+        .join(batch.select("symbol_id", "event_count"), "symbol_id", "left")
     )
 
 
@@ -69,8 +83,9 @@ def stream_batch_parity(spark, sf_dir):
 )
 def stream_rate_sliding(spark, sf_dir):
     windows.use_state_store(spark)
-    messages = V.as_stream(V.order_requests(spark, sf_dir))
-    return windows.run_to_table(gates.rate_stream(messages, 5, MONTH), "rate")
+    return windows.run_in_slots(
+        *_slots(V.order_requests(spark, sf_dir), "arrival", 3),
+        lambda messages: gates.rate_stream(messages, 5, MONTH), "rate")
 
 
 @query(
@@ -92,16 +107,10 @@ def stream_late_gate(spark, sf_dir):
     return windows.run_to_table(gates.gate_stream(signals, _POLICY), "gate")
 
 
-@query(
-    "stream_stale_orders",
-    f"""WITH {_ASOF} SELECT symbol_id, client_order_id, reference_price_ticks,
-      timestamp_ns - reference_ns AS age_ns,
-      coalesce(timestamp_ns - reference_ns > {V.DAY_NS // 2}, true) AS stale FROM priced""",
-)
-def stream_stale_orders(spark, sf_dir):
-    windows.use_state_store(spark)
-
+def _staleness(spark, sf_dir):
+    """Judged orders and alerts of old prices, from a feed cut by time into slots."""
     def build():
+        windows.use_state_store(spark)
         market = V.market_ref(spark, sf_dir).withColumn(
             "client_order_id", F.lit(None).cast("bigint")
         )
@@ -109,10 +118,39 @@ def stream_stale_orders(spark, sf_dir):
             "symbol_id", "timestamp_ns", "client_order_id",
             F.lit(None).cast("bigint").alias("reference_price_ticks"),
         )
-        return orders.unionByName(market)
+        messages = stage(orders.unionByName(market), "stale-messages")
+        return windows.run_in_slots(
+            *_slots(messages, "timestamp_ns", 3),
+            lambda feed: gates.stale_stream(feed, V.DAY_NS // 2, "1 hour"), "stale")
+
+    return staged_once(spark, sf_dir, "stream_stale", build)
 
-    messages = V.as_stream(staged_once(spark, sf_dir, "stale_messages", build))
-    return windows.run_to_table(gates.stale_stream(messages, V.DAY_NS // 2), "stale")
+
+@query(
+    "stream_stale_orders",
+    f"""WITH {_ASOF} SELECT symbol_id, client_order_id, reference_price_ticks,
+      timestamp_ns - reference_ns AS age_ns,
+      coalesce(timestamp_ns - reference_ns > {V.DAY_NS // 2}, true) AS stale FROM priced""",
+)
+def stream_stale_orders(spark, sf_dir):
+    return _staleness(spark, sf_dir).filter("client_order_id IS NOT NULL").drop("timestamp_ns")
+
+
+@query(
+    "stream_stale_alerts",
+    f"""WITH {_ORDERS}, {V.MARKET_SQL},
+    stands AS (SELECT *, lead(timestamp_ns) OVER (
+      PARTITION BY symbol_id ORDER BY timestamp_ns) AS until_ns FROM market_ref),
+    ends AS (SELECT max(timestamp_ns) - {V.DAY_NS // 24} AS passed_ns FROM (
+      SELECT timestamp_ns FROM market_ref UNION ALL SELECT timestamp_ns FROM order_requests))
+    SELECT symbol_id, reference_price_ticks, timestamp_ns + {V.DAY_NS // 2} + 1000000 AS raised_ns
+    FROM stands, ends
+    WHERE coalesce(until_ns, passed_ns) - timestamp_ns > {V.DAY_NS // 2}""",
+)
+def stream_stale_alerts(spark, sf_dir):
+    """One row for every price that grew too old, also the last of a symbol that fell silent."""
+    return _staleness(spark, sf_dir).filter("client_order_id IS NULL").select(
+        "symbol_id", "reference_price_ticks", F.col("timestamp_ns").alias("raised_ns"))
 
 
 # Arrival of the events: five even stretches of time, then every 97th event, long after its time.

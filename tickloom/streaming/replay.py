@@ -1,10 +1,11 @@
 """Streaming replay: the same diagnostics and books as batch, event by event.
 
-State per symbol: the cursor (expected sequence, last time, position, halted) and the live
-orders. A halted symbol stays halted for good, so its cursor has no expiry.
+State per symbol: the cursor (expected sequence, last time, halted, top of the book), the live
+orders and the price levels. A halted symbol stays halted for good: its cursor has no expiry, its
+orders and levels leave the state.
 """
 
-import json
+import heapq
 from collections.abc import Iterator
 from typing import Any
 
@@ -22,7 +23,11 @@ _NEED_PRICE = {"Add", "Replace", "Trade"}
 _NEED_SIZE = {"Add", "Replace", "Execute", "Trade"}
 
 
-def _fault(e: Any, order: list | None) -> str | None:
+_COLUMNS = [part.split()[0] for part in RESULT.split(", ")]
+_CHUNK = 50_000
+
+
+def _fault(e: Any, order: tuple | None) -> str | None:
     """First violated field or state rule of an event."""
     kind = e.event_type
     sided = e.side in ("Buy", "Sell")
@@ -51,12 +56,98 @@ def _fault(e: Any, order: list | None) -> str | None:
     return next((reason for bad, reason in checks if bad), None)
 
 
+class _Orders:
+    """Live orders of a symbol: read from state when first touched, written back once."""
+
+    def __init__(self, state):
+        self.state = state
+        self.stored: dict[int, tuple | None] = {}
+        self.now: dict[int, tuple | None] = {}
+
+    def __getitem__(self, order_id: int) -> tuple | None:
+        """(side, price, quantity) of a live order."""
+        if order_id == 0:
+            return None
+        if order_id not in self.now:
+            found = self.state.getValue((order_id,))
+            self.now[order_id] = self.stored[order_id] = tuple(found) if found else None
+        return self.now[order_id]
+
+    def __setitem__(self, order_id: int, order: tuple | None) -> None:
+        self.now[order_id] = order
+
+    def clear(self) -> None:
+        self.state.clear()
+        self.stored, self.now = {}, {}
+
+    def save(self) -> None:
+        for order_id, order in self.now.items():
+            if order == self.stored.get(order_id):
+                continue
+            if order is None:
+                self.state.removeKey((order_id,))
+            else:
+                self.state.updateValue((order_id,), order)
+
+
+class _Levels:
+    """Orders per price of both sides; a heap per side gives the best price.
+
+    A price enters its heap when its level opens and leaves it when it has become the top without
+    an order left, so an event costs a logarithm of the levels.
+    """
+
+    def __init__(self, state):
+        self.state = state
+        self.counts = {(side, price): count for (side, price), (count,) in state.iterator()}
+        self.changed: set[tuple[str, int]] = set()
+        self.heaps: dict[str, list[int]] = {"Buy": [], "Sell": []}
+        for side, price in self.counts:
+            self.heaps[side].append(self._rank(side, price))
+        for heap in self.heaps.values():
+            heapq.heapify(heap)
+
+    @staticmethod
+    def _rank(side: str, price: int) -> int:
+        return -price if side == "Buy" else price
+
+    def move(self, side: str, price: int, change: int) -> None:
+        level = side, price
+        if level not in self.counts:
+            self.counts[level] = 0
+            heapq.heappush(self.heaps[side], self._rank(side, price))
+        self.counts[level] += change
+        self.changed.add(level)
+
+    def best(self, side: str) -> int | None:
+        heap = self.heaps[side]
+        while heap:
+            price = self._rank(side, heap[0])
+            if self.counts[side, price]:
+                return price
+            heapq.heappop(heap)
+            del self.counts[side, price]
+        return None
+
+    def clear(self) -> None:
+        self.state.clear()
+        self.counts, self.changed = {}, set()
+        self.heaps = {"Buy": [], "Sell": []}
+
+    def save(self) -> None:
+        for level in self.changed:
+            count = self.counts.get(level, 0)
+            if count:
+                self.state.updateValue(level, (count,))
+            elif self.state.containsKey(level):
+                self.state.removeKey(level)
+
+
 class ReplayProcessor(StatefulProcessor):
     """One row per event; a halting event carries its reason, later ones are skipped.
 
     A call sees one micro-batch of a symbol, so its size is bounded by the source's
-    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``. Orders are read from state when first
-    touched and written back once per micro-batch.
+    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``; rows leave in chunks as they are made.
     """
 
     def __init__(self, sequence: bool = True, timestamps: bool = True):
@@ -64,110 +155,94 @@ class ReplayProcessor(StatefulProcessor):
         self.timestamps = timestamps
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cursor = handle.getValueState("cursor", "body STRING")
-        self.orders = handle.getMapState("orders", "order_id BIGINT", "body STRING")
+        self.cursor = handle.getValueState(
+            "cursor",
+            "expected BIGINT, last BIGINT, halted BOOLEAN, live BIGINT, bid BIGINT, ask BIGINT",
+        )
+        self.order_state = handle.getMapState(
+            "orders", "order_id BIGINT", "side STRING, price BIGINT, quantity BIGINT"
+        )
+        self.level_state = handle.getMapState("levels", "side STRING, price BIGINT", "orders BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        stored = self.cursor.get() if self.cursor.exists() else None
-        cursor = json.loads(stored[0]) if stored else {
-            "expected": None, "last": None, "halted": False, "levels": {},
-        }
-        self.cache: dict[int, list | None] = {}
+        self.expected, self.last, self.halted, *top = (
+            self.cursor.get() if self.cursor.exists() else (None, None, False, 0, None, None)
+        )
+        was_halted = self.halted
+        if not was_halted:
+            self.orders = _Orders(self.order_state)
+            self.levels = _Levels(self.level_state)
+        self.live = top[0]
         batch = pd.concat(list(rows), ignore_index=True).sort_values("event_index")
-        out = []
+        symbol, out = int(key[0]), []
         for e in batch.itertuples(index=False):
-            out.append((int(key[0]), *self._step(e, cursor)))
-        for order_id, order in self.cache.items():
-            if order is not None:
-                self.orders.updateValue((order_id,), (json.dumps(order),))
-            elif self.orders.containsKey((order_id,)):
-                self.orders.removeKey((order_id,))
-        self.cursor.update((json.dumps(cursor),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
-
-    def _step(self, e, cursor: dict):
-        place = (int(e.event_index), int(e.sequence_number))
-        if cursor["halted"]:
-            return (*place, "skipped", None, *self._top(cursor))
-        reason = None
-        if self.sequence and cursor["expected"] not in (None, e.sequence_number):
-            reason = (
-                f"sequence gap: expected {cursor['expected']}, received {e.sequence_number}"
-            )
-        elif self.timestamps and cursor["last"] is not None and e.timestamp_ns < cursor["last"]:
-            reason = (
-                f"timestamp reversal: previous {cursor['last']}, received {e.timestamp_ns}"
-            )
-        if reason is None:
-            cursor["expected"] = int(e.sequence_number) + 1
-            cursor["last"] = int(e.timestamp_ns)
-            reason = _fault(e, self._order(e.order_id))
-            if reason is None:
-                reason = self._apply(e, cursor)
-        if reason is None:
-            top = self._top(cursor)
-            if top[1] is not None and top[2] is not None and top[1] >= top[2]:
-                reason = f"crossed book state: best bid {top[1]} >= best ask {top[2]}"
-        if reason is not None:
-            cursor["halted"] = True
-            return (*place, "halted", reason, *self._top(cursor))
-        return (*place, "applied", None, *self._top(cursor))
-
-    def _order(self, order_id: int) -> list | None:
-        order_id = int(order_id)
-        if order_id == 0:
-            return None
-        if order_id not in self.cache:
-            key = (order_id,)
-            known = self.orders.containsKey(key)
-            self.cache[order_id] = json.loads(self.orders.getValue(key)[0]) if known else None
-        return self.cache[order_id]
-
-    def _top(self, cursor: dict):
-        levels = cursor["levels"]
-        bids = [int(p[1:]) for p in levels if p[0] == "B"]
-        asks = [int(p[1:]) for p in levels if p[0] == "S"]
-        live = sum(count for _, count in levels.values())
-        return live, max(bids, default=None), min(asks, default=None)
-
-    def _move(self, cursor: dict, side: str, price: int, quantity: int, count: int) -> None:
-        key = f"{side[0]}{price}"
-        held, orders = cursor["levels"].get(key, (0, 0))
-        if orders + count == 0:
-            cursor["levels"].pop(key, None)
-        else:
-            cursor["levels"][key] = [held + quantity, orders + count]
-
-    def _put(self, cursor: dict, order_id: int, side: str, price: int, quantity: int) -> None:
-        self.cache[order_id] = [side, price, quantity]
-        self._move(cursor, side, price, quantity, 1)
-
-    def _drop(self, cursor: dict, order_id: int, order: list) -> None:
-        self.cache[order_id] = None
-        self._move(cursor, order[0], order[1], -order[2], -1)
-
-    def _apply(self, e, cursor: dict) -> str | None:
-        kind, order_id, order = e.event_type, int(e.order_id), self._order(e.order_id)
-        if kind == "Snapshot":
-            if int(e.flags) & 1:
-                self.orders.clear()
-                self.cache = {}
-                cursor["levels"] = {}
-                order = None
-            if order_id:
-                if order is not None:
-                    return "failed to apply Snapshot event"
-                self._put(cursor, order_id, e.side, int(e.price_ticks), int(e.quantity))
-        elif kind == "Add":
-            self._put(cursor, order_id, e.side, int(e.price_ticks), int(e.quantity))
+            status, reason = "skipped", None
+            if not self.halted:
+                reason = self._step(e)
+                top = self.live, self.levels.best("Buy"), self.levels.best("Sell")
+                reason = reason or self._crossed(*top[1:])
+                self.halted = reason is not None
+                status = "halted" if self.halted else "applied"
+            out.append((symbol, e.event_index, e.sequence_number, status, reason, *top))
+            if len(out) == _CHUNK:
+                yield pd.DataFrame(out, columns=_COLUMNS, dtype=object)
+                out = []
+        if self.halted and not was_halted:
+            self.order_state.clear()
+            self.level_state.clear()
+        elif not self.halted:
+            self.orders.save()
+            self.levels.save()
+        self.cursor.update((self.expected, self.last, self.halted, *top))
+        yield pd.DataFrame(out, columns=_COLUMNS, dtype=object)
+
+    def _step(self, e) -> str | None:
+        """Apply an event, or say why it stops its symbol."""
+        sequence, now = int(e.sequence_number), int(e.timestamp_ns)
+        if self.sequence and self.expected not in (None, sequence):
+            return f"sequence gap: expected {self.expected}, received {sequence}"
+        if self.timestamps and self.last is not None and now < self.last:
+            return f"timestamp reversal: previous {self.last}, received {now}"
+        self.expected, self.last = sequence + 1, now
+        return _fault(e, self.orders[int(e.order_id)]) or self._apply(e)
+
+    @staticmethod
+    def _crossed(bid: int | None, ask: int | None) -> str | None:
+        if bid is not None and ask is not None and bid >= ask:
+            return f"crossed book state: best bid {bid} >= best ask {ask}"
+        return None
+
+    def _put(self, order_id: int, side: str, price: int, quantity: int) -> None:
+        self.orders[order_id] = (side, price, quantity)
+        self.levels.move(side, price, 1)
+        self.live += 1
+
+    def _drop(self, order_id: int, order: tuple) -> None:
+        self.orders[order_id] = None
+        self.levels.move(order[0], order[1], -1)
+        self.live -= 1
+
+    def _apply(self, e) -> str | None:
+        kind, order_id = e.event_type, int(e.order_id)
+        price, quantity = int(e.price_ticks), int(e.quantity)
+        if kind == "Snapshot" and int(e.flags) & 1:
+            self.orders.clear()
+            self.levels.clear()
+            self.live = 0
+        order = self.orders[order_id]
+        if kind == "Snapshot" and order is not None:
+            return "failed to apply Snapshot event"
+        if kind == "Add" or kind == "Snapshot" and order_id:
+            self._put(order_id, e.side, price, quantity)
         elif kind == "Replace":
-            self._drop(cursor, order_id, order)
-            self._put(cursor, order_id, order[0], int(e.price_ticks), int(e.quantity))
+            self._drop(order_id, order)
+            self._put(order_id, order[0], price, quantity)
         elif kind in ("Cancel", "Execute"):
-            self._drop(cursor, order_id, order)
-            left = order[2] - int(e.quantity)
-            if left > 0 and e.quantity > 0:
-                self._put(cursor, order_id, order[0], order[1], left)
+            left = order[2] - quantity
+            if left > 0 and quantity > 0:
+                self.orders[order_id] = (*order[:2], left)
+            else:
+                self._drop(order_id, order)
         return None
 
 

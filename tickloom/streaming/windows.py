@@ -1,11 +1,11 @@
 """Event-time counters over streams, and running a stream to its end."""
 
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.session import shared_dir
+from tickloom.session import new_folder
 
 STATE_STORE = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -43,15 +43,18 @@ def windowed_counters(
     )
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+def run_to_table(
+    stream: DataFrame, label: str, mode: str = "append", base: str | None = None
+) -> DataFrame:
     """Run a stream over all available input and return what it wrote.
 
     Append output goes to Parquet in the shared folder with a checkpoint beside it, so a run
-    survives lost executors and restarts. Complete and update modes overwrite one folder per
-    batch through ``foreachBatch``.
+    survives lost executors and restarts: with the ``base`` folder of an earlier run it goes on
+    from that run's checkpoint and returns the rows of both. Complete and update modes overwrite
+    one folder per batch through ``foreachBatch``.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/tickloom/stream-{label}-{uuid.uuid4().hex}"
+    base = base or new_folder(spark, f"stream-{label}")
     writer = (
         stream.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", f"{base}/checkpoint")
@@ -67,6 +70,29 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
+def run_in_slots(
+    rows: DataFrame,
+    slot: Column,
+    slots: int,
+    transform: Callable[[DataFrame], DataFrame],
+    label: str,
+) -> DataFrame:
+    """What ``transform`` gives for a folder that grows by one slot of ``rows`` at a time.
+
+    The stream ends after each slot and starts anew from its checkpoint for the next one, so every
+    slot is a micro-batch of its own and all state passes through the checkpoint.
+    """
+    spark = rows.sparkSession
+    base = new_folder(spark, f"stream-{label}")
+    numbered = rows.withColumn("_slot", slot)
+    for n in range(slots):
+        numbered.filter(F.col("_slot") == n).drop("_slot").write.mode("append").parquet(f"{base}/in")
+        written = run_to_table(
+            transform(file_stream(spark, f"{base}/in", rows.schema)), label, base=base
+        )
+    return written
+
+
 def file_stream(spark: SparkSession, folder: str, schema, **options) -> DataFrame:
     """Stream Parquet files of a folder or glob."""
     reader = spark.readStream.schema(schema)
