@@ -7,7 +7,9 @@ row, and executions and partial cancels reduce it.
 """
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -293,18 +295,113 @@ class _Side:
         return [(p, self.quantity[p]) for p in prices]
 
 
-def _sweep(side: _Side, limit: int | None, wanted: int) -> tuple[int, int]:
-    """Quantity and cost available within ``limit`` for ``wanted``, best prices first."""
-    filled = cost = 0
-    for price, quantity in side.ladder():
-        if limit is not None and (price - limit) * side.sign > 0:
-            break
-        take = min(quantity, wanted - filled)
-        filled += take
-        cost += take * price
-        if filled == wanted:
-            break
-    return filled, cost
+class _Ranked:
+    """One side of a block's book as Fenwick trees of quantity and cost over its price ranks.
+
+    The prices of a block are known before it is walked and ranked from the best one. A sweep is a
+    descent for the quantity and a bisection for the limit, however many levels it crosses. Levels
+    that stand before the first probe are built in one pass.
+    """
+
+    __slots__ = ("built", "cost", "held", "keys", "quantity", "rank", "sign", "top")
+
+    def __init__(self, sign: int, prices: np.ndarray):
+        self.sign = sign
+        self.keys = np.unique(sign * prices).tolist()
+        self.rank = {sign * key: n for n, key in enumerate(self.keys, 1)}
+        self.top = (1 << len(self.keys).bit_length()) >> 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.held = [0] * (len(self.keys) + 1)
+        self.built = False
+
+    def change(self, price: int, delta: int) -> None:
+        n = self.rank[price]
+        self.held[n] += delta
+        if self.built:
+            worth, quantity, cost = delta * price, self.quantity, self.cost
+            while n < len(quantity):
+                quantity[n] += delta
+                cost[n] += worth
+                n += n & -n
+
+    def _build(self) -> None:
+        self.quantity = quantity = self.held.copy()
+        self.cost = cost = [0, *[
+            held * key * self.sign for held, key in zip(self.held[1:], self.keys, strict=True)
+        ]]
+        for n in range(1, len(quantity)):
+            above = n + (n & -n)
+            if above < len(quantity):
+                quantity[above] += quantity[n]
+                cost[above] += cost[n]
+        self.built = True
+
+    def _within(self, wanted: int) -> tuple[int, int, int]:
+        """Last rank up to which all levels together hold at most ``wanted``; their sums."""
+        if not self.built:
+            self._build()
+        at = filled = worth = 0
+        quantity, step = self.quantity, self.top
+        while step:
+            ahead = at + step
+            if ahead < len(quantity) and filled + quantity[ahead] <= wanted:
+                at = ahead
+                filled += quantity[ahead]
+                worth += self.cost[ahead]
+            step >>= 1
+        return at, filled, worth
+
+    def best(self) -> tuple[int | None, int | None]:
+        at, _, _ = self._within(0)
+        if at == len(self.keys):
+            return None, None
+        return self.sign * self.keys[at], self.held[at + 1]
+
+    def ladder(self, depth: int) -> list[tuple[int, int]]:
+        levels = zip(self.keys, self.held[1:], strict=True)
+        return list(islice(((self.sign * k, held) for k, held in levels if held), depth))
+
+    def sweep(self, limit: int | None, wanted: int) -> tuple[int, int]:
+        """Quantity and cost available within ``limit`` for ``wanted``, best prices first."""
+        wanted = max(wanted, 0)
+        at, filled, worth = self._within(wanted)
+        reach = len(self.keys) if limit is None else bisect_right(self.keys, self.sign * limit)
+        if at < reach:
+            rest = wanted - filled
+            return wanted, worth + rest * self.sign * self.keys[at]
+        filled = worth = 0
+        while reach:
+            filled += self.quantity[reach]
+            worth += self.cost[reach]
+            reach -= reach & -reach
+        return filled, worth
+
+
+def _whole_groups(
+    batches: Iterator[pa.RecordBatch], place: Sequence[str]
+) -> Iterator[pa.RecordBatch]:
+    """One batch per (key, block) of sorted batches that cut groups anywhere."""
+    parts: list[pa.RecordBatch] = []
+    last = None
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        columns = [batch.column(c) for c in place]
+        starts = _group_starts(columns, last)
+        last = [c[-1].as_py() for c in columns]
+        for begin, end in pairwise(sorted({0, *starts, batch.num_rows})):
+            if begin in starts and parts:
+                yield whole()
+                parts = []
+            parts.append(batch.slice(begin, end - begin))
+    if parts:
+        yield whole()
 
 
 def _group_starts(place: list[pa.Array], last: list | None) -> set[int]:
@@ -465,7 +562,8 @@ def walk_books(
         out_schema = to_arrow_schema(result)
         bids, asks = _Side(-1), _Side(1)
         last = None
-        for batch in batches:
+        # Sweeps rank the prices of a block, so they take it whole.
+        for batch in _whole_groups(batches, [*keys, "_block"]) if sweep else batches:
             place = [batch.column(c) for c in [*keys, "_block"]]
             kind = batch.column("_kind").to_numpy()
             prices = batch.column("price_ticks")
@@ -478,6 +576,9 @@ def walk_books(
             )
             fresh = _group_starts(place, last)
             last = [c[-1].as_py() for c in place]
+            if sweep:
+                known = prices.fill_null(0).to_numpy()
+                bids, asks = _Ranked(-1, known[kind == _BUY]), _Ranked(1, known[kind == _SELL])
             best: tuple[list, list, list, list] = ([], [], [], [])
             extra: list[list] = [[] for _ in range(2 * bool(depth) + 2 * sweep)]
             for i, (what, price, amount) in enumerate(rows_of):
@@ -508,7 +609,7 @@ def walk_books(
                     if sweep:
                         opposite = asks if what == _PROBE_BUY else bids
                         limit = None if no_limit and no_limit[i] else price
-                        filled, cost = _sweep(opposite, limit, amount)
+                        filled, cost = opposite.sweep(limit, amount)
                         extra[-2].append(filled)
                         extra[-1].append(cost)
             asked_rows = pa.array(np.flatnonzero(kind >= _PROBE_BUY))

@@ -377,6 +377,8 @@ def sweep_orders(
     orders: symbol_id, client_order_id, side, order_type, price_ticks, quantity, event_index
     (book position to read). Ladders are read in place; orders x levels is never built.
     """
+    # The walk reads both several times, so they are computed once.
+    orders, deltas = stage(orders, "sweep-orders"), stage(deltas, "sweep-deltas")
     probes = orders.select(
         "symbol_id",
         "event_index",
