@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tickloom.functions import codec, fnv
 from tickloom.operators.checksum import chained_checksum
 from tickloom.operators.scan import block_scan, whole_div
+from tickloom.session import stage
 from tickloom.sources.audit_log import read_audit
 from tickloom.sources.files import open_path, ordered_lines
 
@@ -78,7 +79,7 @@ def verify_rows(
 
 def verify_chain(spark: SparkSession, paths: Sequence[str], fmt: str = "auto") -> DataFrame:
     """One row: valid, files_checked, entries_checked, final_checksum and the first error."""
-    entries = read_audit(spark, paths, fmt)
+    entries = stage(read_audit(spark, paths, fmt), "verify-entries")
     order = ["file_no", "offset"]
     slices = F.col("file_no").cast("bigint") * 1_000_000_000 + whole_div("offset", _SLICE)
     judged = verify_rows(entries, order, block=slices)
@@ -89,6 +90,10 @@ def verify_chain(spark: SparkSession, paths: Sequence[str], fmt: str = "auto") -
         whole_div("offset", _SLICE),
         totals={"line": F.lit(1).cast("bigint")},
     )
+    lined = stage(
+        lined.select("file", *order, "line", "valid", "malformed", "expected", "checksum"),
+        "verify-lines",
+    )
     place = F.struct(*order)
     bad = ~F.col("valid") | F.col("malformed")
     message = F.when(

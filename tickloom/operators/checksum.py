@@ -66,6 +66,23 @@ class _Chain:
             "chain",
         )
         self.group = [*self.keys, "_block"]
+        self.short, self.long = None, self.rows
+        if self.keys:
+            block = F.col("_block")
+            several = F.coalesce(F.min(block) < F.max(block), F.lit(False))
+            # A null block is one of its own.
+            several = several | ((F.count(block) > 0) & (F.count_if(block.isNull()) > 0))
+            spans = stage(
+                self.rows.groupBy(*[F.col(k).alias(f"_of_{k}") for k in self.keys]).agg(
+                    several.alias("_cut")
+                ),
+                "chain-spans",
+            )
+            same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in self.keys]
+            cut = lambda kind: self.rows.join(spans.filter(kind), same, "left_semi")
+            kinds = {r[0] for r in spans.select("_cut").distinct().collect()}
+            self.short = cut("NOT _cut") if False in kinds else None
+            self.long = cut("_cut") if True in kinds else None
         ddl = ", ".join(
             f"`{k}` {self.rows.schema[k].dataType.simpleString()}" for k in self.keys
         )
@@ -75,8 +92,12 @@ class _Chain:
         return df.groupBy(*self.keys)
 
     def block_parts(self) -> DataFrame:
-        """Bytes and affine part of every block."""
+        """Bytes and affine part of every block.
+
+        A key of one block starts at the seed, so its block needs no map of low bytes.
+        """
         group, order, widths, seed = self.group, self.order, self.widths, self.seed
+        found = f"{self.prefix}_block BIGINT, _bytes BIGINT, _part BINARY"
 
         def low_map(table: pa.Table) -> pa.Table:
             data = _stream(table, order, widths)
@@ -92,17 +113,29 @@ class _Chain:
                 low = mapped[low]
             return ordered.select(group).append_column("_low", pa.array(lows, pa.int64()))
 
-        def affine(left: pa.Table, right: pa.Table) -> pa.Table:
-            data = _stream(left, order, widths)
-            part = fnv.affine_part(data, right.column("_low")[0].as_py())
+        def part_of(table: pa.Table, low: int) -> pa.Table:
+            data = _stream(table, order, widths)
+            part = fnv.affine_part(data, low)
             return (
-                left.slice(0, 1)
+                table.slice(0, 1)
                 .select(group)
                 .append_column("_bytes", pa.array([int(data.size)], pa.int64()))
                 .append_column("_part", pa.array([part.to_bytes(8, "little")], pa.binary()))
             )
 
-        maps = self.rows.groupBy(*group).applyInArrow(
+        def affine(left: pa.Table, right: pa.Table) -> pa.Table:
+            return part_of(left, right.column("_low")[0].as_py())
+
+        def alone(table: pa.Table) -> pa.Table:
+            return part_of(table, seed & 0xFF)
+
+        short = None
+        if self.short is not None:
+            short = self.short.groupBy(*group).applyInArrow(alone, schema=found)
+            if self.long is None:
+                return short
+        rows = self.rows if self.long is None else self.long
+        maps = rows.groupBy(*group).applyInArrow(
             low_map, schema=f"{self.prefix}_block BIGINT, _map BINARY"
         )
         starts = stage(
@@ -111,13 +144,10 @@ class _Chain:
             ),
             "chain-starts",
         )
-        return (
-            self.rows.groupBy(*group)
-            .cogroup(starts.groupBy(*group))
-            .applyInArrow(
-                affine, schema=f"{self.prefix}_block BIGINT, _bytes BIGINT, _part BINARY"
-            )
+        parts = rows.groupBy(*group).cogroup(starts.groupBy(*group)).applyInArrow(
+            affine, schema=found
         )
+        return parts if short is None else short.unionByName(parts)
 
 
 def _chained(table: pa.Table, seed: int = fnv.OFFSET) -> tuple[pa.Table, list[int], int]:

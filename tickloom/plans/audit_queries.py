@@ -19,7 +19,7 @@ def _trail(spark, sf_dir):
     def build():
         arrivals = V.order_requests(spark, sf_dir).select("client_order_id", "arrival")
         rows = limit_decisions_t1(spark, sf_dir).join(arrivals, "client_order_id")
-        return audit_log.with_chain(rows, "arrival", ["symbol_id"], block_rows=500_000)
+        return audit_log.with_chain(rows, "arrival", ["symbol_id"], block_rows=50_000)
 
     return staged_once(spark, sf_dir, "audit_trail", build)
 

@@ -2,8 +2,12 @@
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +19,11 @@ from tickloom.operators.scan import (
     DEFAULT_BLOCK_ROWS,
     block_of,
     block_scan,
-    follow,
+    follow_blocks,
     number_rows,
 )
 from tickloom.session import stage
-from tickloom.sources.files import SPLIT_BYTES, list_files, ordered_lines
+from tickloom.sources.files import SPLIT_BYTES, list_files, open_path, ordered_lines
 
 _FIELDS = schema.AUDIT.fieldNames()
 
@@ -145,6 +149,9 @@ def _number_files(spark: SparkSession, hidden: str, path: str) -> None:
 # --- rotation by bytes and records ------------------------------------------------------
 
 
+_WALK_ROWS = 100_000
+
+
 def rotate(
     lines: DataFrame,
     order: str,
@@ -159,7 +166,8 @@ def rotate(
 
     Where a file that opens at a line would end is known from the running size alone: the
     first line past its size limit is an as-of lookup on mirrored size. The openings that the
-    first line leads to follow by doubling, so no task walks the log.
+    first line leads to are found in blocks, whose entries and exits follow by doubling, so no
+    task walks the log.
     """
     if max_bytes <= 0 and max_records <= 0:
         raise ValueError("rotation needs a limit of bytes or records")
@@ -188,7 +196,9 @@ def rotate(
     jumps = stage(
         found.select("at", following.alias("to")).filter("to IS NOT NULL"), "rotate-jumps"
     )
-    openings = follow(placed.filter("n = 1").select(F.col("n").alias("at")), jumps)
+    openings = follow_blocks(
+        placed.filter("n = 1").select(F.col("n").alias("at")), jumps, min(block_rows, _WALK_ROWS)
+    )
     opened = placed.join(
         openings.select(F.col("at").alias("n"), F.lit(1).alias("_open")), "n", "left"
     )
@@ -211,22 +221,65 @@ def rotated_path(path: str, file_no: int) -> str:
 def write_files(lines: DataFrame, path: str) -> None:
     """Write lines (``file_no``, ``n``, ``value``) as the files of a rotated log at ``path``.
 
-    One task writes a file; the files appear under their names once all are complete. A log
-    that is there already is an error.
+    One task writes a file; the files appear under their names once all are complete, renamed
+    by tasks. A log that is there already is an error.
     """
     spark = lines.sparkSession
     hidden = f"{path.rpartition('/')[0]}/_rotate-{uuid.uuid4().hex}"
-    lines.repartition("file_no").sortWithinPartitions("file_no", "n").select(
-        "file_no", "value"
-    ).write.partitionBy("file_no").text(hidden)
-    new = spark._jvm.org.apache.hadoop.fs.Path
-    fs = new(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for entry in fs.globStatus(new(f"{hidden}/file_no=*/part-*")):
-        number = int(entry.getPath().getParent().getName().partition("=")[2])
-        target = new(rotated_path(path, number))
-        if fs.exists(target) or not fs.rename(entry.getPath(), target):
-            raise FileExistsError(target.toString())
-    fs.delete(new(hidden), True)
+    system, plain = open_path(hidden)
+    system.create_dir(plain, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, plain = open_path(hidden)
+        open_no, out, names = None, None, {}
+        for batch in batches:
+            numbers = batch.column("file_no").to_numpy()
+            cuts = np.flatnonzero(np.diff(numbers)) + 1
+            values = batch.column("value").cast(pa.binary())
+            for begin, end in pairwise([0, *cuts.tolist(), len(numbers)]):
+                if begin == end:
+                    continue
+                if numbers[begin] != open_no:
+                    if out is not None:
+                        out.close()
+                    open_no = int(numbers[begin])
+                    names[open_no] = uuid.uuid4().hex
+                    out = system.open_output_stream(f"{plain}/{names[open_no]}")
+                part = [v or b"" for v in values[begin:end].to_pylist()]
+                out.write(b"\n".join([*part, b""]))
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(names), pa.int64()), pa.array(list(names.values()), pa.string())],
+            names=["file_no", "name"],
+        )
+
+    ordered = lines.repartition("file_no").sortWithinPartitions("file_no", "n").select(
+        F.col("file_no").cast("bigint").alias("file_no"), "value"
+    )
+    written = stage(ordered.mapInArrow(write, "file_no BIGINT, name STRING"), "rotated-files")
+    held = [(number,) for number in _rotated_numbers(path)]
+    if held:
+        taken = written.join(spark.createDataFrame(held, "file_no BIGINT"), "file_no").first()
+        if taken is not None:
+            raise FileExistsError(rotated_path(path, taken.file_no))
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, plain = open_path(hidden)
+        there = lambda p: system.get_file_info(p).type != fs.FileType.NotFound
+        for batch in batches:
+            for number, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, target = open_path(rotated_path(path, number))
+                if there(source := f"{plain}/{name}"):
+                    if there(target):
+                        raise FileExistsError(target)
+                    system.move(source, target)
+                elif not there(target):  # else moved by an earlier attempt of this task
+                    raise FileNotFoundError(source)
+            yield batch
+
+    written.mapInArrow(rename, written.schema).agg(F.count(F.lit(1))).collect()
+    system.delete_dir(plain)
 
 
 def write_rotating_audit(
@@ -245,12 +298,16 @@ def write_rotating_audit(
 
 def rotated_paths(path: str) -> list[str]:
     """The files of a rotated log, in the order of its chain."""
+    found = _rotated_numbers(path)
+    return [found[number] for number in sorted(found)]
+
+
+def _rotated_numbers(path: str) -> dict[int, str]:
     folder, _, name = path.rpartition("/")
     stem, dot, extension = name.rpartition(".")
     stem, extension = (stem, dot + extension) if stem else (name, "")
     pattern = re.compile(re.escape(stem) + r"(?:\.(\d+))?" + re.escape(extension))
-    found = {
+    return {
         int(m[1] or 0): file for file, _ in list_files([folder])
         if (m := pattern.fullmatch(file.rpartition("/")[2])) and file.count("/") == path.count("/")
     }
-    return [found[number] for number in sorted(found)]

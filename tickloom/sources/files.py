@@ -1,7 +1,7 @@
 """Input files: listing, ranged reads and an ordered line source.
 
 Spark's text reader gives no line order. The ``ordered_lines`` data source splits every file
-into byte ranges (one task each) and emits each line with its byte offset, so the order of a
+into byte ranges (one task each, small files together) and emits each line with its byte offset, so the order of a
 file survives and a large file is read in parallel.
 """
 
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SPLIT_BYTES = 64 * 1024 * 1024
+# Small files share a task up to this many bytes.
+PACK_BYTES = 8 * 1024 * 1024
 
 
 def open_path(path: str) -> tuple[fs.FileSystem, str]:
@@ -66,6 +68,24 @@ class FileRange(InputPartition):
     size: int
 
 
+@dataclass
+class FileRanges(InputPartition):
+    ranges: list[FileRange]
+
+
+def packed(ranges: Sequence[FileRange], limit: int) -> list[FileRanges]:
+    """Neighbouring ranges gathered up to ``limit`` bytes a task; a longer one stays alone."""
+    tasks, room = [], 0
+    for part in ranges:
+        size = part.end - part.begin
+        if not tasks or size > room:
+            tasks.append(FileRanges([]))
+            room = limit
+        tasks[-1].ranges.append(part)
+        room -= size
+    return tasks
+
+
 class OrderedLines(DataSource):
     """``spark.read.format("ordered_lines")``; options: paths (newline separated), split."""
 
@@ -86,16 +106,18 @@ class OrderedLinesReader(DataSourceReader):
         self.numbers = options.get("numbers", "")
         self.split = int(options.get("split", SPLIT_BYTES))
 
-    def partitions(self) -> list[FileRange]:
+    def partitions(self) -> list[FileRanges]:
         ranges = []
         for number, path, size in numbered_files(self.paths, self.numbers):
             for begin in range(0, size, self.split):
                 ranges.append(FileRange(path, number, begin, min(begin + self.split, size), size))
-        return ranges or [FileRange("", 0, 0, 0, 0)]
+        return packed(ranges, min(self.split, PACK_BYTES)) or [FileRanges([])]
+
+    def read(self, task: FileRanges) -> Iterator[pa.RecordBatch]:
+        for part in task.ranges:
+            yield from self._lines(part)
 
-    def read(self, part: FileRange) -> Iterator[pa.RecordBatch]:
-        if part.size == 0:
-            return
+    def _lines(self, part: FileRange) -> Iterator[pa.RecordBatch]:
         system, plain = open_path(part.path)
         with system.open_input_file(plain) as file:
             begin = part.begin
