@@ -295,14 +295,19 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
                          "bits": [np.packbits(x).tobytes() for x in np.split(out, cuts)]})
 
 
-def _to_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("id", kind="stable")
-    texts = [t.encode() for t in rows["t"]]
-    data = zstandard.ZstdCompressor(level=5).compress(b"".join(texts))
-    return pd.DataFrame({
-        "blk": [rows["blk"].iloc[0]], "ids": [rows["id"].to_numpy(np.int64).tobytes()],
-        "sizes": [np.array([len(t) for t in texts], np.int64).tobytes()], "data": [data],
-        "keys": ["".join(rows["key"]).encode()]})
+def _to_blocks(rows: pa.Table) -> pa.Table:
+    """A block's texts by id. They stay Arrow buffers: a block is never held as Python strings."""
+    rows = rows.sort_by("id")
+    texts = pa.concat_arrays([c.cast(pa.large_binary()) for c in rows.column("t").chunks])
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:][: len(texts) + 1]
+    data = zstandard.ZstdCompressor(level=5).compress(
+        memoryview(texts.buffers()[2])[int(ends[0]): int(ends[-1])])
+    return pa.table({
+        "blk": rows.column("blk").slice(0, 1),
+        "ids": pa.array([rows.column("id").to_numpy().tobytes()], pa.binary()),
+        "sizes": pa.array([np.diff(ends).tobytes()], pa.binary()),
+        "data": pa.array([data], pa.binary()),
+        "keys": pa.array(["".join(rows.column("key").to_pylist()).encode()], pa.binary())})
 
 
 def _finisher(rule: Repeats, parts: int):
@@ -341,13 +346,13 @@ def remove_repeats(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "do
     total = owners.filter(F.col("size") >= rule.width).agg(F.sum("size")).first()[0] or 0
     blocks_n = max(1, -(-total // rule.block_bytes))
     parts = max(1, -(-total // rule.part_bytes))
-    # The first document of each text; only these take part.
-    texts = rows.join(owners.filter(F.col("size") >= rule.width), "key").filter(
-        F.col("ord") == F.col("first")).select(
-        "key", F.col("ord").alias("id"), "t").dropDuplicates(["key"])
+    # One row of each text with its first document; only these take part. Copies meet before the
+    # shuffle, and no text is moved for a join.
+    texts = rows.filter(F.octet_length("t") >= rule.width).groupBy("key").agg(
+        F.min("ord").alias("id"), F.first("t").alias("t"))
     blocks = texts.withColumn("blk", F.pmod(F.xxhash64("key"), F.lit(blocks_n))).groupBy(
-        "blk").applyInPandas(_to_blocks, "blk long, ids binary, sizes binary, data binary, "
-                                         "keys binary")
+        "blk").applyInArrow(_to_blocks, "blk long, ids binary, sizes binary, data binary, "
+                                        "keys binary")
     blocks = stage(blocks, "repeat-blocks")
 
     answers = None
