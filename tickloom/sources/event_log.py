@@ -27,6 +27,7 @@ from pyspark.sql.datasource import (
 from tickloom import schema
 from tickloom.functions import codec
 from tickloom.operators.scan import block_scan
+from tickloom.session import stage
 from tickloom.sources.files import (
     SPLIT_BYTES,
     FileRange,
@@ -343,9 +344,12 @@ def parse_csv(
         (F.when(text.contains(c), 1).otherwise(0) for c in schema.EVENT_COLUMNS), F.lit(0)
     )
     rows = numbered.filter((text != "") & ~text.startswith("#") & (text != header))
-    parts = F.transform(F.split(text, ",", -1), lambda x: F.trim(x, F.lit(codec.WHITESPACE)))
-    split_rows = rows.withColumns({"_p": parts, "_named": named})
-    field = lambda i: F.get(F.col("_p"), i)
+    # Columns out of a generator are computed once a line, however often they are named below; a
+    # filter on the error is not pushed beneath them.
+    split_rows = rows.select(
+        "*", named.alias("_named"), F.explode(F.array(F.split(text, ",", -1))).alias("_p")
+    )
+    field = lambda i: F.trim(F.get(F.col("_p"), i), F.lit(codec.WHITESPACE))
     unsigned = lambda i, limit: codec.strict_unsigned(field(i), limit)
     u64, u32 = 2**64 - 1, 2**32 - 1
     values = {
@@ -361,7 +365,10 @@ def parse_csv(
         "flags": unsigned(9, u32),
     }
     labels = {"event_type": "event_type spelling", "side": "side spelling"}
-    typed = split_rows.withColumns(values)
+    typed = split_rows.select(
+        "*",
+        F.explode(F.array(F.struct(*[col.alias(c) for c, col in values.items()]))).alias("_v"),
+    ).select("*", "_v.*")
     drift = F.when(
         F.col("_named") >= 2, F.format_string("CSV column drift: expected v1 header, got %s", text)
     ).when(
@@ -404,6 +411,7 @@ def read_csv(
     are left out (``quarantine`` lists them)."""
     parsed = parse_csv(spark, paths, split, numbers)
     if strict:
+        parsed = stage(parsed.drop("file", "text"), "csv-events")
         bad = parsed.filter("error IS NOT NULL").orderBy("event_index").limit(1).collect()
         if bad:
             raise EventLogError(f"line {bad[0].line_number}: {bad[0].error}")
