@@ -56,20 +56,26 @@ def _fault(e: Any, order: tuple | None) -> str | None:
     return next((reason for bad, reason in checks if bad), None)
 
 
+# A symbol's live orders are read at once where a micro-batch names one in so many of them.
+_READ_ALL = 8
+
+
 class _Orders:
-    """Live orders of a symbol: read from state when first touched, written back once."""
+    """Live orders of a symbol, read from state and written back once: all together, or each when
+    first touched where ``known`` is false. Nothing is asked of the state about the rest."""
 
-    def __init__(self, state):
+    def __init__(self, state, held: dict[int, tuple], known: bool):
         self.state = state
-        self.stored: dict[int, tuple | None] = {}
-        self.now: dict[int, tuple | None] = {}
+        self.known = known
+        self.stored: dict[int, tuple | None] = held
+        self.now: dict[int, tuple | None] = dict(held)
 
     def __getitem__(self, order_id: int) -> tuple | None:
         """(side, price, quantity) of a live order."""
         if order_id == 0:
             return None
         if order_id not in self.now:
-            found = self.state.getValue((order_id,))
+            found = None if self.known else self.state.getValue((order_id,))
             self.now[order_id] = self.stored[order_id] = tuple(found) if found else None
         return self.now[order_id]
 
@@ -78,7 +84,7 @@ class _Orders:
 
     def clear(self) -> None:
         self.state.clear()
-        self.stored, self.now = {}, {}
+        self.stored, self.now, self.known = {}, {}, True
 
     def save(self) -> None:
         for order_id, order in self.now.items():
@@ -97,9 +103,9 @@ class _Levels:
     an order left, so an event costs a logarithm of the levels.
     """
 
-    def __init__(self, state):
+    def __init__(self, state, held: dict[tuple[str, int], int]):
         self.state = state
-        self.counts = {(side, price): count for (side, price), (count,) in state.iterator()}
+        self.stored, self.counts = held, dict(held)
         self.changed: set[tuple[str, int]] = set()
         self.heaps: dict[str, list[int]] = {"Buy": [], "Sell": []}
         for side, price in self.counts:
@@ -131,18 +137,29 @@ class _Levels:
 
     def clear(self) -> None:
         self.state.clear()
-        self.counts, self.changed = {}, set()
+        self.stored, self.counts, self.changed = {}, {}, set()
         self.heaps = {"Buy": [], "Sell": []}
 
     def save(self) -> None:
         for level in self.changed:
             count = self.counts.get(level, 0)
-            if count:
+            if count and count != self.stored.get(level):
                 self.state.updateValue(level, (count,))
-            elif self.state.containsKey(level):
+            elif not count and level in self.stored:
                 self.state.removeKey(level)
 
 
+def _skipped(symbol: int, batch: pd.DataFrame, top: tuple) -> Iterator[pd.DataFrame]:
+    """Rows of a halted symbol, with the state it stopped in."""
+    for begin in range(0, len(batch), _CHUNK):
+        part = batch.iloc[begin : begin + _CHUNK]
+        same = dict(zip(_COLUMNS, (symbol, None, None, "skipped", None, *top), strict=True))
+        rows = pd.DataFrame({c: [v] * len(part) for c, v in same.items()}, dtype=object)
+        for name in ("event_index", "sequence_number"):
+            rows[name] = part[name].to_numpy(dtype=object)
+        yield rows
+
+
 class ReplayProcessor(StatefulProcessor):
     """One row per event; a halting event carries its reason, later ones are skipped.
 
@@ -165,36 +182,48 @@ class ReplayProcessor(StatefulProcessor):
         self.level_state = handle.getMapState("levels", "side STRING, price BIGINT", "orders BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        self.expected, self.last, self.halted, *top = (
-            self.cursor.get() if self.cursor.exists() else (None, None, False, 0, None, None)
-        )
-        was_halted = self.halted
-        if not was_halted:
-            self.orders = _Orders(self.order_state)
-            self.levels = _Levels(self.level_state)
-        self.live = top[0]
+        cursor = self.cursor.get()
+        self.expected, self.last, self.halted, *top = cursor or (None, None, False, 0, None, None)
         batch = pd.concat(list(rows), ignore_index=True).sort_values("event_index")
-        symbol, out = int(key[0]), []
-        for e in batch.itertuples(index=False):
-            status, reason = "skipped", None
-            if not self.halted:
-                reason = self._step(e)
-                top = self.live, self.levels.best("Buy"), self.levels.best("Sell")
-                reason = reason or self._crossed(*top[1:])
-                self.halted = reason is not None
-                status = "halted" if self.halted else "applied"
+        symbol, out, done = int(key[0]), [], 0
+        if self.halted:
+            yield from _skipped(symbol, batch, top)
+            return
+        self.live = top[0]
+        self._load(batch, new=cursor is None)
+        for done, e in enumerate(batch.itertuples(index=False), 1):
+            reason = self._step(e)
+            top = self.live, self.levels.best("Buy"), self.levels.best("Sell")
+            reason = reason or self._crossed(*top[1:])
+            self.halted = reason is not None
+            status = "halted" if self.halted else "applied"
             out.append((symbol, e.event_index, e.sequence_number, status, reason, *top))
+            if self.halted:
+                break
             if len(out) == _CHUNK:
                 yield pd.DataFrame(out, columns=_COLUMNS, dtype=object)
                 out = []
-        if self.halted and not was_halted:
-            self.order_state.clear()
-            self.level_state.clear()
-        elif not self.halted:
+        if not self.halted:
             self.orders.save()
             self.levels.save()
+        elif cursor is not None:
+            self.order_state.clear()
+            self.level_state.clear()
         self.cursor.update((self.expected, self.last, self.halted, *top))
         yield pd.DataFrame(out, columns=_COLUMNS, dtype=object)
+        yield from _skipped(symbol, batch.iloc[done:], top)
+
+    def _load(self, batch: pd.DataFrame, new: bool) -> None:
+        """Book of the symbol. A new symbol holds nothing, so nothing is asked for; its orders are
+        read together where the batch names a good part of them."""
+        whole = new or self.live <= _READ_ALL * batch["order_id"].nunique()
+        held = {} if new or not whole else {
+            order_id: order for (order_id,), order in self.order_state.iterator()
+        }
+        self.orders = _Orders(self.order_state, held, whole)
+        self.levels = _Levels(self.level_state, {} if new else {
+            level: count for level, (count,) in self.level_state.iterator()
+        })
 
     def _step(self, e) -> str | None:
         """Apply an event, or say why it stops its symbol."""
