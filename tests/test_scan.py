@@ -3,6 +3,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tickloom.operators import scan
 from tickloom.operators.scan import block_fold, block_of, block_scan, number_rows
 
 
@@ -75,3 +76,32 @@ def test_block_fold_is_exact_for_state_that_never_forgets(spark):
     for k, pos, v in rows:
         state[k] = (state.get(k, 1) * 31 + v) % 1_000_003
         assert found[(k, pos)] == state[k]
+
+
+def test_block_fold_streams_keys_that_do_not_settle(spark, monkeypatch):
+    """A running sum needs no round per block; a key that forgets and one without a block stay."""
+    rows = [(k, n, n % 7 + 1) for k in (1, 2, 3) for n in range(200)] + [(None, 1, 5), (1, None, 4)]
+
+    def fold(state: bytes, table: pa.Table):
+        total, out = int(state or b"0"), []
+        for k, v in zip(table.column("k").to_pylist(), table.column("v").to_pylist(), strict=True):
+            total = v if k == 3 else total + v
+            out.append(total)
+        keep = {c: table.column(c).to_pylist() for c in ("k", "pos")}
+        return keep | {"value": out}, str(total).encode()
+
+    staged = []
+    keep = scan.stage
+    monkeypatch.setattr(scan, "stage", lambda df, label: staged.append(label) or keep(df, label))
+    df = spark.createDataFrame(rows, "k BIGINT, pos BIGINT, v BIGINT")
+    got = block_fold(
+        df, ["k"], ["pos"], block_of("pos", 10), fold, "k BIGINT, pos BIGINT, value BIGINT"
+    )
+    found = {(r.k, r.pos): r.value for r in got.collect()}
+    assert len(found) == len(rows)
+    assert found[(None, 1)] == 5 and found[(1, None)] == 4
+    total = {}
+    for k, pos, v in rows[:600]:
+        total[k] = v if k == 3 else total.get(k, 0) + v
+        assert found[(k, pos)] == total[k]
+    assert len(staged) <= 6
