@@ -294,6 +294,8 @@ def book_checksums(
     price, total and order count followed by the orders in queue order. Header rows sort
     before their orders, so the stream is one more chained table.
     """
+    # Both are read several times, so they are computed once.
+    orders, symbols = stage(orders, "book-orders"), stage(symbols, "book-symbols")
     levels = orders.groupBy("symbol_id", "side", "price_ticks").agg(
         F.sum("quantity").alias("total"), F.count(F.lit(1)).alias("size")
     )
@@ -343,8 +345,11 @@ def book_checksums(
         )
     )
     # Blocks follow the stream order and gather small levels; one big level is sliced.
-    sliced = stream.withColumn(
-        "slice", F.when(F.col("p3") > low, block_of("p3", block_rows)).otherwise(F.lit(-1))
+    sliced = stage(
+        stream.withColumn(
+            "slice", F.when(F.col("p3") > low, block_of("p3", block_rows)).otherwise(F.lit(-1))
+        ),
+        "book-stream",
     )
     place = ["p1", "p2", "slice"]
     sizes = sliced.groupBy("symbol_id", *place).agg(F.count(F.lit(1)).alias("_n"))
