@@ -1,6 +1,6 @@
 """Round 7: inputs that several steps read are computed once."""
 
-from tickloom.operators import book, checksum
+from tickloom.operators import book, checksum, quality
 
 
 def _counted(spark, df):
@@ -29,3 +29,12 @@ def test_book_checksums_compute_their_orders_once(spark, make_events):
     got = checksum.book_checksums(orders, symbols, 2).collect()
     assert sorted(r.symbol_id for r in got) == [1, 2]
     assert seen.value == 5
+
+
+def test_replay_summary_computes_its_diagnostics_once(spark, make_events):
+    events = _events(make_events)
+    rules = quality.ReplayOptions(snapshots=False, book=False)
+    found, seen = _counted(spark, quality.diagnostics(events, rules))
+    got = {r.symbol_id: r for r in checksum.replay_summary(events, found, 2).collect()}
+    assert got[1].sequence_valid and got[2].error == "unknown cancel order id"
+    assert seen.value == 1

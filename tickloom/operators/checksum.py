@@ -404,9 +404,11 @@ def replay_summary(
     The log checksum covers all rows of a symbol; book and activity only the rows applied
     before its halt. A symbol that halts on its first row has an empty book.
     """
+    # Events and diagnostics are read by every part, so they are computed once.
+    events, found = stage(events, "summary-events"), stage(found, "summary-found")
     symbols = stage(events.select("symbol_id").distinct(), "summary-symbols")
     applied = stage(quality.applied_events(events, found), "summary-applied")
-    orders = stage(live_orders(applied, snapshots), "summary-orders")
+    orders = live_orders(applied, snapshots)
     parts = (
         event_checksums(events, block_rows),
         book_checksums(orders, symbols, block_rows),
