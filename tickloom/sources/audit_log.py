@@ -254,7 +254,10 @@ def write_files(lines: DataFrame, path: str) -> None:
             names=["file_no", "name"],
         )
 
-    ordered = lines.repartition("file_no").sortWithinPartitions("file_no", "n").select(
+    # Dealt by a hash of the number: Spark leaves out a repartition by columns that a join below has
+    # dealt by already, and the join, turned into a broadcast while it runs, no longer deals at all.
+    dealt = lines.repartition(F.xxhash64("file_no"))
+    ordered = dealt.sortWithinPartitions("file_no", "n").select(
         F.col("file_no").cast("bigint").alias("file_no"), "value"
     )
     written = stage(ordered.mapInArrow(write, "file_no BIGINT, name STRING"), "rotated-files")
