@@ -1,9 +1,14 @@
 """Round 8: larger tables."""
 
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
+from tickloom import schema
 from tickloom.session import new_folder, stage
 from tickloom.sources import audit_log
+from tickloom.streaming import replay
 
 # Files of 64 KB a task, and a join whose small side only turns out small while it runs.
 _LATE_BROADCAST = {
@@ -36,3 +41,96 @@ def test_a_file_has_one_writer_after_a_late_broadcast(spark):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
+class _Memory:
+    """Value or map state that counts the messages it gets."""
+
+    def __init__(self):
+        self.held, self.value, self.calls = {}, None, 0
+
+    def _count(self, value):
+        self.calls += 1
+        return value
+
+    def get(self):
+        return self._count(self.value)
+
+    def update(self, value):
+        self.value = self._count(value)
+
+    def iterator(self):
+        return iter(self._count(list(self.held.items())))
+
+    def getValue(self, key):
+        return self._count(self.held.get(key))
+
+    def updateValue(self, key, value):
+        self.held[key] = self._count(value)
+
+    def removeKey(self, key):
+        self._count(self.held.pop(key, None))
+
+    def clear(self):
+        self.held, self.value = self._count({}), None
+
+
+def _streamed(kind, batches):
+    """Output rows of a symbol, state messages of each micro-batch, and the order state."""
+    states = {"cursor": _Memory(), "order_state": _Memory(), "level_state": _Memory()}
+    out, calls = [], []
+    for batch in batches:
+        processor = kind()
+        for name, state in states.items():
+            setattr(processor, name, state)
+        frame = pd.DataFrame(batch, columns=schema.INDEXED_EVENT.fieldNames())
+        before = sum(s.calls for s in states.values())
+        for rows in processor.handleInputRows((1,), iter([frame]), None):
+            out += rows.itertuples(index=False, name=None)
+        calls.append(sum(s.calls for s in states.values()) - before)
+    return out, calls, states["order_state"].held
+
+
+def _busy_symbol(events: int):
+    """A clean log: orders are added, some cut, replaced or cancelled, and one snapshot begins."""
+    pick, live, rows = random.Random(8), {}, []
+    for n in range(1, events + 1):
+        known = pick.choice(sorted(live)) if live and pick.random() < 0.4 else None
+        if n == events * 2 // 3:
+            live.clear()
+            rows.append((n, n, 1, "Snapshot", "None", 0, 0, 0, 0, 1, n))
+        elif known is None:
+            side = pick.choice(("Buy", "Sell"))
+            price = 100 - pick.randint(1, 40) if side == "Buy" else 100 + pick.randint(1, 40)
+            live[n * 7 - 3] = side, price
+            rows.append((n, n, 1, "Add", side, price, 9, n * 7 - 3, 0, 0, n))
+        else:
+            kind = pick.choice(("Cancel", "Replace", "Execute"))
+            side, price = live[known]
+            rows.append((n, n, 1, kind, side, price, 9 if kind == "Replace" else 1, known, 0, 0, n))
+            if kind != "Replace":
+                rows[-1] = (*rows[-1][:3], "Cancel", *rows[-1][4:6], 0, *rows[-1][7:])
+                del live[known]
+    return rows
+
+
+def test_packed_replay_equals_the_one_with_an_entry_per_order(monkeypatch):
+    """Orders over many buckets, read all together and one by one, then a halt."""
+    rows = _busy_symbol(900)
+    rows.append((901, 901, 1, "Execute", "Buy", 0, 1, 10**9, 0, 0, 901))
+    cuts = [0, 400, 420, 600, 602, 880, 903]
+    batches = [rows[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] + [rows[-1:]]
+    expected = _streamed(replay.ReplayProcessor, batches)
+    monkeypatch.setattr(replay, "_BUCKET", 8)
+    got = _streamed(replay.PackedReplayProcessor, batches)
+    assert got[0] == expected[0] and len(got[0]) == 902
+    assert expected[0][900][4] == "unknown execute order id" and got[2] == {}
+
+
+def test_packed_replay_sends_no_message_per_order():
+    """Reading and writing the cursor and one bucket; an order and a level took a message each."""
+    out, calls, held = _streamed(
+        replay.PackedReplayProcessor, [_busy_symbol(200)[:100], _busy_symbol(200)[100:130]]
+    )
+    assert [r[3] for r in out] == ["applied"] * 130
+    assert calls == [3, 4] and len(held) == 1

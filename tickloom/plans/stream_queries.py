@@ -32,7 +32,7 @@ def _replayed(spark, sf_dir):
         windows.use_state_store(spark)
         rows = windows.run_in_slots(
             *_slots(V.supplier_flow(spark, sf_dir), "event_index", 5),
-            lambda feed: replay.replay_stream(V.damaged(feed)), "replay")
+            lambda feed: replay.replay_stream(V.damaged(feed), packed=True), "replay")
         return rows.groupBy("symbol_id").agg(
             F.count_if(F.col("status") == "applied").alias("events_processed"),
             F.count_if(F.col("status") == "skipped").alias("events_skipped"),
