@@ -107,11 +107,18 @@ def annotate(events: DataFrame, options: ReplayOptions = ReplayOptions()) -> Dat
     if not options.snapshots:
         scanned = scanned.withColumn("epoch", F.lit(0).cast("bigint"))
 
-    states = book.order_states(scanned).select(
-        "symbol_id", "event_index", "prev_quantity"
+    # The states keep the columns of their events; the events that touch no order join them as they
+    # are. A row without a symbol or place has no state to be judged by.
+    placed = F.col("symbol_id").isNotNull() & F.col("event_index").isNotNull()
+    none = F.lit(None).cast("bigint")
+    touched = book.order_states(scanned).select(
+        *scanned.columns, F.when(placed, F.col("prev_quantity").cast("bigint")).alias("prev_quantity")
+    )
+    joined = touched.unionByName(
+        scanned.filter(~F.coalesce(book.touches_order(), F.lit(False))).withColumn(
+            "prev_quantity", none
+        )
     )
-    # Both sides come back by (symbol, position): unique, so evenly spread.
-    joined = scanned.join(states, ["symbol_id", "event_index"], "left")
     reasons = [field_rule(), state_rule()]
     if options.timestamps:
         back = F.col("timestamp_ns") < F.col("_prev_timestamp")
